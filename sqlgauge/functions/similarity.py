@@ -55,18 +55,23 @@ def _two_best(token: str, names: str) -> tuple[int, float, float]:
     return scored[0][1], scored[0][0], scored[1][0] if len(scored) > 1 else 0.0
 
 
-@F.pandas_udf("array<struct<at:int,best:double,second:double>>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def two_best_matches(tokens: pd.Series, names: pd.Series) -> pd.Series:
-    """For each lower-case token the position of its best name, the best and the second-best ratio.
+    """Three numbers per lower-case token: the position of its best name, the best and the second-best ratio.
 
     ``tokens`` is space-separated and ``names`` is ``|``-separated; equal ratios keep the name order.
     """
     out = []
     for words, candidates in zip(tokens, names):
-        rows = []
+        row: list[float] = []
         for word in words.split(" "):
             if word:
-                at, best, second = _two_best(word, candidates)
-                rows.append({"at": at, "best": best, "second": second})
-        out.append(rows)
+                row.extend(_two_best(word, candidates))
+        out.append(row)
     return pd.Series(out)
+
+
+# Declared non-deterministic so that the optimizer keeps one call per row instead of copying it into every
+# expression that uses its result.
+best_ratio_per_group = best_ratio_per_group.asNondeterministic()
+two_best_matches = two_best_matches.asNondeterministic()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 # A single- or double-quoted literal; doubled quotes stay inside it. Possessive runs keep long
 # literals from exhausting the matcher's stack.
-QUOTED = r"""'[^']*+(?:''[^']*+)*'|"[^"]*+(?:""[^"]*+)*\""""
+QUOTED = r"'[^']*+(?:''[^']*+)*'" + '|"[^"]*+(?:""[^"]*+)*"'
 LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 WHITESPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(
     chr(c) for c in range(0x2000, 0x200B)

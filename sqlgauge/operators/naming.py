@@ -92,9 +92,10 @@ def match_tables(
     )
 
     def near(token: Column) -> Column:
-        m = F.get(F.col("_near"), (F.array_position(F.col("_open"), F.lower(token)) - 1).cast("int"))
-        best = F.when(m["best"] < min_ratio, token).otherwise(F.get(F.col(tables), m["at"]))
-        return F.struct(best.alias("best"), m["best"].alias("ratio"), m["second"].alias("second"))
+        first = ((F.array_position(F.col("_open"), F.lower(token)) - 1) * 3).cast("int")
+        at, ratio, second = (F.get(F.col("_near"), first + k) for k in range(3))
+        best = F.when(ratio < min_ratio, token).otherwise(F.get(F.col(tables), at.cast("int")))
+        return F.struct(best.alias("best"), ratio.alias("ratio"), second.alias("second"))
 
     matched = F.zip_with(F.col(tokens), F.col("_exact"), lambda t, e: F.coalesce(e, near(t)))
     return rows.withColumn(out, matched.cast(MATCHES)).drop("_exact", "_open", "_near")

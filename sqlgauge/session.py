@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+_shipped: set[str] = set()
+
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A local session with the settings the library is tested under."""
@@ -19,3 +25,16 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
         .config("spark.driver.memory", "12g")
         .getOrCreate()
     )
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, for the Python functions that run there."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    home = Path(__file__).resolve().parent
+    archive = shutil.make_archive(
+        f"{tempfile.mkdtemp(prefix='sqlgauge-code-')}/sqlgauge", "zip", home.parent, home.name
+    )
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)
