@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("questions", "sqltext")
+MODULES = ("questions", "sqltext", "metrics", "linking", "execution", "files")
 
 
 def load():

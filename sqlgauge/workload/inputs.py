@@ -133,7 +133,7 @@ SELECT event_id AS id, event_type AS dataset,
   CASE WHEN event_id % 11 = 5 THEN NULL ELSE value > 20 END AS my_ex,
   CASE WHEN event_id % 13 = 7 THEN NULL ELSE value > 25 END AS ma_ex,
   CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id % 4 <> 0 END AS cross_match,
-  CAST(value AS INT) AS n_rows
+  CAST(floor(value) AS INT) AS n_rows
 FROM @events
 """
 
