@@ -12,15 +12,18 @@ TRUE_WORDS = ["true", "t", "yes", "y", "1"]
 FALSE_WORDS = ["false", "f", "no", "n", "0"]
 
 
+_WORDS = "map({})".format(
+    ", ".join([f"'{w}', true" for w in TRUE_WORDS] + [f"'{w}', false" for w in FALSE_WORDS])
+)
+
+
 def tolerant_boolean(value: Column) -> Column:
     """Boolean from its text form: a spelling from the lists in any case, or a number (non-zero is true)."""
-    word = F.lower(strip(value.cast("string")))
-    number = word.try_cast("double")
-    return (
-        F.when(word.isin(TRUE_WORDS), True)
-        .when(word.isin(FALSE_WORDS), False)
-        .when(word.rlike(r"^[-+.0-9]") & number.isNotNull(), number != 0)
-    )
+    text = value.cast("string")
+    word = F.lower(strip(text))
+    words = F.expr(_WORDS)
+    number = F.when(word.rlike(r"^[-+.0-9]"), word.try_cast("double") != 0)
+    return F.coalesce(F.try_element_at(words, text), F.try_element_at(words, word), number)
 
 
 def tolerant_number(value: Column) -> Column:

@@ -1,8 +1,9 @@
 """Which tables a question is about: scoring, top-k, foreign-key neighbours.
 
 Each question carries its dataset's schema profile as one array, so scoring is a narrow step: no join
-emits question-table pairs. The profile side is one row per dataset; Spark broadcasts it when it is small
-and splits hot datasets on the question side when it is not.
+emits question-table pairs. The profile side is one row per dataset, best written once (``plans.scratch``):
+its size is then known, so Spark broadcasts it when it is small and splits hot datasets on the question side
+when it is not.
 """
 
 from __future__ import annotations
@@ -43,20 +44,25 @@ def rank_tables(
         )
         rows = rows.withColumn("_near", near)
 
+    # Two references to the token set, so the optimizer keeps it as a column of its own instead of
+    # tokenizing the question again for every table.
     def scored(t: Column, i: Column) -> Column:
-        overlap = (
+        score = (
             F.lit(float(table_weight)) * F.size(F.array_intersect(F.col("_distinct"), t["name_tokens"]))
             + F.lit(float(col_weight)) * F.size(F.array_intersect(F.col("_distinct"), t["column_tokens"]))
         )
-        score = overlap + F.lit(float(fuzzy_weight)) * F.get(F.col("_near"), i) if fuzzy_weight else overlap
-        return F.struct(
-            (-score).alias("_order"), t["name"].alias("table"), score.alias("score"),
-            t["line"].alias("line"), t["neighbours"].alias("neighbours"),
-        )
+        if fuzzy_weight:
+            score = score + F.lit(float(fuzzy_weight)) * F.get(F.col("_near"), i)
+        return F.struct((-score).alias("order"), t["name"].alias("table"), i.alias("at"))
 
     ranked = F.transform(
         F.array_sort(F.transform("schema", scored)),
-        lambda t: F.struct(t["table"], t["score"], t["line"], t["neighbours"]),
+        lambda r: F.struct(
+            r["table"],
+            (-r["order"]).alias("score"),
+            F.get(F.col("schema"), r["at"])["line"].alias("line"),
+            F.get(F.col("schema"), r["at"])["neighbours"].alias("neighbours"),
+        ),
     )
     return rows.withColumn("ranked", ranked).drop("_tokens", "_distinct", "_near", "schema")
 

@@ -17,8 +17,11 @@ def _field(df: DataFrame, name: str) -> Column | None:
 def _first(df: DataFrame, names: list[str], nested: tuple[str, str], kind: str) -> Column:
     found = [F.col(nested[0])[nested[1]]] if nested[0] in df.columns else []
     found += [c for c in (_field(df, n) for n in names) if c is not None]
-    found = [tolerant_boolean(c) if kind == "boolean" else c.cast(kind) for c in found]
-    return F.coalesce(*found) if found else F.lit(None).cast(kind)
+    if not found:
+        return F.lit(None).cast(kind)
+    if kind == "boolean":
+        return tolerant_boolean(F.coalesce(*[c.cast("string") for c in found]))
+    return F.coalesce(*[c.cast(kind) for c in found])
 
 
 def canonical_runlog(records: DataFrame) -> DataFrame:

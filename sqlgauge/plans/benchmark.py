@@ -15,6 +15,7 @@ from ..operators.prompts import Tokenizer, pack_prompts, word_tokens
 from ..operators.questions import prepare_questions
 from ..operators.records import assemble_records, attach_predictions
 from ..operators.runlog import canonical_runlog, question_rows
+from .scratch import materialize
 
 
 def prepare_run(
@@ -29,7 +30,8 @@ def prepare_run(
     """Typed entries to questions with gold SQL, relevant schema and prompt: the input of the models."""
     graph = fk_graph(foreign_keys) if foreign_keys is not None else None
     questions = prepare_questions(entries, limit)
-    linked = link_schema(questions, schema_profiles(catalog, graph), max_tables)
+    profiles = materialize(schema_profiles(catalog, graph), "profiles")
+    linked = link_schema(questions, profiles, max_tables)
     packed = pack_prompts(linked, max_new_tokens=max_new_tokens, tokens=tokens)
     named = attach_profile(packed, dataset_tables(catalog))
     return named.withColumn(

@@ -157,8 +157,10 @@ _COLUMNS = (
     ("part_id", "int"), ("supplierName", "varchar(25)"), ("order_date", "date"), ("unitPrice", "float(3,2)"),
     ("qty2sold", "int"), ("region_key", "int"), ("comments", "text"),
 )
+# Which columns a table of each width has; joined by width.
 _COLUMN_ROWS = " UNION ALL ".join(
-    f"SELECT {i} AS col_pos, '{c}' AS col_name, '{t}' AS col_type" for i, (c, t) in enumerate(_COLUMNS)
+    f"SELECT {width} AS width, {i} AS col_pos, '{c}' AS col_name, '{t}' AS col_type"
+    for width in range(2, 8) for i, (c, t) in enumerate(_COLUMNS[:width])
 )
 
 CATALOG = f"""
@@ -166,14 +168,20 @@ SELECT 'd' || CAST(CAST(floor(p_partkey / 16) AS BIGINT) AS STRING) AS dataset,
   col_pos, col_name, col_type, col_pos > 0 AS is_nullable,
   CASE col_pos WHEN 4 THEN '''0''' WHEN 0 THEN '' END AS col_default,
   CASE WHEN col_pos = 0 THEN 0 WHEN col_pos = 1 AND p_partkey % 3 = 0 THEN 1 END AS pk_pos
-FROM @part JOIN ({_COLUMN_ROWS}) cols ON col_pos < 2 + p_size % 6
+FROM @part JOIN ({_COLUMN_ROWS}) cols ON width = 2 + p_size % 6
 """
 
+# The first key of slots 1, 4, 7, ... points one table back, the second of slots 3, 7, 11, 15 three back.
+_KEY_SLOTS = " UNION ALL ".join(
+    [f"SELECT {k} AS slot, 0 AS fk_pos, 1 AS back" for k in range(1, 16, 3)]
+    + [f"SELECT {k}, 1, 3" for k in range(3, 16, 4)]
+)
+
 FOREIGN_KEYS = f"""
 SELECT 'd' || CAST(CAST(floor(t.p_partkey / 16) AS BIGINT) AS STRING) AS dataset, {_table_name('t.')} AS table_name,
   f.fk_pos, 'part_id' AS col_name, {_table_name('r.')} AS ref_table, 'part_id' AS ref_column
-FROM @part t JOIN (SELECT 0 AS fk_pos, 3 AS m, 1 AS rest, 1 AS back UNION ALL SELECT 1, 4, 3, 3) f
-  ON t.p_partkey % 16 % f.m = f.rest AND t.p_partkey % 16 >= f.back
+FROM @part t JOIN ({_KEY_SLOTS}) f
+  ON f.slot = t.p_partkey % 16
 JOIN @part r ON r.p_partkey = t.p_partkey - f.back
 """
 

@@ -13,6 +13,7 @@ from ..functions.sqltext import schema_preview
 from ..operators import catalog as C
 from ..operators import linking as L
 from ..operators import prompts as P
+from ..plans.scratch import materialize
 from ..sources.corpus import manifest_rows
 from ..sources.ddl import choose_dialect, parse_columns, parse_foreign_keys, spark_type
 from .inputs import CATALOG, CORPUS, FOREIGN_KEYS, LINK_QUESTIONS
@@ -134,7 +135,7 @@ def l5(spark, sf):
 
 
 def questions(spark, sf) -> DataFrame:
-    return run(spark, sf, LINK_QUESTIONS)
+    return run(spark, sf, LINK_QUESTIONS, busy="orders")
 
 
 # The words that occur in questions and in table names, so the check can list the similarity of each pair.
@@ -216,7 +217,7 @@ def _ranking(rows: DataFrame) -> DataFrame:
 
 
 def profiles(spark, sf) -> DataFrame:
-    return C.schema_profiles(catalog(spark, sf), C.fk_graph(foreign_keys(spark, sf)))
+    return materialize(C.schema_profiles(catalog(spark, sf), C.fk_graph(foreign_keys(spark, sf))), "profiles")
 
 
 def _linkable(spark, sf) -> DataFrame:
@@ -344,7 +345,7 @@ _PACKED = f"""WITH d AS MATERIALIZED (SELECT id, schema_compact, {_tok('question
 
 def packed(spark, sf) -> DataFrame:
     return P.pack_prompts(
-        run(spark, sf, _PACK_INPUT), "schema_compact", "question", max_new_tokens=_NEW, context=_CTX
+        run(spark, sf, _PACK_INPUT, busy="documents"), "schema_compact", "question", max_new_tokens=_NEW, context=_CTX
     )
 
 

@@ -19,7 +19,7 @@ from .sqltext import BUCKET
 
 def records(spark, sf) -> DataFrame:
     """The run log with its execution facts spelled in one of three ways, by record."""
-    base = run(spark, sf, RUNLOG)
+    base = run(spark, sf, RUNLOG, busy="events")
     kind = F.col("id") % 3
     keep = [
         "id", "dataset", "llm", "query_split", "question_split", "question_text", "gold_sql_exec",

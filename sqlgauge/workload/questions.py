@@ -15,7 +15,7 @@ BLOCK = 256
 
 
 def entries(spark: SparkSession, sf: str) -> DataFrame:
-    return typed_entries(entry_from_json(run(spark, sf, CORPUS)))
+    return typed_entries(entry_from_json(run(spark, sf, CORPUS, busy="customer")))
 
 
 def numbered(spark: SparkSession, sf: str) -> DataFrame:

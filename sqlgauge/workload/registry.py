@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.spread import spread
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
     "labels conversations"
@@ -28,6 +30,13 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def run(spark: SparkSession, folder: str, sql: str) -> DataFrame:
-    """Run an input recipe over the parquet tables of ``folder``."""
+def run(spark: SparkSession, folder: str, sql: str, busy: str | None = None) -> DataFrame:
+    """Run an input recipe over the parquet tables of ``folder``.
+
+    ``busy`` names the table whose rows get costly text work; a small file of it is spread over the cores.
+    """
+    if busy is not None:
+        view = f"busy_{busy}"
+        spread(spark.read.parquet(f"{folder}/{busy}.parquet")).createOrReplaceTempView(view)
+        sql = re.sub(rf"@{busy}\b", view, sql)
     return spark.sql(re.sub(r"@(\w+)", lambda m: f"parquet.`{folder}/{m.group(1)}.parquet`", sql))
