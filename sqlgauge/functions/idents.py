@@ -44,4 +44,5 @@ def question_tokens(text: Column) -> Column:
 
 def identifier_tokens(name: Column) -> Column:
     """Distinct stemmed lower-case tokens of a table or column name."""
-    return F.array_distinct(F.transform(split_identifier(name), lambda w: stem(F.lower(w))))
+    words = F.transform(split_identifier(name), lambda w: F.lower(w))
+    return F.array_distinct(F.transform(words, stem))

@@ -45,6 +45,24 @@ def replace_token(text: Column, token: Column, value: Column) -> Column:
     return F.when(F.contains(text, token), replaced).otherwise(text)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over ``value``, with ``value`` computed once per row however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def respell_words(text: Column, words: Column, run: str) -> Column:
+    """Replace every run of word characters that equals one of ``words`` in any letter case by that word."""
+    def known(names: Column) -> Column:
+        def spelled(token: Column) -> Column:
+            at = F.array_position(names, F.lower(token)).cast("int")
+            return F.when(at > 0, F.get(words, at - 1)).otherwise(token)
+
+        tokens = F.regexp_extract_all(text, F.lit(run), F.lit(0))
+        return weave(F.split(text, run, -1), F.transform(tokens, spelled))
+
+    return let(F.transform(words, lambda w: F.lower(w)), known)
+
+
 def replace_word_any_case(text: Column, word: Column, ascii_bounds: bool) -> Column:
     """Replace whole words in any letter case with the given spelling.
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.quantiles import with_order_statistics
+from ..plans.scratch import materialize
 from ..sources.runlog import ENGINES
 
 # Report order of the buckets.
@@ -89,6 +90,7 @@ _QUANTILES = {
 
 
 def _stats(rows: DataFrame, means: dict[str, str], quantiles: list[str]) -> DataFrame:
+    rows = materialize(rows.select(*KEYS, *sorted(set(means.values()))), "times")
     summary = rows.groupBy(*KEYS).agg(*[F.avg(c).alias(name) for name, c in means.items()])
     return with_order_statistics(summary, rows, KEYS, {q: _QUANTILES[q] for q in quantiles})
 
@@ -131,6 +133,12 @@ _MEANS = {
 }
 
 
+_SUMMARY_INPUT = [
+    *KEYS, "complexity_bucket", "mysql_vs_mariadb_match", *_SIDES.values(), *_MEANS.values(),
+    *[f"{e}_{c}" for e in ENGINES for c in ("pred_success", "ex", "ex_given_success")],
+]
+
+
 def _rates(total: Column, true: dict[str, Column]) -> list[Column]:
     return [_ratio(c, total).alias(name) for name, c in true.items()]
 
@@ -138,9 +146,10 @@ def _rates(total: Column, true: dict[str, Column]) -> list[Column]:
 def summarize(rows: DataFrame) -> DataFrame:
     """One row per dataset followed by its bucket rows (``breakdown``, ``bucket``), see ``in_report_order``.
 
-    Counts and sums are taken once per dataset and bucket; the dataset rows add those few up, so the log is
-    aggregated in a single pass. Only the quantiles read it again.
+    The log is read once: the few columns needed are written as a narrow table. Counts and sums are taken per
+    dataset and bucket and the dataset rows add those few up; only the quantiles scan the narrow table again.
     """
+    rows = materialize(rows.select(*_SUMMARY_INPUT), "summary-input")
     true_agree, known_agree = _agreement()
     counts = {f"t_{e}_success": _true(f"{e}_pred_success") for e in ENGINES}
     counts |= {f"t_{e}_ex": _true(f"{e}_ex") for e in ENGINES}

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from ..functions.similarity import two_best_matches
 from ..functions.textops import (
     QUOTED,
+    let,
     longest_first,
     map_unquoted,
     replacement_literal,
     replace_word_any_case,
+    respell_words,
     strip,
     weave,
 )
@@ -22,20 +24,31 @@ _LAST_NAME = r"(?U)([A-Za-z_]\w*)(`?)$"
 MATCHES = "array<struct<best:string,ratio:double,second:double>>"
 
 
+def _plain(tables: Column) -> Column:
+    """All names are made of ASCII word characters, so whole words can be looked up instead of searched for."""
+    return F.forall(tables, lambda t: t.rlike("^[A-Za-z0-9_]+$"))
+
+
 def table_case_naive(sql: Column, tables: Column) -> Column:
     """Every known table name, whole word, any case, also inside quotes, to its schema spelling."""
-    return strip(F.aggregate(tables, sql, lambda done, t: replace_word_any_case(done, t, ascii_bounds=False)))
+    searched = F.aggregate(
+        tables, sql, lambda done, t: replace_word_any_case(done, t, ascii_bounds=False)
+    )
+    return strip(F.when(_plain(tables), respell_words(sql, tables, r"(?U)\w+")).otherwise(searched))
 
 
 def table_case(sql: Column, tables: Column) -> Column:
     """As above but only outside quotes, longest names first."""
-    ordered = longest_first(tables, lambda t: t)
-    return map_unquoted(
+    searched = map_unquoted(
         sql,
         lambda part: F.aggregate(
-            ordered, part, lambda done, t: replace_word_any_case(done, t, ascii_bounds=True)
+            longest_first(tables, lambda t: t),
+            part,
+            lambda done, t: replace_word_any_case(done, t, ascii_bounds=True),
         ),
     )
+    looked_up = map_unquoted(sql, lambda part: respell_words(part, tables, "[A-Za-z0-9_]+"))
+    return F.when(_plain(tables), looked_up).otherwise(searched)
 
 
 def _reference_name(match: Column) -> Column:
@@ -52,19 +65,21 @@ def table_references(sql: Column) -> Column:
     return F.transform(F.filter(found, _is_reference), _reference_name)
 
 
-def exact_match(token: Column, tables: Column) -> Column:
-    """Exact match in any case (1.0) or after one final ``s`` is dropped (0.99), else null."""
-    low = F.lower(token)
+def exact_match(token: Column, tables: Column, lower: Column) -> Column:
+    """Exact match in any case (1.0) or after one final ``s`` is dropped (0.99), else null.
 
-    def named(name: Column) -> Column:
-        return F.get(F.filter(tables, lambda t: F.lower(t) == name), F.lit(0))
+    ``lower`` holds the lower-case spellings of ``tables``.
+    """
+    low = F.lower(token)
 
-    def result(best: Column, ratio: float) -> Column:
+    def result(at: Column, ratio: float) -> Column:
+        best = F.get(tables, at.cast("int") - 1)
         return F.struct(best.alias("best"), F.lit(ratio).alias("ratio"), F.lit(0.0).alias("second"))
 
-    singular = named(F.substring(low, F.lit(1), F.length(low) - 1))
-    return F.when(named(low).isNotNull(), result(named(low), 1.0)).when(
-        F.endswith(low, F.lit("s")) & singular.isNotNull(), result(singular, 0.99)
+    whole = F.array_position(lower, low)
+    singular = F.array_position(lower, F.substring(low, F.lit(1), F.length(low) - 1))
+    return F.when(whole > 0, result(whole, 1.0)).when(
+        F.endswith(low, F.lit("s")) & (singular > 0), result(singular, 0.99)
     )
 
 
@@ -76,7 +91,10 @@ def match_tables(
     Exact and plural matches stay native. Only what is left goes through the similarity function; below
     ``min_ratio`` a token stands for itself.
     """
-    exact = F.transform(F.col(tokens), lambda t: exact_match(t, F.col(tables)))
+    exact = let(
+        F.transform(F.col(tables), lambda t: F.lower(t)),
+        lambda lower: F.transform(F.col(tokens), lambda t: exact_match(t, F.col(tables), lower)),
+    )
     rows = rows.withColumn("_exact", exact).withColumn(
         "_open",
         F.array_distinct(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.flags import tolerant_number, true_or_false
 from ..plans.quantiles import with_order_statistics
+from ..plans.scratch import materialize
 
 CHART_BUCKETS = ("simple", "medium", "complex")
 
@@ -40,7 +41,7 @@ def flag_rates(rows: DataFrame, columns: list[str], keys: list[str]) -> DataFram
 
 def numeric_stats(rows: DataFrame, column: str, prefix: str, keys: list[str]) -> DataFrame:
     """Mean, interpolated median and linear 95th percentile; null where a group has no value."""
-    values = rows.select(*keys, number(rows, column).alias(column))
+    values = materialize(rows.select(*keys, number(rows, column).alias(column)), "numbers")
     summary = values.groupBy(*keys).agg(F.avg(column).alias(f"{prefix}_mean"))
     return with_order_statistics(
         summary, values, keys,
@@ -69,6 +70,7 @@ def metrics_by_dataset(rows: DataFrame, engine: str) -> DataFrame:
         number(rows, "tables_in_schema_compact").alias("tables"),
         number(rows, "schema_num_columns").alias("columns"),
     )
+    values = materialize(values, "chart-input")
     summary = values.groupBy("dataset").agg(
         F.count(F.lit(1)).alias("n"),
         flag_rate(F.col("f_pred")).alias("pred_exec_rate"),
