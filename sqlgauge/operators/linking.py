@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.idents import question_tokens
 from ..functions.similarity import best_ratio_per_group
+from ..session import ship_package
 
 
 def attach_profile(rows: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -36,6 +37,7 @@ def rank_tables(
     rows = attach_profile(questions, profiles).withColumn("_tokens", question_tokens(F.col(question)))
     rows = rows.withColumn("_distinct", F.array_distinct("_tokens"))
     if fuzzy_weight:
+        ship_package(questions.sparkSession)
         signature = F.array_join(
             F.transform("schema", lambda t: F.array_join(t["name_tokens"], " ")), "|"
         )

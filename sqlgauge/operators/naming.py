@@ -17,6 +17,7 @@ from ..functions.textops import (
     strip,
     weave,
 )
+from ..session import ship_package
 
 _REFERENCE = r"\b(?:from|join|update|into|delete\s+from)\b\s+`?[A-Za-z_]\w*`?"
 _QUOTED_OR_REFERENCE = f"(?iU){QUOTED}|{_REFERENCE}"
@@ -91,6 +92,7 @@ def match_tables(
     Exact and plural matches stay native. Only what is left goes through the similarity function; below
     ``min_ratio`` a token stands for itself.
     """
+    ship_package(rows.sparkSession)
     exact = let(
         F.transform(F.col(tables), lambda t: F.lower(t)),
         lambda lower: F.transform(F.col(tokens), lambda t: exact_match(t, F.col(tables), lower)),

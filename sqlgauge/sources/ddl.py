@@ -14,8 +14,7 @@ _FOREIGN = r"(?is)FOREIGN\s+KEY\s*\(([^)]*)\)\s*REFERENCES\s*`?(\w+)`?\s*\(([^)]
 def read_ddl(spark: SparkSession, root: str, dialect: str, fallback: str = "mysql") -> DataFrame:
     """``dataset, ddl`` of ``root/<dialect>/<dataset>.schema.sql``; missing ones come from the fallback dialect."""
     texts = (
-        spark.read.option("wholetext", True)
-        .text(f"{root}/*/*.schema.sql")
+        spark.read.text(f"{root}/*/*.schema.sql", wholetext=True)
         .select(
             F.regexp_extract("_metadata.file_path", r"/([^/]+)/[^/]+$", 1).alias("dialect"),
             F.regexp_extract("_metadata.file_name", r"^(.*)\.schema\.sql$", 1).alias("dataset"),
