@@ -52,11 +52,14 @@ def evaluate_run(
     spelling: str = "dotted",
 ) -> DataFrame:
     """Prepared questions and model output (by ``dataset, id``) to run-log records."""
-    cleaned = clean_prediction(attach_predictions(prepared, predictions, ["dataset", "id"]))
+    # Written once: the texts to run and the join of their outcomes both read it.
+    cleaned = materialize(
+        clean_prediction(attach_predictions(prepared, predictions, ["dataset", "id"])), "cleaned"
+    )
     outcomes = match_outcomes(run_pairs(cleaned, parallel=parallel, timeout_s=timeout_s))
     return assemble_records(outcomes, llm, rdbms, spelling)
 
 
 def report(records: DataFrame) -> DataFrame:
-    """Run-log records of any spelling to the ordered summary."""
+    """Run-log records of any spelling to the ordered summary; the log is read once."""
     return in_report_order(summarize(question_rows(canonical_runlog(records))))
