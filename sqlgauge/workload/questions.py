@@ -22,11 +22,15 @@ def numbered(spark: SparkSession, sf: str) -> DataFrame:
     return Q.number_entries(entries(spark, sf), BLOCK)
 
 
+def flatten(entries: DataFrame) -> DataFrame:
+    return Q.flatten_questions(entries).withColumn("sent_pos", F.col("sent_pos").cast("long"))
+
+
 def flat(spark: SparkSession, sf: str) -> DataFrame:
-    return Q.flatten_questions(entries(spark, sf))
+    return flatten(entries(spark, sf))
 
 
-KEYS = ("dataset", "entry_pos", F.col("sent_pos").cast("long").alias("sent_pos"))
+KEYS = ("dataset", "entry_pos", "sent_pos")
 _ORACLE_KEYS = "dataset, entry_pos, CAST(sent_pos AS BIGINT) AS sent_pos"
 
 
@@ -37,12 +41,12 @@ def q1(spark, sf):
 
 @query("q2_sequential_id", f"SELECT {_ORACLE_KEYS}, id FROM ({QUESTIONS}) q")
 def q2(spark, sf):
-    return Q.flatten_questions(numbered(spark, sf)).select(*KEYS, "id")
+    return flatten(numbered(spark, sf)).select(*KEYS, "id")
 
 
 @query("q3_question_limit", f"SELECT {_ORACLE_KEYS}, id FROM ({QUESTIONS}) q WHERE id < 37")
 def q3(spark, sf):
-    return Q.limit_questions(Q.flatten_questions(numbered(spark, sf)), 37).select(*KEYS, "id")
+    return Q.limit_questions(flatten(numbered(spark, sf)), 37).select(*KEYS, "id")
 
 
 @query(
@@ -61,7 +65,7 @@ def q4(spark, sf):
     f"SELECT {_ORACLE_KEYS}, question_text FROM ({QUESTIONS}) q WHERE entry_pos >= 100",
 )
 def q5(spark, sf):
-    return Q.flatten_questions(Q.from_entry(entries(spark, sf), 100)).select(*KEYS, "question_text")
+    return flatten(Q.from_entry(entries(spark, sf), 100)).select(*KEYS, "question_text")
 
 
 @query(
