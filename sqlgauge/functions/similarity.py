@@ -5,12 +5,13 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-@lru_cache(maxsize=1 << 18)
+@lru_cache(maxsize=1 << 16)
 def ratio(a: str, b: str) -> float:
     """``2*M/T`` over the matching blocks of ``a`` and ``b``; the argument order matters."""
     return SequenceMatcher(None, a, b).ratio()
@@ -22,14 +23,14 @@ def similarity_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else ratio(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-@lru_cache(maxsize=1 << 12)
+@lru_cache(maxsize=1 << 10)
 def _groups(signature: str) -> tuple[tuple[str, ...], ...]:
     return tuple(tuple(g.split(" ")) if g else () for g in signature.split("|"))
 
 
-@lru_cache(maxsize=1 << 17)
-def _best_per_group(token: str, signature: str) -> tuple[float, ...]:
-    return tuple(max((ratio(token, t) for t in group), default=0.0) for group in _groups(signature))
+@lru_cache(maxsize=1 << 13)
+def _best_per_group(token: str, signature: str) -> np.ndarray:
+    return np.array([max((ratio(token, t) for t in group), default=0.0) for group in _groups(signature)])
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
@@ -42,11 +43,11 @@ def best_ratio_per_group(tokens: pd.Series, groups: pd.Series) -> pd.Series:
     out = []
     for words, signature in zip(tokens, groups):
         rows = [_best_per_group(w, signature) for w in words.split(" ") if w]
-        out.append([max(column) for column in zip(*rows)] if rows else [0.0] * len(_groups(signature)))
+        out.append(np.maximum.reduce(rows) if rows else np.zeros(len(_groups(signature))))
     return pd.Series(out)
 
 
-@lru_cache(maxsize=1 << 17)
+@lru_cache(maxsize=1 << 14)
 def _two_best(token: str, names: str) -> tuple[int, float, float]:
     scored = sorted(
         ((ratio(token, name.lower()), i) for i, name in enumerate(names.split("|"))),

@@ -117,12 +117,19 @@ def dataset_tables(catalog: DataFrame) -> DataFrame:
     return catalog.groupBy("dataset").agg(F.array_sort(F.collect_set("table")).alias("tables"))
 
 
-def schema_profiles(catalog: DataFrame, graph: DataFrame | None = None) -> DataFrame:
+def schema_profiles(
+    catalog: DataFrame, graph: DataFrame | None = None, with_types: bool = False
+) -> DataFrame:
     """``dataset, schema``: everything linking needs about a dataset, in one row per dataset.
 
     ``schema`` is an array over tables in name order: ``name, line, name_tokens, column_tokens, neighbours``.
     """
-    tables = table_rows(catalog)
+    # Tokens are made on the catalog rows, before they are grouped into tables.
+    tables = (
+        catalog.withColumn("_tokens", identifier_tokens(F.col("column")))
+        .groupBy("dataset", "table")
+        .agg(_in_order("col_pos", F.col("column"), F.col("type"), F.col("_tokens")).alias("columns"))
+    )
     if graph is not None:
         near = graph.groupBy("dataset", F.col("src").alias("table")).agg(
             F.array_sort(F.collect_set("dst")).alias("neighbours")
@@ -130,12 +137,10 @@ def schema_profiles(catalog: DataFrame, graph: DataFrame | None = None) -> DataF
         tables = tables.join(near, ["dataset", "table"], "left")
     else:
         tables = tables.withColumn("neighbours", F.lit(None).cast("array<string>"))
-    column_tokens = F.array_distinct(
-        F.flatten(F.transform("columns", lambda c: identifier_tokens(c["column"])))
-    )
+    column_tokens = F.array_distinct(F.flatten(F.transform("columns", lambda c: c["_tokens"])))
     entry = F.struct(
         F.col("table").alias("name"),
-        compact_line(F.col("table"), F.col("columns")).alias("line"),
+        compact_line(F.col("table"), F.col("columns"), with_types).alias("line"),
         identifier_tokens(F.col("table")).alias("name_tokens"),
         column_tokens.alias("column_tokens"),
         F.coalesce("neighbours", F.array().cast("array<string>")).alias("neighbours"),

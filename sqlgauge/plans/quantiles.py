@@ -27,6 +27,11 @@ def nearest_rank(total: Column, q: float) -> Column:
     return F.greatest(F.lit(1), F.least(total, F.ceil(F.lit(float(q)) * total))).cast("long")
 
 
+def _running(name: str, keys: list[str], order: str) -> Column:
+    frame = Window.partitionBy(*keys).orderBy(order)
+    return F.sum(name).over(frame.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+
+
 def order_statistics(
     df: DataFrame, keys: list[str], requests: dict[str, tuple[str, str, float]]
 ) -> DataFrame:
@@ -48,7 +53,7 @@ def order_statistics(
     counted = (
         values.groupBy(*group, "_cell")
         .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_upto", F.sum("_n").over(Window.partitionBy(*group).orderBy("_cell")))
+        .withColumn("_upto", _running("_n", group, "_cell"))
         .withColumn("_total", F.sum("_n").over(Window.partitionBy(*group)))
     )
     total = F.col("_total")
@@ -88,7 +93,7 @@ def order_statistics(
         null_safe_join(values, cells, [*group, "_cell"], "left_semi")
         .groupBy(*group, "_cell", "_v")
         .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_upto", F.sum("_n").over(Window.partitionBy(*group, "_cell").orderBy("_v")))
+        .withColumn("_upto", _running("_n", [*group, "_cell"], "_v"))
     )
     upto = F.col("_upto")
     picked = null_safe_join(

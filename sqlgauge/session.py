@@ -34,6 +34,8 @@ def ship_package(spark: SparkSession) -> None:
     if context.applicationId in _shipped:
         return
     home = Path(__file__).resolve().parent
+    if not home.is_dir():
+        return  # running from an archive that was shipped already
     archive = shutil.make_archive(
         f"{tempfile.mkdtemp(prefix='sqlgauge-code-')}/sqlgauge", "zip", home.parent, home.name
     )

@@ -24,7 +24,7 @@ K = 4
 
 
 def catalog(spark, sf) -> DataFrame:
-    return run(spark, sf, CATALOG).toDF(
+    return run(spark, sf, CATALOG, busy="part").toDF(
         "dataset", "table", "col_pos", "column", "type", "nullable", "default", "pk_pos"
     )
 
@@ -303,25 +303,26 @@ def l11(spark, sf):
     return C.completeness(run(spark, sf, _MINIMUM), catalog(spark, sf))
 
 
-_PROMPT_INPUT = """SELECT doc_id AS id, text AS schema_compact, coalesce(substr(text, 1, 120), '') AS question FROM @documents"""
+_ASK = "'Which texts of ' || source || ' are written in ' || lang"
+_PROMPT_INPUT = f"SELECT doc_id AS id, text AS schema_compact, {_ASK} AS question FROM @documents"
+_PROMPT_HEAD = """'### Database schema:' || chr(10) || schema_compact || chr(10) || chr(10) || '### Question:' || chr(10)
+  || question || chr(10) || chr(10) || '### SQL:' || chr(10)"""
 
 
 @query(
     "l12_prompt",
-    f"""SELECT id, '### Database schema:' || chr(10) || question || chr(10) || chr(10) || '### Question:' || chr(10)
-      || question || chr(10) || chr(10) || '### SQL:' || chr(10) || 'SELECT ' AS prompt,
-      '### Database schema:' || chr(10) || question || chr(10) || chr(10) || '### Question:' || chr(10)
-      || question || chr(10) || chr(10) || '### SQL:' || chr(10) AS chat_prompt FROM ({_PROMPT_INPUT}) d""",
+    f"SELECT id, {_PROMPT_HEAD} || 'SELECT ' AS prompt, {_PROMPT_HEAD} AS chat_prompt FROM ({_PROMPT_INPUT}) d",
 )
 def l12(spark, sf):
-    q = F.col("question")
+    schema, question = F.col("schema_compact"), F.col("question")
     return run(spark, sf, _PROMPT_INPUT).select(
-        "id", P.build_prompt(q, q).alias("prompt"), P.build_prompt(q, q, P.ENDING_ANSWER).alias("chat_prompt")
+        "id", P.build_prompt(schema, question).alias("prompt"),
+        P.build_prompt(schema, question, P.ENDING_ANSWER).alias("chat_prompt"),
     )
 
 
-# A question of all words, so that long ones are cut, over documents split into schema lines.
-_PACK_INPUT = """SELECT doc_id AS id, text AS schema_compact, substr(text, 1, 400 * (1 + CAST(doc_id % 4 AS INT))) AS question
+# Documents as schema texts; every fourth question is the whole document, so that long ones are cut.
+_PACK_INPUT = f"""SELECT doc_id AS id, text AS schema_compact, CASE WHEN doc_id % 4 = 0 THEN text ELSE {_ASK} END AS question
   FROM @documents"""
 _CTX, _NEW = 260, 60
 _BUDGET = _CTX - _NEW
