@@ -18,6 +18,8 @@ def _family(dtype: T.DataType) -> str:
         return "float"
     if isinstance(dtype, T.DecimalType):
         return "decimal"
+    if isinstance(dtype, T.StringType):
+        return "string"
     return dtype.simpleString()
 
 
@@ -34,6 +36,9 @@ def _comparable(df: DataFrame, loose_numbers: bool) -> DataFrame:
             column = column.cast("long")
         elif family == "decimal":
             column = column.cast("decimal(38,12)")
+        elif family == "string":
+            # Values are compared letter by letter, whatever collation the query ran under.
+            column = F.collate(column, "UTF8_BINARY")
         elif isinstance(field.dataType, T.MapType):
             column = F.array_sort(F.map_entries(column))
         out.append(column.alias(field.name))

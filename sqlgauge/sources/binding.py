@@ -3,20 +3,40 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
-def bind_tables(spark: SparkSession, folder: str, tables: list[str]) -> None:
-    """Make ``folder/<table>.parquet`` visible under the table names."""
-    for table in tables:
-        spark.read.parquet(f"{folder}/{table}.parquet").createOrReplaceTempView(table)
-
+def bind_tables(spark: SparkSession, folder: str, tables: list[str], ignore_case: bool = False) -> None:
+    """Make ``folder/<table>.parquet`` visible under the table names.
 
-def bind_dataset(spark: SparkSession, datasets: dict[str, tuple[str, list[str]]], dataset: str) -> None:
+    ``ignore_case`` gives text columns a collation that compares letters of either case as equal, as the
+    usual MySQL and MariaDB collations do.
+    """
+    for table in tables:
+        rows = spark.read.parquet(f"{folder}/{table}.parquet")
+        if ignore_case:
+            rows = rows.select(
+                *[
+                    F.collate(f"`{f.name}`", "UTF8_LCASE").alias(f.name)
+                    if isinstance(f.dataType, StringType) else F.col(f"`{f.name}`")
+                    for f in rows.schema.fields
+                ]
+            )
+        rows.createOrReplaceTempView(table)
+
+
+def bind_dataset(
+    spark: SparkSession,
+    datasets: dict[str, tuple[str, list[str]]],
+    dataset: str,
+    ignore_case: bool = False,
+) -> None:
     """Bind one of the known datasets (name to folder and tables); an unknown name is an error."""
     if dataset not in datasets:
         raise ValueError(f"Unknown dataset: {dataset}")
     folder, tables = datasets[dataset]
-    bind_tables(spark, folder, tables)
+    bind_tables(spark, folder, tables, ignore_case)
 
 
 def use_database(spark: SparkSession, datasets: dict[str, str], dataset: str) -> None:

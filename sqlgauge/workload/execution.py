@@ -121,7 +121,7 @@ def x1(spark, sf):
 @query(
     "w13_failures",
     " UNION ALL ".join(
-        f"SELECT '{n}' AS name, FALSE AS success, 0 AS n_rows, TRUE AS has_error, TRUE AS timed" for n in FAILING
+        f"SELECT '{n}' AS name, FALSE AS success, CAST(0 AS BIGINT) AS n_rows, TRUE AS has_error, TRUE AS timed" for n in FAILING
     ),
 )
 def w13(spark, sf):

@@ -394,7 +394,8 @@ def _runs(spark, sf, engine: str) -> DataFrame:
     f"""SELECT llm, dataset, id, coalesce(my_pred AND ma_pred, FALSE) AND id % 4 <> 0 AS match,
       CASE WHEN NOT coalesce(my_pred AND ma_pred, FALSE) THEN 'One or both queries failed' END AS reason,
       my_pred AS mysql_success, ma_pred AS mariadb_success,
-      CASE WHEN my_pred AND ma_pred THEN n_rows END AS mysql_rows, CASE WHEN my_pred AND ma_pred THEN n_rows END AS mariadb_rows,
+      CASE WHEN my_pred AND ma_pred THEN CAST(n_rows AS BIGINT) END AS mysql_rows,
+      CASE WHEN my_pred AND ma_pred THEN CAST(n_rows AS BIGINT) END AS mariadb_rows,
       round(CASE WHEN my_pred AND ma_pred THEN my_pred_t END, 6) AS mysql_time,
       round(CASE WHEN my_pred AND ma_pred THEN ma_pred_t END, 6) AS mariadb_time,
       round(CASE WHEN my_pred AND ma_pred THEN abs(my_pred_t - ma_pred_t) END, 6) AS time_difference

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sqlgauge.operators.comparison import compare_engines, compare_results, fingerprint, match_outcomes
 from sqlgauge.operators.execution import execute_on_dataset, execute_sql, execute_texts, query_text, run_pairs
+from sqlgauge.sources.binding import bind_dataset
 from sqlgauge.operators.records import assemble_records, attach_predictions, flatten_outcomes
 
 
@@ -103,6 +104,19 @@ def test_named_dataset(spark, tmp_path):
     assert not row.success and row.error == "Unknown dataset: other"
 
 
+def test_case_insensitive_tables(spark, tmp_path):
+    df(spark, [(1, "Boston"), (2, "BOSTON"), (3, "x")], "id int, city string").write.parquet(str(tmp_path / "c.parquet"))
+    known = {"a": (str(tmp_path), ["c"])}
+    bind_dataset(spark, known, "a", ignore_case=True)
+    assert execute_sql(spark, 'SELECT id FROM c WHERE city = "boston"')["rows"] == 2
+    loose = spark.table("c").select("city").where("id = 1")
+    assert compare_results(loose, df(spark, [("Boston",)], "city string")).first().match is True
+    assert compare_results(loose, df(spark, [("boston",)], "city string")).first().match is False
+    assert fingerprint(loose).first() == fingerprint(df(spark, [("Boston",)], "city string")).first()
+    bind_dataset(spark, known, "a")
+    assert execute_sql(spark, 'SELECT id FROM c WHERE city = "boston"')["rows"] == 0
+
+
 def outcome(success, rows=1, time_s=1.0, a=1):
     return Row(success=success, rows=rows, time_s=time_s, error=None if success else "e",
                fingerprint=Row(columns="x", rows=rows, sum_a=Decimal(a), sum_b=Decimal(0)) if success else None)
