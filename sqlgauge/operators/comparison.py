@@ -24,11 +24,16 @@ def _family(dtype: T.DataType) -> str:
 
 
 def _comparable(df: DataFrame, loose_numbers: bool) -> DataFrame:
-    """Columns in name order; numbers of one family share a type, NaN counts as null, maps become arrays."""
+    """Columns in name order as ``c0, c1, ...``; numbers of one family share a type, NaN counts as null.
+
+    Columns are addressed by position, so repeated names do no harm.
+    """
+    placed = df.toDF(*[f"p{i}" for i in range(len(df.columns))])
+    order = sorted(range(len(df.columns)), key=lambda i: df.columns[i])
     out = []
-    for field in sorted(df.schema.fields, key=lambda f: f.name):
-        column = F.col(f"`{field.name}`")
-        family = _family(field.dataType)
+    for at, i in enumerate(order):
+        kind = placed.schema.fields[i].dataType
+        column, family = F.col(f"p{i}"), _family(kind)
         if family == "float" or (loose_numbers and family in ("integer", "decimal")):
             number = column.cast("double")
             column = F.when(~F.isnan(number), number)
@@ -39,10 +44,10 @@ def _comparable(df: DataFrame, loose_numbers: bool) -> DataFrame:
         elif family == "string":
             # Values are compared letter by letter, whatever collation the query ran under.
             column = F.collate(column, "UTF8_BINARY")
-        elif isinstance(field.dataType, T.MapType):
+        elif isinstance(kind, T.MapType):
             column = F.array_sort(F.map_entries(column))
-        out.append(column.alias(field.name))
-    return df.select(*out)
+        out.append(column.alias(f"c{at}"))
+    return placed.select(*out)
 
 
 def _comparable_schemas(left: DataFrame, right: DataFrame, strict_types: bool) -> bool:
@@ -71,38 +76,40 @@ def compare_results(left: DataFrame, right: DataFrame, strict_types: bool = True
     tag = "__side"
     tagged = a.withColumn(tag, F.lit(1)).unionByName(b.withColumn(tag, F.lit(-1)))
     uneven = (
-        tagged.groupBy(*[F.col(f"`{c}`") for c in a.columns]).agg(F.sum(tag).alias(tag)).where(F.col(tag) != 0)
+        tagged.groupBy(*a.columns).agg(F.sum(tag).alias(tag)).where(F.col(tag) != 0)
     )
     return uneven.agg((F.count(F.lit(1)) == 0).alias("match"))
 
 
 def fingerprint(df: DataFrame, strict_types: bool = True) -> DataFrame:
-    """One row ``fingerprint``: typed column list, row count and two sums of independent row hashes.
+    """One row ``rows, fingerprint``: typed column list, row count and two sums of independent row hashes.
 
-    Equal bags have equal fingerprints; needs no shuffle of the rows.
+    Equal bags have equal fingerprints; needs no shuffle of the rows. A result with repeated column names has
+    none, so it equals no other.
     """
     flat = _comparable(df, not strict_types)
-    kinds = {f.name: _family(f.dataType) for f in df.schema.fields}
-    names = ",".join(f"{c}:{kinds[c]}" if strict_types else c for c in flat.columns)
+    order = sorted(range(len(df.columns)), key=lambda i: df.columns[i])
+    kinds = [_family(f.dataType) for f in df.schema.fields]
+    names = ",".join(f"{df.columns[i]}:{kinds[i]}" if strict_types else df.columns[i] for i in order)
     # A null is told from other values by its own flag; the second hash is seeded by a leading constant.
     parts: list[Column] = []
     for c in flat.columns:
-        parts += [F.col(f"`{c}`"), F.col(f"`{c}`").isNull()]
-    wide = F.xxhash64(*parts) if parts else F.lit(0).cast("long")
-    other = F.xxhash64(F.lit("second"), *reversed(parts)) if parts else F.lit(0).cast("long")
+        parts += [F.col(c), F.col(c).isNull()]
+    first = F.xxhash64(*parts) if parts else F.lit(0).cast("long")
+    second = F.xxhash64(F.lit("second"), *reversed(parts)) if parts else F.lit(0).cast("long")
     zero = F.lit(0).cast("decimal(38,0)")
     sums = flat.select(
-        wide.cast("decimal(28,0)").alias("_a"), other.cast("decimal(28,0)").alias("_b")
+        first.cast("decimal(28,0)").alias("_a"), second.cast("decimal(28,0)").alias("_b")
     ).agg(
         F.count(F.lit(1)).alias("rows"),
         F.coalesce(F.sum("_a").cast("decimal(38,0)"), zero).alias("a"),
         F.coalesce(F.sum("_b").cast("decimal(38,0)"), zero).alias("b"),
     )
-    return sums.select(
-        F.struct(
-            F.lit(names).alias("columns"), F.col("rows"), F.col("a").alias("sum_a"), F.col("b").alias("sum_b")
-        ).alias("fingerprint")
+    mark = F.struct(
+        F.lit(names).alias("columns"), F.col("rows"), F.col("a").alias("sum_a"), F.col("b").alias("sum_b")
     )
+    unique = len(set(df.columns)) == len(df.columns)
+    return sums.select("rows", F.when(F.lit(unique), mark).alias("fingerprint"))
 
 
 def match_outcomes(rows: DataFrame, pred: str = "pred", gold: str = "gold", out: str = "match") -> DataFrame:

@@ -61,8 +61,8 @@ def execute_sql(spark: SparkSession, sql: str, timeout_s: float | None = None) -
         if timeout_s is not None:
             timer = threading.Timer(timeout_s, context.cancelJobGroup, [group])
             timer.start()
-        mark = fingerprint(run_query(spark, sql)).first().fingerprint
-        outcome = {"success": True, "rows": mark.rows, "error": None, "fingerprint": mark}
+        seen = fingerprint(run_query(spark, sql)).first()
+        outcome = {"success": True, "rows": seen.rows, "error": None, "fingerprint": seen.fingerprint}
     except Exception as failure:  # noqa: BLE001 - any failure is an outcome
         outcome = {"success": False, "rows": 0, "error": str(failure), "fingerprint": None}
     finally:

@@ -90,9 +90,11 @@ def test_pairs_match_only_when_both_ran(spark):
     spark.range(4).createOrReplaceTempView("four")
     good = "SELECT id FROM four"
     pairs = [(0, good, "SELECT id FROM four ORDER BY id DESC"), (1, good, "SELECT id + 1 AS id FROM four"), (2, "SELECT x", good),
-             (3, good, "nonsense"), (4, None, good), (5, "SELECT x", "SELECT x")]
+             (3, good, "nonsense"), (4, None, good), (5, "SELECT x", "SELECT x"), (6, "SELECT id, id FROM four", "SELECT id, id FROM four"),
+             (7, "SELECT a.id, b.id AS other FROM four a, four b WHERE a.id = b.id", "SELECT id AS other, id FROM four")]
     rows = match_outcomes(run_pairs(df(spark, pairs, "id int, pred_sql string, gold_sql_exec string"))).collect()
-    assert {r.id: r.match for r in rows} == {0: True, 1: False, 2: False, 3: False, 4: False, 5: False}
+    assert {r.id: r.match for r in rows} == {0: True, 1: False, 2: False, 3: False, 4: False, 5: False, 6: False, 7: True}
+    assert {r.id: r.pred.success for r in rows if r.pred}[6] is True and {r.id: r.pred.rows for r in rows if r.pred}[6] == 4
 
 
 def test_named_dataset(spark, tmp_path):
