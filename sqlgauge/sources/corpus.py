@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.scratch import materialize
+
 # Every field is first read as raw JSON text because corpora spell it as a list, an object or a scalar.
 RAW_ENTRY = (
     "`query-split` string, sentences string, sql string, variables string, difficulty string, "
@@ -40,7 +42,9 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     if wrong is not None:
         raise ValueError(f"corpus root must be a list: {wrong.file}")
 
-    entries = (
+    # A list file is one task. Writing its entries once lets every later step read them in parallel, and
+    # pins the row numbers that positions are derived from.
+    entries = materialize(
         spark.read.schema(RAW_ENTRY)
         .option("multiLine", True)
         .option("mode", "FAILFAST")
@@ -50,9 +54,10 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
             F.col("_metadata.file_path").alias("_file"),
             F.monotonically_increasing_id().alias("_at"),
             "*",
-        )
+        ),
+        "corpus",
     )
-    first = entries.groupBy("_file").agg(F.min("_at").alias("_first"))
+    first = materialize(entries.groupBy("_file").agg(F.min("_at").alias("_first")), "corpus-files")
     return (
         entries.join(first, "_file")
         .withColumn("entry_pos", F.col("_at") - F.col("_first"))
