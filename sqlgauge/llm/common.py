@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -76,3 +77,23 @@ def merged(group: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nd
     first = np.flatnonzero(fresh)
     last = np.append(first[1:], len(group)) - 1
     return group[first], start[first], (reach - base)[last]
+
+
+# --- splitting of Latin texts ------------------------------------------------------------------------------------
+
+
+def _class(kinds: str, below: int = 0x300) -> str:
+    """A character class of all characters under ``below`` whose Unicode category begins with one of ``kinds``."""
+    return "".join(re.escape(chr(c)) for c in range(below) if unicodedata.category(chr(c))[0] in kinds)
+
+
+#: Characters up to U+02FF have had their categories for long, so a fast pattern splits them as any library does.
+NOT_LATIN = re.compile("[^\x00-˿]")
+BLANK = "\t-\r \x85\xa0"
+LETTER, NUMBER = _class("L"), _class("N")
+
+
+def latin_pattern(contraction: str, space: str, number: str, blank: bool) -> re.Pattern:
+    """Contractions, letters, numbers, other signs and, if asked for, blanks, in this order of preference."""
+    parts = [contraction, f"{space}[{LETTER}]+", f"{space}[{NUMBER}]{number}", f"{space}[^{BLANK}{LETTER}{NUMBER}]+"]
+    return re.compile("|".join(parts + ([f"[{BLANK}]+(?![^{BLANK}])", f"[{BLANK}]+"] if blank else [])))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, suffix_dedup
+from . import bpe, decontamination, line_dedup, secret_scan, suffix_dedup, token_files
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,5 +46,113 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query(
+    "op3_line_dedup",
+    r"""
+WITH pieces AS (
+  SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line,
+         generate_subscripts(string_split(text, chr(10)), 1) AS pos
+  FROM documents),
+counted AS (
+  SELECT source, trim(line) AS line, count(DISTINCT doc_id) AS n FROM pieces WHERE trim(line) <> '' GROUP BY ALL),
+pages AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
+bad AS (
+  SELECT c.source, c.line FROM counted c JOIN pages p ON c.source IS NOT DISTINCT FROM p.source
+  WHERE c.n >= 5 AND c.n > 0.01 * p.pages),
+judged AS (
+  SELECT p.doc_id, p.line, p.pos, b.line IS NOT NULL AS gone
+  FROM pieces p LEFT JOIN bad b ON p.source IS NOT DISTINCT FROM b.source AND trim(p.line) = b.line),
+kept AS (
+  SELECT doc_id, count(*) FILTER (WHERE trim(line) <> '') AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+         string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone) AS text
+  FROM judged GROUP BY doc_id)
+SELECT d.doc_id, d.source, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_dropped, 0) AS n_dropped,
+       sha256(coalesce(k.text, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
+""",
+)
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines on more than one in a hundred documents of their source; the source is the site."""
+    docs = table(spark, folder, "documents").select("doc_id", "source", "text")
+    cut = line_dedup.drop_boilerplate(docs)
+    return cut.select(
+        "doc_id", "source", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
+    )
+
+
+@query("op8_token_files")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of all documents, written in blocks and read back."""
+    path = token_files.token_file_path(spark)
+    token_files.write_token_files(table(spark, folder, "documents"), path)
+    return token_files.read_token_files(spark, path).select(
+        "doc_id", "start",
+        (F.octet_length("tokens") / 4).cast("long").alias("n_tokens"),
+        F.crc32("tokens").alias("ids_crc32"),
+    )
+
+
+def _secret_sql() -> str:
+    rules = secret_scan.RULES
+    marked = " UNION ALL ".join(
+        f"SELECT doc_id, {k} AS kind_order, '{r.name}' AS kind, {r.least} AS least, "
+        f"regexp_replace(text, '{r.pattern.replace(chr(39), chr(39) * 2)}', chr(1) || '\1' || chr(2) || '\2' || chr(3), 'g') AS text FROM plain"
+        for k, r in enumerate(rules)
+    )
+    return f"""
+WITH plain AS (
+  SELECT doc_id, translate(coalesce(text, ''), chr(1) || chr(2) || chr(3), chr(4) || chr(4) || chr(4)) AS text
+  FROM documents),
+marked AS (SELECT * FROM ({marked}) WHERE contains(text, chr(1))),
+pieces AS (
+  SELECT doc_id, kind_order, kind, least, unnest(string_split(text, chr(1))) AS piece,
+         generate_subscripts(string_split(text, chr(1)), 1) AS pos
+  FROM marked),
+placed AS (
+  SELECT doc_id, kind_order, kind, least, pos, split_part(piece, chr(3), 1) AS match,
+         sum(length(piece) - CASE WHEN pos > 1 THEN 2 ELSE 0 END)
+           OVER (PARTITION BY doc_id, kind_order ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+           AS start
+  FROM pieces),
+found AS (
+  SELECT doc_id, kind_order, kind, CAST(start AS BIGINT) AS s, CAST(start + length(match) - 1 AS BIGINT) AS e
+  FROM placed WHERE pos > 1 AND length(split_part(match, chr(2), 2)) >= least),
+listed AS (
+  SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access,
+         count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, kind_order) FILTER (WHERE kind_order < 3) AS base,
+         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, kind_order) AS spans
+  FROM found GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN listed USING (doc_id)
+"""
+
+
+@query("op9_secret_scan", _secret_sql())
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets of every document by way of the ledger of its blobs."""
+    found = secret_scan.scan(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        *(F.size(f"_{kind}").cast("long").alias(f"n_{kind}") for kind in secret_scan.BASE),
+        F.sha2(secret_scan.spans(secret_scan.BASE), 256).alias("base_sha256"),
+        secret_scan.spans(secret_scan.RULES).alias("spans"),
+    )
+
+
+@query("op10_bpe")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of every document and the text read back from them."""
+    coded = bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), decoded=True)
+    return coded.select(
+        "doc_id",
+        F.size("_ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("_ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("_decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def load() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
     return QUERIES, ORACLES
