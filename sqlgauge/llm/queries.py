@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, line_dedup, secret_scan, suffix_dedup, token_files
+from . import bpe, decontamination, line_dedup, ngram_join, secret_scan, suffix_dedup, token_files
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,7 +58,7 @@ counted AS (
 pages AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
 bad AS (
   SELECT c.source, c.line FROM counted c JOIN pages p ON c.source IS NOT DISTINCT FROM p.source
-  WHERE c.n >= 5 AND c.n > 0.01 * p.pages),
+  WHERE c.n >= 5 AND c.n > CAST(0.01 AS DOUBLE) * p.pages),
 judged AS (
   SELECT p.doc_id, p.line, p.pos, b.line IS NOT NULL AS gone
   FROM pieces p LEFT JOIN bad b ON p.source IS NOT DISTINCT FROM b.source AND trim(p.line) = b.line),
@@ -81,6 +81,12 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op4_ngram_join")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    """Near duplicates among all documents: class, copies and links of each."""
+    return ngram_join.near_duplicates(table(spark, folder, "documents"))
+
+
 @query("op8_token_files")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of all documents, written in blocks and read back."""
@@ -97,7 +103,7 @@ def _secret_sql() -> str:
     rules = secret_scan.RULES
     marked = " UNION ALL ".join(
         f"SELECT doc_id, {k} AS kind_order, '{r.name}' AS kind, {r.least} AS least, "
-        f"regexp_replace(text, '{r.pattern.replace(chr(39), chr(39) * 2)}', chr(1) || '\1' || chr(2) || '\2' || chr(3), 'g') AS text FROM plain"
+        f"regexp_replace(text, '{r.pattern.replace(chr(39), chr(39) * 2)}', chr(1) || '\\1' || chr(2) || '\\2' || chr(3), 'g') AS text FROM plain"
         for k, r in enumerate(rules)
     )
     return f"""
