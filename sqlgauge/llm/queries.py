@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, line_dedup, ngram_join, secret_scan, suffix_dedup, token_files
+from . import (
+    bpe, decontamination, license_scan, line_dedup, ngram_join, quality, secret_scan, suffix_dedup, token_files, toxicity,
+)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,6 +89,47 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, folder, "documents"))
 
 
+@query("op5_license_scan")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """License phrases and fuzzy notices of every document."""
+    found = license_scan.scan(table(spark, folder, "documents").select("doc_id", "text"))
+    base = F.array_distinct(F.transform("_places", lambda p: p["label"]))
+    method = F.transform("_matches", lambda m: m["label"])
+    starts = F.transform("_places", lambda p: p["start"])
+    best = F.coalesce(F.array_max(F.transform("_matches", lambda m: m["score"])), F.lit(0.0))
+    return found.select(
+        "doc_id",
+        F.col("_words").alias("n_words"),
+        F.size("_places").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        F.array_join(F.array_sort(base), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_union(base, method)), ",").alias("labels"),
+        F.when(F.size("_places") > 0, F.lit(1.0)).otherwise(best).alias("score"),
+        F.to_json("_matches").alias("matches"),
+    )
+
+
+@query("op6_quality")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality counts and the perplexity bands of every document."""
+    judged = quality.judge(table(spark, folder, "documents").select("doc_id", "text", "lang"))
+    names = {"_words": "n_words", "_word_chars": "word_chars", "_symbols": "n_symbols", "_dup_lines": "n_dup_lines",
+             "_repeat_words": "n_repeat_words", "_base_failed": "base_failed", "_kept": "kept", "_perplexity": "perplexity"}
+    return judged.select("doc_id", *(F.col(a).alias(b) for a, b in names.items()))
+
+
+@query("op7_toxicity")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document, learnt from the labels that are not held out."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, folder, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), F.col("_toxicity").alias("score"),
+        (F.col("_toxicity") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 @query("op8_token_files")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of all documents, written in blocks and read back."""
