@@ -9,7 +9,7 @@ all its pairs, and gives back each node's links and a spanning tree of the linke
 those trees.
 
 Documents without words have no links and are their own class. Rows with equal ids are taken as one document. Null
-ids take part; a class's id is its smallest id that is not null.
+ids take part, with a hash of the text in place of an id; a class's id is its smallest id that is not null.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scratch import materialize
@@ -101,7 +101,7 @@ def _band_hashes(sets: np.ndarray, sizes: np.ndarray, bands: int, rows: int) ->
     return out
 
 
-SKETCH = "doc_id long, n long, class binary, bands array<long>"
+SKETCH = "doc_id long, row long, n long, class binary, bands array<long>"
 
 
 def _sketch_step(size: int, bands: int, rows: int):
@@ -113,10 +113,10 @@ def _sketch_step(size: int, bands: int, rows: int):
             classes = [hashlib.blake2b(sets[e - n : e].tobytes(), digest_size=16).digest() if n else None for e, n in zip(ends, sizes.tolist())]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()),
+                    batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()),
                     pa.array([next(found) if n else [] for n in sizes.tolist()], pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "n", "class", "bands"],
+                names=["doc_id", "row", "n", "class", "bands"],
             )
 
     return run
@@ -191,20 +191,28 @@ def _verify(threshold: float):
     return run
 
 
+def row_id(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """What tells documents apart: the id, or a hash of the text where it is null."""
+    return F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.lit(0), F.col(text_col)))
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, threshold: float = THRESHOLD,
     recall: float = RECALL, rows: int = ROWS,
 ) -> DataFrame:
     """Per row: doc_id, class_id (smallest id of its component), n_copies (rows with an equal set, itself included),
-    n_links (other rows at the threshold or above, copies included)."""
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    n_links (other rows at the threshold or above, copies included); _row and _first are the ``row_id`` of the row and
+    of the document that stands for its class."""
+    source = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
+        row_id(id_col, text_col).alias("row"),
+    )
     bands = bands_for(threshold, recall, rows)
     sketch = materialize(source.mapInArrow(_sketch_step(size, bands, rows), SKETCH), "sketch")
-    # a node for each distinct set; null ids get a stand-in below all real ones' reach
-    stand_in = F.coalesce("doc_id", F.xxhash64("class"))
+    # a node for each distinct set
     nodes = materialize(
         sketch.where("n > 0").groupBy("class", "bands")
-        .agg(F.min(stand_in).alias("id"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n")),
+        .agg(F.min("row").alias("id"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n")),
         "nodes",
     )
     keyed = nodes.select("id", F.explode("bands").alias("band"))
@@ -222,8 +230,7 @@ def near_duplicates(
     buckets = max(64, total // (BLOCK_SHINGLES // 2))
     member = member.select("id", F.col("label").alias("comp"), "copies").join(sums.select("comp", "blocks"), "comp")
     texts = (
-        source.withColumn("row", F.coalesce("doc_id", F.xxhash64(F.lit(0), F.col("text"))))
-        .join(materialize(member, "members").withColumnRenamed("id", "row"), "row")
+        source.join(materialize(member, "members").withColumnRenamed("id", "row"), "row")
         .select(F.col("row").alias("id"), "text", "comp", "blocks", "copies")
     )
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
@@ -247,11 +254,13 @@ def near_duplicates(
         .withColumn("label", F.coalesce("label", "id"))
     )
     info = materialize(info, "info")
-    least = info.groupBy("label").agg(F.min("least").alias("class_id"))
-    info = materialize(info.join(least, "label").select("class", "class_id", "copies", "links"), "classes")
-    return sketch.select("doc_id", "class").join(info, "class", "left").select(
+    least = info.groupBy("label").agg(F.min("least").alias("class_id"), F.min("id").alias("first"))
+    least = least.select("label", "class_id", F.coalesce("class_id", "first").alias("first"))
+    info = materialize(info.join(least, "label").select("class", "class_id", "first", "copies", "links"), "classes")
+    return sketch.select("doc_id", "row", "class").join(info, "class", "left").select(
         "doc_id",
         F.when(F.col("copies").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"),
         F.coalesce(F.coalesce("links", F.lit(0)) + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"),
+        F.col("row").alias("_row"), F.coalesce("first", "row").alias("_first"),
     )

@@ -86,7 +86,8 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_ngram_join")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     """Near duplicates among all documents: class, copies and links of each."""
-    return ngram_join.near_duplicates(table(spark, folder, "documents"))
+    found = ngram_join.near_duplicates(table(spark, folder, "documents"))
+    return found.select("doc_id", "class_id", "n_copies", "n_links")
 
 
 @query("op5_license_scan")
