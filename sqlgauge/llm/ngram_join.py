@@ -230,7 +230,8 @@ def near_duplicates(
     buckets = max(64, total // (BLOCK_SHINGLES // 2))
     member = member.select("id", F.col("label").alias("comp"), "copies").join(sums.select("comp", "blocks"), "comp")
     texts = (
-        source.join(materialize(member, "members").withColumnRenamed("id", "row"), "row")
+        # merged at every size: the members grow with the input, so they are never broadcast
+        source.join(materialize(member, "members").withColumnRenamed("id", "row").hint("merge"), "row")
         .select(F.col("row").alias("id"), "text", "comp", "blocks", "copies")
     )
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
