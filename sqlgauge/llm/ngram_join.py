@@ -31,7 +31,7 @@ WORDS = 5
 THRESHOLD = 0.8
 RECALL = 0.9999
 ROWS = 6
-BLOCK_NODES = 2000
+BLOCK_NODES = 500
 BLOCK_SHINGLES = 1 << 20
 
 _INSIDE = np.zeros(256, bool)
