@@ -23,31 +23,51 @@ def _family(dtype: T.DataType) -> str:
     return dtype.simpleString()
 
 
-def _comparable(df: DataFrame, loose_numbers: bool) -> DataFrame:
-    """Columns in name order as ``c0, c1, ...``; numbers of one family share a type, NaN counts as null.
+#: Doubles are compared by this many significant digits, as a sum depends on the order of its rows.
+DIGITS = 12
+
+
+def _normal(value: Column, kind: T.DataType, loose_numbers: bool, digits: int | None) -> Column:
+    """One spelling for equal values of a type, at any depth."""
+    family = _family(kind)
+    if loose_numbers and family in ("integer", "decimal"):
+        family, value = "float", value.cast("double")
+    if family == "float":
+        number = value.cast("double") + F.lit(0.0)  # no negative zero
+        number = F.when(~F.isnan(number), number)
+        return number if digits is None else F.when(number.isNotNull(), F.format_string(f"%.{digits - 1}e", number))
+    if family == "integer":
+        return value.cast("long")
+    if family == "decimal":
+        # as text without trailing zeros, so every scale and precision is compared whole
+        return F.regexp_replace(value.cast("string"), r"(?:\.0*|(\.\d*?)0+)$", "$1")
+    if family == "string":
+        # Values are compared letter by letter, whatever collation the query ran under.
+        return F.collate(value, "UTF8_BINARY")
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: _normal(x, kind.elementType, loose_numbers, digits))
+    if isinstance(kind, T.StructType):
+        parts = [_normal(value.getField(f.name), f.dataType, loose_numbers, digits).alias(f"f{k}") for k, f in enumerate(kind.fields)]
+        return F.when(value.isNotNull(), F.struct(*parts)) if parts else value
+    if isinstance(kind, T.MapType):
+        entry = T.StructType([T.StructField("key", kind.keyType), T.StructField("value", kind.valueType)])
+        return F.array_sort(F.transform(F.map_entries(value), lambda e: _normal(e, entry, loose_numbers, digits)))
+    return value
+
+
+def _comparable(df: DataFrame, loose_numbers: bool, digits: int | None) -> DataFrame:
+    """Columns in name order as ``c0, c1, ...``; numbers of one family share a spelling, NaN counts as null.
 
     Columns are addressed by position, so repeated names do no harm.
     """
     placed = df.toDF(*[f"p{i}" for i in range(len(df.columns))])
     order = sorted(range(len(df.columns)), key=lambda i: df.columns[i])
-    out = []
-    for at, i in enumerate(order):
-        kind = placed.schema.fields[i].dataType
-        column, family = F.col(f"p{i}"), _family(kind)
-        if family == "float" or (loose_numbers and family in ("integer", "decimal")):
-            number = column.cast("double")
-            column = F.when(~F.isnan(number), number)
-        elif family == "integer":
-            column = column.cast("long")
-        elif family == "decimal":
-            column = column.cast("decimal(38,12)")
-        elif family == "string":
-            # Values are compared letter by letter, whatever collation the query ran under.
-            column = F.collate(column, "UTF8_BINARY")
-        elif isinstance(kind, T.MapType):
-            column = F.array_sort(F.map_entries(column))
-        out.append(column.alias(f"c{at}"))
-    return placed.select(*out)
+    return placed.select(
+        *[
+            _normal(F.col(f"p{i}"), placed.schema.fields[i].dataType, loose_numbers, digits).alias(f"c{at}")
+            for at, i in enumerate(order)
+        ]
+    )
 
 
 def _comparable_schemas(left: DataFrame, right: DataFrame, strict_types: bool) -> bool:
@@ -60,9 +80,13 @@ def _comparable_schemas(left: DataFrame, right: DataFrame, strict_types: bool) -
     return kinds[0] == kinds[1]
 
 
-def compare_results(left: DataFrame, right: DataFrame, strict_types: bool = True) -> DataFrame:
+def compare_results(
+    left: DataFrame, right: DataFrame, strict_types: bool = True, digits: int | None = DIGITS
+) -> DataFrame:
     """One row ``match``: same columns (order free), same bag of rows, null equals null.
 
+    Doubles are equal when they agree in ``digits`` significant digits; None compares them bit by bit.
+
     One shuffle: rows are tagged +1 and -1 and summed per distinct row, so copies collapse before they move.
     With ``strict_types`` an integer column never equals a float column.
     """
@@ -71,8 +95,8 @@ def compare_results(left: DataFrame, right: DataFrame, strict_types: bool = True
         return spark.range(1).select(F.lit(False).alias("match"))
     if not left.columns:
         return spark.range(1).select(F.lit(True).alias("match"))
-    a = _comparable(left, not strict_types)
-    b = _comparable(right, not strict_types)
+    a = _comparable(left, not strict_types, digits)
+    b = _comparable(right, not strict_types, digits)
     tag = "__side"
     tagged = a.withColumn(tag, F.lit(1)).unionByName(b.withColumn(tag, F.lit(-1)))
     uneven = (
@@ -81,15 +105,18 @@ def compare_results(left: DataFrame, right: DataFrame, strict_types: bool = True
     return uneven.agg((F.count(F.lit(1)) == 0).alias("match"))
 
 
-def fingerprint(df: DataFrame, strict_types: bool = True) -> DataFrame:
+def fingerprint(df: DataFrame, strict_types: bool = True, digits: int | None = DIGITS) -> DataFrame:
     """One row ``rows, fingerprint``: typed column list, row count and two sums of independent row hashes.
 
+    The column list also states the significant digits of doubles, if there are any.
+
     Equal bags have equal fingerprints; needs no shuffle of the rows. A result with repeated column names has
     none, so it equals no other.
     """
-    flat = _comparable(df, not strict_types)
+    flat = _comparable(df, not strict_types, digits)
     order = sorted(range(len(df.columns)), key=lambda i: df.columns[i])
     kinds = [_family(f.dataType) for f in df.schema.fields]
+    kinds = [f"{k}({digits})" if k == "float" and digits is not None else k for k in kinds]
     names = ",".join(f"{df.columns[i]}:{kinds[i]}" if strict_types else df.columns[i] for i in order)
     # A null is told from other values by its own flag; the second hash is seeded by a leading constant.
     parts: list[Column] = []

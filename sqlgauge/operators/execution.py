@@ -1,4 +1,9 @@
-"""Running SQL texts as measured, failure-proof jobs; results stay on the executors."""
+"""Running SQL texts as measured, failure-proof jobs; results stay on the executors.
+
+A dataset is resolved in a session of its own, so texts of several datasets run side by side without seeing each
+other's tables. Only queries run: Spark's own grammar rule for a query must accept the text. Reading files by path and
+calling JVM methods by reflection are refused.
+"""
 
 from __future__ import annotations
 
@@ -7,15 +12,14 @@ import threading
 import time
 import uuid
 from collections.abc import Iterable, Iterator
-from concurrent.futures import ThreadPoolExecutor
-from itertools import islice
+from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.textops import QUOTED
+from ..plans.joins import null_safe_join
 from ..plans.scratch import scratch_path
-from ..sources.binding import bind_dataset
+from ..sources.binding import bind_tables
 from .comparison import FINGERPRINT, fingerprint
 
 OUTCOME = f"success boolean, rows bigint, time_s double, error string, fingerprint {FINGERPRINT}"
@@ -24,47 +28,69 @@ OUTCOME_STRUCT = (
 )
 # Fixed value: what is run when a model gave nothing.
 FALLBACK_SQL = "SELECT 1;"
-_LITERAL_OR_COMMENT = re.compile(QUOTED + r"|`[^`]*`|--[^\n]*|/\*.*?\*/", re.DOTALL)
+# Fixed value: seconds that a text may take.
+TIME_LIMIT_S = 30.0
+TIMED_OUT = "timed out"
+_LITERAL_OR_COMMENT = re.compile(r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|--[^\n]*|/\*.*?\*/""", re.DOTALL)
+_REFLECTION = re.compile(r"(?:\b|`)(?:try_reflect|reflect|java_method)`?\s*\(", re.IGNORECASE)
 
+#: Name of a dataset to its folder and tables.
+Datasets = dict[str, tuple[str, list[str]]]
 
-def query_text(sql: str) -> str:
-    """The text as a derived table, which only a single query can be.
 
-    ``spark.sql`` runs DDL and DML as soon as it sees them; inside FROM they fail to parse instead.
-    """
-    text = sql.strip().rstrip(";").strip()
-    depth = 0
-    for mark in re.findall(r"[()]", _LITERAL_OR_COMMENT.sub(" ", text)):
-        depth += 1 if mark == "(" else -1
-        if depth < 0:
-            raise ValueError("unbalanced parentheses")
-    return f"SELECT * FROM (\n{text}\n)"
+def query_text(spark: SparkSession, sql: str) -> str:
+    """The text without its final semicolons, if it is one query; anything else is an error."""
+    text = re.sub(r"[\s;]+$", "", sql)
+    spark._jsparkSession.sessionState().sqlParser().parseQuery(text)
+    if _REFLECTION.search(_LITERAL_OR_COMMENT.sub("''", text)):
+        raise ValueError("functions that call methods by reflection are not run")
+    return text
 
 
 def run_query(spark: SparkSession, sql: str) -> DataFrame:
     """The lazy result of one query text; anything but a query is an error."""
-    return spark.sql(query_text(sql))
+    return spark.sql(query_text(spark, sql))
+
 
+def dataset_session(spark: SparkSession, datasets: Datasets, dataset: str, ignore_case: bool = False) -> SparkSession:
+    """A session that sees the tables of one dataset; an unknown name is an error."""
+    if dataset not in datasets:
+        raise ValueError(f"Unknown dataset: {dataset}")
+    folder, tables = datasets[dataset]
+    own = spark.newSession()
+    for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone", "spark.sql.ansi.enabled"):
+        own.conf.set(name, spark.conf.get(name))
+    own.conf.set("spark.sql.runSQLOnFiles", "false")
+    bind_tables(own, folder, tables, ignore_case)
+    return own
 
-def execute_sql(spark: SparkSession, sql: str, timeout_s: float | None = None) -> dict:
+
+def execute_sql(spark: SparkSession, sql: str, timeout_s: float | None = TIME_LIMIT_S) -> dict:
     """Run one text and describe the outcome; an error is part of the outcome, never raised.
 
-    One action counts and fingerprints the result inside the timed block. A run past ``timeout_s`` is
-    cancelled by its job group.
+    One action counts and fingerprints the result inside the timed block. Past ``timeout_s`` the jobs of the text are
+    cancelled, those it would still start as well, and the error begins with ``TIMED_OUT``.
     """
     started = time.perf_counter()
     context = spark.sparkContext
     group = f"sqlgauge-{uuid.uuid4().hex}"
+    late = threading.Event()
+
+    def stop() -> None:
+        late.set()
+        context._jsc.sc().cancelJobGroupAndFutureJobs(group)
+
     timer = None
     try:
         context.setJobGroup(group, "sql text", interruptOnCancel=True)
         if timeout_s is not None:
-            timer = threading.Timer(timeout_s, context.cancelJobGroup, [group])
+            timer = threading.Timer(timeout_s, stop)
             timer.start()
         seen = fingerprint(run_query(spark, sql)).first()
         outcome = {"success": True, "rows": seen.rows, "error": None, "fingerprint": seen.fingerprint}
     except Exception as failure:  # noqa: BLE001 - any failure is an outcome
-        outcome = {"success": False, "rows": 0, "error": str(failure), "fingerprint": None}
+        error = f"{TIMED_OUT} after {timeout_s} s" if late.is_set() else str(failure)
+        outcome = {"success": False, "rows": 0, "error": error, "fingerprint": None}
     finally:
         if timer is not None:
             timer.cancel()
@@ -73,58 +99,84 @@ def execute_sql(spark: SparkSession, sql: str, timeout_s: float | None = None) -
     return outcome
 
 
-def _batches(items: Iterator, size: int) -> Iterator[list]:
-    while batch := list(islice(items, size)):
-        yield batch
+_FIELDS = ("success", "rows", "time_s", "error", "fingerprint")
 
 
 def execute_texts(
     spark: SparkSession,
     texts: DataFrame | Iterable[str],
     parallel: int = 4,
-    timeout_s: float | None = None,
+    timeout_s: float | None = TIME_LIMIT_S,
     batch: int = 2000,
+    datasets: Datasets | None = None,
 ) -> DataFrame:
-    """``sql`` and its ``outcome`` for every distinct text.
+    """``dataset``, ``sql`` and ``outcome`` for every distinct pair of dataset and text.
 
-    Texts are streamed to the driver, submitted side by side, and their outcomes appended to a written table
-    batch by batch, so neither the texts nor the outcomes are held whole. Join the outcomes back on ``sql``.
+    Without ``datasets`` all texts run in the given session and the dataset is only a key. Texts are streamed to the
+    driver and submitted side by side; a slow one holds only its own slot. Outcomes are appended to a written table,
+    ``batch`` at a time, so neither the texts nor the outcomes are held whole.
     """
     if isinstance(texts, DataFrame):
-        stream = (row.sql for row in texts.select("sql").distinct().toLocalIterator(prefetchPartitions=True))
+        name = F.col("dataset") if "dataset" in texts.columns else F.lit(None)
+        pairs = texts.select(name.cast("string").alias("dataset"), "sql").distinct()
+        stream: Iterator = ((r.dataset, r.sql) for r in pairs.toLocalIterator(prefetchPartitions=True))
     else:
-        stream = iter(dict.fromkeys(texts))
+        stream = ((None, text) for text in dict.fromkeys(texts))
     path = scratch_path(spark, "outcomes")
-    schema = f"sql string, {OUTCOME}"
+    schema = f"dataset string, sql string, {OUTCOME}"
     spark.createDataFrame([], schema).write.parquet(path)
-    for group in _batches(stream, batch):
-        with ThreadPoolExecutor(max_workers=parallel) as slots:
-            outcomes = list(slots.map(lambda text: execute_sql(spark, text, timeout_s), group))
-        rows = [
-            (text, o["success"], o["rows"], o["time_s"], o["error"], o["fingerprint"])
-            for text, o in zip(group, outcomes)
-        ]
-        spark.createDataFrame(rows, schema).write.mode("append").parquet(path)
-    return spark.read.schema(schema).parquet(path).select(
-        "sql", F.struct("success", "rows", "time_s", "error", "fingerprint").alias("outcome")
-    )
+    sessions: dict[str, SparkSession] = {}
+    lock = threading.Lock()
+
+    def session(dataset: str | None) -> SparkSession:
+        if datasets is None:
+            return spark
+        with lock:
+            if dataset not in sessions:
+                sessions[dataset] = dataset_session(spark, datasets, dataset)
+            return sessions[dataset]
+
+    def run(pair: tuple) -> tuple:
+        try:
+            outcome = execute_sql(session(pair[0]), pair[1], timeout_s)
+        except ValueError as unknown:
+            outcome = _failed(str(unknown))
+        return (*pair, *(outcome[k] for k in _FIELDS))
+
+    done: list[tuple] = []
+
+    def flush() -> None:
+        if done:
+            spark.createDataFrame(done, schema).coalesce(1).write.mode("append").parquet(path)
+            done.clear()
+
+    with ThreadPoolExecutor(max_workers=parallel) as slots:
+        running: set = set()
+        for pair in stream:
+            running.add(slots.submit(run, pair))
+            if len(running) >= 2 * parallel:  # keep the slots busy without holding the texts
+                ended, running = wait(running, return_when=FIRST_COMPLETED)
+                done += [f.result() for f in ended]
+            if len(done) >= batch:
+                flush()
+        done += [f.result() for f in running]
+    flush()
+    return spark.read.schema(schema).parquet(path).select("dataset", "sql", F.struct(*_FIELDS).alias("outcome"))
+
+
+def _failed(error: str) -> dict:
+    return {"success": False, "rows": 0, "time_s": 0.0, "error": error, "fingerprint": None}
 
 
 def execute_on_dataset(
-    spark: SparkSession,
-    datasets: dict[str, tuple[str, list[str]]],
-    dataset: str,
-    sql: str,
-    timeout_s: float | None = None,
+    spark: SparkSession, datasets: Datasets, dataset: str, sql: str, timeout_s: float | None = TIME_LIMIT_S
 ) -> DataFrame:
-    """Bind a named dataset, run one text on it and tag the outcome; an unknown dataset is a failed outcome."""
+    """Run one text on a named dataset and tag the outcome; an unknown dataset is a failed outcome."""
     try:
-        bind_dataset(spark, datasets, dataset)
-        outcome = execute_sql(spark, sql, timeout_s)
+        outcome = execute_sql(dataset_session(spark, datasets, dataset), sql, timeout_s)
     except ValueError as unknown:
-        outcome = {"success": False, "rows": 0, "time_s": 0.0, "error": str(unknown), "fingerprint": None}
-    row = (dataset, *(outcome[k] for k in ("success", "rows", "time_s", "error", "fingerprint")))
-    return spark.createDataFrame([row], f"dataset string, {OUTCOME}")
+        outcome = _failed(str(unknown))
+    return spark.createDataFrame([(dataset, *(outcome[k] for k in _FIELDS))], f"dataset string, {OUTCOME}")
 
 
 def run_pairs(
@@ -132,14 +184,24 @@ def run_pairs(
     pred: str = "pred_sql",
     gold: str = "gold_sql_exec",
     parallel: int = 4,
-    timeout_s: float | None = None,
+    timeout_s: float | None = TIME_LIMIT_S,
+    datasets: Datasets | None = None,
 ) -> DataFrame:
-    """Add ``pred`` and ``gold`` outcomes to questions; every distinct text runs once."""
-    texts = questions.select(F.col(pred).alias("sql")).union(questions.select(F.col(gold).alias("sql")))
-    outcomes = execute_texts(questions.sparkSession, texts.where("sql is not null"), parallel, timeout_s)
-    return questions.join(
-        outcomes.select(F.col("sql").alias(pred), F.col("outcome").alias("pred")), pred, "left"
-    ).join(outcomes.select(F.col("sql").alias(gold), F.col("outcome").alias("gold")), gold, "left")
+    """Add ``pred`` and ``gold`` outcomes to questions; every distinct text of a dataset runs once.
+
+    Only keys meet outcomes in the join on the text; a text that very many questions share is split by adaptive
+    execution on the questions' side.
+    """
+    dataset = F.col("dataset") if "dataset" in questions.columns else F.lit(None).cast("string")
+    texts = questions.select(dataset.alias("dataset"), F.col(pred).alias("sql")).union(
+        questions.select(dataset.alias("dataset"), F.col(gold).alias("sql"))
+    )
+    outcomes = execute_texts(questions.sparkSession, texts.where("sql is not null"), parallel, timeout_s, datasets=datasets)
+    rows = questions.withColumn("_dataset", dataset)
+    for column, name in ((pred, "pred"), (gold, "gold")):
+        ran = outcomes.select(F.col("dataset").alias("_dataset"), F.col("sql").alias("_sql"), F.col("outcome").alias(name))
+        rows = null_safe_join(rows.withColumn("_sql", F.col(column)), ran, ["_dataset", "_sql"], "left").drop("_sql")
+    return rows.drop("_dataset")
 
 
 def preview(result: DataFrame, rows: int = 10) -> DataFrame:

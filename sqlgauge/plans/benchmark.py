@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.catalog import dataset_tables, fk_graph, schema_profiles
 from ..operators.comparison import match_outcomes
-from ..operators.execution import run_pairs
+from ..operators.execution import TIME_LIMIT_S, Datasets, run_pairs
 from ..operators.linking import attach_profile, link_schema
 from ..operators.metrics import in_report_order, summarize
 from ..operators.naming import clean_prediction, table_case
@@ -33,7 +33,7 @@ def prepare_run(
     profiles = materialize(schema_profiles(catalog, graph), "profiles")
     linked = link_schema(questions, profiles, max_tables)
     packed = pack_prompts(linked, max_new_tokens=max_new_tokens, tokens=tokens)
-    named = attach_profile(packed, dataset_tables(catalog))
+    named = attach_profile(packed, materialize(dataset_tables(catalog), "tables"))
     return named.withColumn(
         "gold_sql_exec",
         F.when(F.col("tables").isNull(), F.col("gold_sql_exec")).otherwise(
@@ -48,15 +48,19 @@ def evaluate_run(
     llm: str,
     rdbms: str,
     parallel: int = 4,
-    timeout_s: float | None = None,
+    timeout_s: float | None = TIME_LIMIT_S,
     spelling: str = "dotted",
+    datasets: Datasets | None = None,
 ) -> DataFrame:
-    """Prepared questions and model output (by ``dataset, id``) to run-log records."""
+    """Prepared questions and model output (by ``dataset, id``) to run-log records.
+
+    With ``datasets`` both texts of a question run on the tables of its dataset; without, on what the session sees.
+    """
     # Written once: the texts to run and the join of their outcomes both read it.
     cleaned = materialize(
         clean_prediction(attach_predictions(prepared, predictions, ["dataset", "id"])), "cleaned"
     )
-    outcomes = match_outcomes(run_pairs(cleaned, parallel=parallel, timeout_s=timeout_s))
+    outcomes = match_outcomes(run_pairs(cleaned, parallel=parallel, timeout_s=timeout_s, datasets=datasets))
     return assemble_records(outcomes, llm, rdbms, spelling)
 
 

@@ -1,15 +1,14 @@
-"""Use all cores when an input arrives in too few splits."""
+"""Use all cores for small inputs, where the caller asks for it."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+#: Session setting with the number of partitions; unset, nothing is spread.
+SETTING = "spark.sqlgauge.spread"
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Repartition a plain scan that has fewer splits than the session has cores; leave any other alone.
 
-    Meant for costly per-row text work over small files. A large table has more splits than cores and is
-    never shuffled by this.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+def spread(scan: DataFrame) -> DataFrame:
+    """Repartition a scan as the session asks; local sessions do, since a small file is one split."""
+    parts = scan.sparkSession.conf.get(SETTING, None)
+    return scan.repartition(int(parts)) if parts else scan

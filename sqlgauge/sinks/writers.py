@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def write_runlog(records: DataFrame, path: str, partitioned: bool = False) -> None:
@@ -23,6 +24,6 @@ def write_csv(tables: list[DataFrame], path: str) -> None:
     merged.select(*[f"`{c}`" for c in sorted(merged.columns)]).write.option("header", True).csv(path)
 
 
-def runlog_name(llm: str, dataset: str, rdbms: str, kind: str = "benchmark") -> str:
+def runlog_name(llm: Column, dataset: Column, rdbms: Column, kind: str = "benchmark") -> Column:
     """``<llm>_<kind>_<dataset>_<rdbms>``; kind is ``benchmark`` or ``baseline``."""
-    return f"{llm}_{kind}_{dataset}_{rdbms}"
+    return F.concat_ws("_", llm, F.lit(kind), dataset, rdbms)

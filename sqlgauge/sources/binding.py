@@ -1,4 +1,4 @@
-"""Datasets as folders of parquet tables bound to temporary views."""
+"""Datasets as folders of parquet tables bound to temporary views of a session."""
 
 from __future__ import annotations
 
@@ -24,28 +24,3 @@ def bind_tables(spark: SparkSession, folder: str, tables: list[str], ignore_case
                 ]
             )
         rows.createOrReplaceTempView(table)
-
-
-def bind_dataset(
-    spark: SparkSession,
-    datasets: dict[str, tuple[str, list[str]]],
-    dataset: str,
-    ignore_case: bool = False,
-) -> None:
-    """Bind one of the known datasets (name to folder and tables); an unknown name is an error."""
-    if dataset not in datasets:
-        raise ValueError(f"Unknown dataset: {dataset}")
-    folder, tables = datasets[dataset]
-    bind_tables(spark, folder, tables, ignore_case)
-
-
-def use_database(spark: SparkSession, datasets: dict[str, str], dataset: str) -> None:
-    """Resolve names in the metastore database of a dataset; an unknown name is an error."""
-    if dataset not in datasets:
-        raise ValueError(f"Unknown dataset: {dataset}")
-    spark.catalog.setCurrentDatabase(datasets[dataset])
-
-
-def read_jdbc_table(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
-    """A table of an external database; pass partitionColumn, lowerBound, upperBound and numPartitions."""
-    return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()

@@ -7,10 +7,11 @@ import re
 from pyspark.sql import functions as F
 
 from ..operators.comparison import all_matches, match_outcomes
-from ..operators.execution import OUTCOME_STRUCT, execute_on_dataset, execute_texts, preview, run_query
+from ..operators.execution import OUTCOME_STRUCT, dataset_session, execute_on_dataset, execute_texts, preview, run_pairs, run_query
 from ..operators.questions import prepare_questions
 from ..operators.records import assemble_records, attach_predictions
-from ..sources.binding import bind_dataset, bind_tables
+from ..plans.scratch import scratch_path
+from ..sources.binding import bind_tables
 from .inputs import QUESTIONS
 from .questions import entries
 from .registry import TABLES, query
@@ -139,10 +140,33 @@ def x2(spark, sf):
     return parts[0].union(parts[1]).select("dataset", "success", F.col("rows").alias("n_rows"), "error")
 
 
+def _by_status(spark, sf) -> dict:
+    """Two datasets with the same table names: the orders of either status."""
+    root = scratch_path(spark, "datasets")
+    for status in "FO":
+        own = spark.read.parquet(f"{sf}/orders.parquet").where(F.col("o_orderstatus") == status)
+        own.write.parquet(f"{root}/{status}/orders.parquet")
+    return {f"status_{s}": (f"{root}/{s}", ["orders"]) for s in "FO"}
+
+
+@query(
+    "x2_two_datasets",
+    """SELECT 'status_' || o_orderstatus AS dataset, count(*) AS n_rows, count(DISTINCT o_custkey) AS n_gold,
+      count(*) = count(DISTINCT o_custkey) AS match FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY o_orderstatus""",
+)
+def x2_two(spark, sf):
+    """The same texts on two datasets have two outcomes each."""
+    known = _by_status(spark, sf)
+    texts = [(name, "SELECT o_custkey FROM orders", "SELECT DISTINCT o_custkey FROM ORDERS ;") for name in known]
+    rows = spark.createDataFrame(texts, "dataset string, pred_sql string, gold_sql_exec string")
+    return match_outcomes(run_pairs(rows, datasets=known)).select(
+        "dataset", F.col("pred.rows").alias("n_rows"), F.col("gold.rows").alias("n_gold"), "match"
+    )
+
+
 @query("s7_binding", f"SELECT * FROM ({_ansi(SHAPES['w9_group_by'])}) q")
 def s7(spark, sf):
-    bind_dataset(spark, {"shop": (sf, SHOP)}, "shop")
-    return run_query(spark, SHAPES["w9_group_by"])
+    return run_query(dataset_session(spark, {"shop": (sf, SHOP)}, "shop"), SHAPES["w9_group_by"])
 
 
 # Pairs of predicted and gold SQL; every one reads whole tables.
@@ -169,6 +193,19 @@ PAIRS = {
         "SELECT o_orderstatus FROM orders UNION ALL SELECT 'O' FROM orders",
     ),
     "empty": ("SELECT o_orderkey FROM orders WHERE 1 = 0", "SELECT o_orderkey FROM orders WHERE o_orderkey < 0"),
+    "sum_in_any_order": (
+        "SELECT l_suppkey, SUM(l_extendedprice * (1 - l_discount)) AS v FROM lineitem GROUP BY l_suppkey",
+        "SELECT l_suppkey, SUM(v) AS v FROM (SELECT l_suppkey, l_extendedprice * (1 - l_discount) AS v FROM lineitem "
+        "ORDER BY l_tax, l_orderkey DESC) q GROUP BY l_suppkey",
+    ),
+    "small_decimals": (
+        "SELECT l_orderkey, CAST(l_quantity / 1e12 AS DECIMAL(38,18)) AS v FROM lineitem",
+        "SELECT l_orderkey, CAST((l_quantity + 1) / 1e12 AS DECIMAL(38,18)) AS v FROM lineitem",
+    ),
+    "long_decimals": (
+        "SELECT CAST(o_orderkey AS DECIMAL(30,0)) * 100000000 AS v FROM orders",
+        "SELECT CAST(o_orderkey AS DECIMAL(30,0)) * 100000000 AS v FROM orders",
+    ),
     "comma_or_join": (
         "SELECT n_name, COUNT(*) AS n FROM customer , nation WHERE c_nationkey = n_nationkey GROUP BY n_name",
         "SELECT n_name, COUNT(c_custkey) AS n FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name",
@@ -186,6 +223,8 @@ def _pair_check(name: str) -> str:
     pred, gold = PAIRS[name]
     if name not in _SAME_COLUMNS:
         return f"SELECT '{name}' AS pair, FALSE AS match"
+    if name == "sum_in_any_order":
+        pred = gold = "SELECT l_suppkey, round(SUM(l_extendedprice * (1 - l_discount)), 2) AS v FROM lineitem GROUP BY l_suppkey"
     columns = {"same": "o_orderkey, o_custkey", "column_order": "o_orderkey, o_custkey"}.get(name, "*")
     a, b = _named(pred, columns), _named(gold, columns)
     return (

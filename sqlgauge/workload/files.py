@@ -107,20 +107,9 @@ def k2(spark, sf):
 )
 def k3(spark, sf):
     _, path = _written(spark, sf, True)
-    names = {
-        (llm, dataset): runlog_name(llm, dataset, "mysql")
-        for llm in ("alpha", "beta") for dataset in ("click", "view", "purchase", "signup", "error")
-    }
-    name = F.element_at(
-        F.create_map(*[F.lit(x) for pair, n in names.items() for x in ("/".join(pair), n)]),
-        F.concat_ws("/", "llm", "dataset"),
-    )
-    found = spark.read.option("basePath", path).json(f"{path}/llm=*/dataset=*/rdbms=*", schema="id long")
-    parts = F.regexp_extract_all(F.input_file_name(), F.lit(r"/(?:llm|dataset)=([^/]+)"), F.lit(1))
-    located = found.select("id", parts.alias("p")).select(
-        "id", F.get("p", F.lit(0)).alias("llm"), F.get("p", F.lit(1)).alias("dataset")
-    )
-    return located.groupBy(name.alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    found = spark.read.schema("id long, llm string, dataset string, rdbms string").json(path)
+    name = runlog_name(F.col("llm"), F.col("dataset"), F.col("rdbms"))
+    return found.groupBy(name.alias("name")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("s3_metrics_csv", f"SELECT dataset, id, {', '.join(f'coalesce({c}, FALSE) AS {c}' for c in _FLAG_COLUMNS)} FROM ({FLAT}) f")

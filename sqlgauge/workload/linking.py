@@ -205,7 +205,9 @@ def _scores(fuzzy: bool) -> str:
       ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(score, 9) DESC, table_name) AS n FROM scored)"""
 
 
-_ALL_RANKED = "SELECT id, string_agg(table_name || '=' || round(score, 4)::DECIMAL(9,4)::VARCHAR, ' ' ORDER BY n) AS ranking FROM ranked GROUP BY id"
+# A question whose dataset has no schema stays, without tables.
+_ALL_RANKED = """SELECT qs.id, ranking FROM qs LEFT JOIN (SELECT id, string_agg(table_name || '='
+  || round(score, 4)::DECIMAL(9,4)::VARCHAR, ' ' ORDER BY n) AS ranking FROM ranked GROUP BY id) r ON r.id = qs.id"""
 
 
 def _ranking(rows: DataFrame) -> DataFrame:
@@ -220,21 +222,14 @@ def profiles(spark, sf) -> DataFrame:
     return materialize(C.schema_profiles(catalog(spark, sf), C.fk_graph(foreign_keys(spark, sf))), "profiles")
 
 
-def _linkable(spark, sf) -> DataFrame:
-    # Questions whose dataset has no part are without a schema; the check joins them away.
-    return questions(spark, sf).join(
-        run(spark, sf, CATALOG).select("dataset").distinct(), "dataset", "left_semi"
-    )
-
-
 @query("l7_rank_overlap", f"{_scores(False)} {_ALL_RANKED}")
 def l7_overlap(spark, sf):
-    return _ranking(L.rank_tables(_linkable(spark, sf), profiles(spark, sf), "question", fuzzy_weight=0))
+    return _ranking(L.rank_tables(questions(spark, sf), profiles(spark, sf), "question", fuzzy_weight=0))
 
 
 @query("l7_rank_tables", f"{_scores(True)} {_ALL_RANKED}")
 def l7(spark, sf):
-    return _ranking(L.rank_tables(_linkable(spark, sf), profiles(spark, sf), "question"))
+    return _ranking(L.rank_tables(questions(spark, sf), profiles(spark, sf), "question"))
 
 
 def _selected(rows: DataFrame) -> DataFrame:
@@ -251,10 +246,11 @@ def _top(k: int) -> str:
 
 @query(
     "l8_select_top",
-    f"{_scores(True)}, {_top(K)} SELECT id, string_agg(table_name, ' ' ORDER BY n) AS tables FROM picked GROUP BY id",
+    f"""{_scores(True)}, {_top(K)} SELECT qs.id, tables FROM qs LEFT JOIN
+      (SELECT id, string_agg(table_name, ' ' ORDER BY n) AS tables FROM picked GROUP BY id) p ON p.id = qs.id""",
 )
 def l8(spark, sf):
-    rows = L.rank_tables(_linkable(spark, sf), profiles(spark, sf), "question")
+    rows = L.rank_tables(questions(spark, sf), profiles(spark, sf), "question")
     return _selected(L.select_top(rows, K))
 
 
@@ -270,7 +266,7 @@ def l8(spark, sf):
         row_number() OVER (PARTITION BY id ORDER BY n) AS m FROM both_parts) z WHERE m <= 6 GROUP BY id""",
 )
 def l9(spark, sf):
-    rows = L.rank_tables(_linkable(spark, sf), profiles(spark, sf), "question", fuzzy_weight=0)
+    rows = L.rank_tables(questions(spark, sf), profiles(spark, sf), "question", fuzzy_weight=0)
     return _selected(L.expand_neighbours(L.select_top(rows, 6), 6))
 
 
@@ -412,6 +408,7 @@ def s4_keys(spark, sf):
     )
 
 
+_WANTED = f"CASE o_orderkey % {len(TABLES)} {' '.join(f'WHEN {k} THEN {t!r}' for k, t in enumerate(TABLES))} END"
 _INTROSPECTED = ", ".join(f"'{t}'" for t in TABLES)
 
 
@@ -420,8 +417,7 @@ _INTROSPECTED = ", ".join(f"'{t}'" for t in TABLES)
     f"""SELECT o_orderkey, table_name, count(*) AS n_columns, string_agg(column_name, ', ' ORDER BY ordinal_position) AS columns
       FROM (SELECT DISTINCT table_name, column_name, (column_index - 1) AS ordinal_position FROM duckdb_columns()
         WHERE table_name IN ({_INTROSPECTED})) c
-      JOIN (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'orders' WHEN 1 THEN 'lineitem' ELSE 'nation' END AS wanted
-        FROM @orders) o ON wanted = table_name GROUP BY o_orderkey, table_name""",
+      JOIN (SELECT o_orderkey, {_WANTED} AS wanted FROM @orders) o ON wanted = table_name GROUP BY o_orderkey, table_name""",
 )
 def s5(spark, sf):
     """References of the orders resolved against the introspected schema."""
@@ -431,7 +427,7 @@ def s5(spark, sf):
     )
     wanted = run(
         spark, sf,
-        "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'orders' WHEN 1 THEN 'lineitem' ELSE 'nation' END AS table_name FROM @orders",
+        f"SELECT o_orderkey, {_WANTED} AS table_name FROM @orders",
     )
     return wanted.join(tables, F.col("table_name") == F.col("table")).select(
         "o_orderkey", "table_name", "n_columns", "columns"

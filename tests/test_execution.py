@@ -4,12 +4,14 @@ import time
 from decimal import Decimal
 
 import pytest
+from pyspark.errors import ParseException
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from sqlgauge.operators.comparison import compare_engines, compare_results, fingerprint, match_outcomes
-from sqlgauge.operators.execution import execute_on_dataset, execute_sql, execute_texts, query_text, run_pairs
-from sqlgauge.sources.binding import bind_dataset
+from sqlgauge.operators.execution import (
+    TIMED_OUT, dataset_session, execute_on_dataset, execute_sql, execute_texts, query_text, run_pairs,
+)
 from sqlgauge.operators.records import assemble_records, attach_predictions, flatten_outcomes
 
 
@@ -33,6 +35,14 @@ CASES = [
     ("both empty", [], "x int", [], "x int", True),
     ("one empty", [], "x int", [(1,)], "x int", False),
     ("swapped values", [(1, 2), (3, 4)], "x int, y int", [(1, 4), (3, 2)], "x int, y int", False),
+    ("scale over twelve", [(Decimal("0.00000000000001"),)], "x decimal(20,14)", [(Decimal("0.00000000000002"),)], "x decimal(20,14)", False),
+    ("scales of one value", [(Decimal("1.5"),)], "x decimal(20,14)", [(Decimal("1.50"),)], "x decimal(9,2)", True),
+    ("thirty digits", [(Decimal("123456789012345678901234567890"),)], "x decimal(38,0)", [(Decimal("123456789012345678901234567891"),)], "x decimal(38,0)", False),
+    ("whole decimals", [(Decimal("100"),), (Decimal("0"),)], "x decimal(38,0)", [(Decimal("100.00"),), (Decimal("0.00"),)], "x decimal(9,2)", True),
+    ("other order of a sum", [(0.1 + 0.2 + 0.3,)], "x double", [(0.3 + 0.2 + 0.1,)], "x double", True),
+    ("far digits", [(1.0,)], "x double", [(1.0001,)], "x double", False),
+    ("nested maps", [([{1: 2.0, 3: 4.0}],)], "x array<map<int,double>>", [([{3: 4.0, 1: 2.0}],)], "x array<map<int,double>>", True),
+    ("map in a struct", [((({"a": 1}),),)], "x struct<m:map<string,int>>", [((({"a": 2}),),)], "x struct<m:map<string,int>>", False),
     ("arrays and maps", [([1], {"a": 1, "b": 2})], "x array<int>, y map<string,int>", [([1], {"b": 2, "a": 1})], "x array<int>, y map<string,int>", True),
 ]
 
@@ -62,6 +72,11 @@ def test_outcomes_never_raise(spark):
         assert not bad["success"] and bad["rows"] == 0 and bad["error"], text
     assert execute_sql(spark, 'WITH a AS (SELECT ")" AS p -- (\n) SELECT * FROM a')["rows"] == 1
     assert execute_sql(spark, "SELECT count(*) n FROM ten")["success"]
+    for text in (r"SELECT 'it\'s :)' AS x", "SELECT array(map(1,2)) AS m", "SELECT CAST('123456789012345678901234567890' AS DECIMAL(38,0)) AS d",
+                 "SELECT 'reflect(' AS x -- reflect(", 'SELECT "java_method(1)" AS x;;'):
+        assert execute_sql(spark, text)["success"], text
+    for text in ("SELECT reflect('java.lang.Math','abs',-1)", "SELECT `reflect` ('java.lang.Math','abs',-1)", r"SELECT 'a\'b', java_method('java.lang.Math','abs',-1)"):
+        assert "reflection" in execute_sql(spark, text)["error"]
 
 
 def test_same_result_same_fingerprint_across_texts(spark):
@@ -73,9 +88,12 @@ def test_same_result_same_fingerprint_across_texts(spark):
 
 def test_timeout_cancels(spark):
     started = time.perf_counter()
-    slow = "SELECT count(*) AS n FROM range(0, 100000000000, 1, 8) WHERE hash(id) % 3 = sha1(id) % 5"
+    slow = "SELECT count(*) AS n FROM range(0, 100000000000, 1, 2) WHERE sha2(CAST(id AS STRING), 256) LIKE 'zz%'"
     outcome = execute_sql(spark, slow, timeout_s=2)
-    assert not outcome["success"] and time.perf_counter() - started < 60
+    assert not outcome["success"] and outcome["error"].startswith(TIMED_OUT) and time.perf_counter() - started < 60
+    texts = [slow, *(f"SELECT {k} AS x" for k in range(9))]
+    rows = {r.sql: r.outcome for r in execute_texts(spark, texts, parallel=2, timeout_s=3).collect()}
+    assert rows.pop(slow).error.startswith(TIMED_OUT) and all(o.success and o.time_s < 3 for o in rows.values())
     assert execute_sql(spark, "SELECT 1 AS x")["success"]
 
 
@@ -104,19 +122,30 @@ def test_named_dataset(spark, tmp_path):
     assert row.dataset == "shop" and row.success and row.rows == 3
     row = execute_on_dataset(spark, known, "other", "SELECT * FROM t").first()
     assert not row.success and row.error == "Unknown dataset: other"
+    assert not execute_on_dataset(spark, known, "shop", f"SELECT * FROM parquet.`{tmp_path}/t.parquet`").first().success
+
+
+def test_one_text_on_two_datasets(spark, tmp_path):
+    for name, n in (("a", 3), ("b", 5)):
+        spark.range(n).write.parquet(str(tmp_path / name / "t.parquet"))
+    known = {name: (str(tmp_path / name), ["t"]) for name in "ab"}
+    pairs = [("a", "SELECT * FROM t", "SELECT id FROM t"), ("b", "SELECT * FROM t", "SELECT id FROM t WHERE id < 3"), ("c", "SELECT 1", "SELECT 1")]
+    ran = run_pairs(df(spark, pairs, "dataset string, pred_sql string, gold_sql_exec string"), datasets=known)
+    rows = {r.dataset: r for r in match_outcomes(ran).collect()}
+    assert [(rows[d].pred.rows, rows[d].match) for d in "ab"] == [(3, True), (5, False)]
+    assert rows["c"].pred.error == "Unknown dataset: c"
 
 
 def test_case_insensitive_tables(spark, tmp_path):
     df(spark, [(1, "Boston"), (2, "BOSTON"), (3, "x")], "id int, city string").write.parquet(str(tmp_path / "c.parquet"))
     known = {"a": (str(tmp_path), ["c"])}
-    bind_dataset(spark, known, "a", ignore_case=True)
-    assert execute_sql(spark, 'SELECT id FROM c WHERE city = "boston"')["rows"] == 2
-    loose = spark.table("c").select("city").where("id = 1")
-    assert compare_results(loose, df(spark, [("Boston",)], "city string")).first().match is True
-    assert compare_results(loose, df(spark, [("boston",)], "city string")).first().match is False
+    own = dataset_session(spark, known, "a", ignore_case=True)
+    assert execute_sql(own, 'SELECT id FROM c WHERE city = "boston"')["rows"] == 2
+    loose = own.table("c").select("city").where("id = 1")
+    assert compare_results(loose, df(own, [("Boston",)], "city string")).first().match is True
+    assert compare_results(loose, df(own, [("boston",)], "city string")).first().match is False
     assert fingerprint(loose).first() == fingerprint(df(spark, [("Boston",)], "city string")).first()
-    bind_dataset(spark, known, "a")
-    assert execute_sql(spark, 'SELECT id FROM c WHERE city = "boston"')["rows"] == 0
+    assert execute_sql(dataset_session(spark, known, "a"), 'SELECT id FROM c WHERE city = "boston"')["rows"] == 0
 
 
 def outcome(success, rows=1, time_s=1.0, a=1):
@@ -153,6 +182,7 @@ def test_records_and_missing_predictions(spark):
         flatten_outcomes(base.withColumn("o", F.struct(F.lit(True).alias("success"))), {"p": "o"}, "other")
 
 
-def test_query_text_refuses_escapes():
-    with pytest.raises(ValueError):
-        query_text("SELECT 1) x, (SELECT 2")
+def test_query_text_refuses_escapes(spark):
+    with pytest.raises(ParseException):
+        query_text(spark, "SELECT 1) x, (SELECT 2")
+    assert query_text(spark, "SELECT 1 ; ;\n") == "SELECT 1"

@@ -168,7 +168,10 @@ def test_sinks(spark, tmp_path):
     assert back.columns == ["a", "b", "z"] and {tuple(r) for r in back.collect()} == {(None, "2", "1"), ("3", "4", None)}
     with pytest.raises(ValueError, match="No rows"):
         write_csv([a.where("z > 1")], str(tmp_path / "none"))
-    assert runlog_name("m", "d", "mysql") == "m_benchmark_d_mysql" and runlog_name("m", "d", "x", "baseline") == "m_baseline_d_x"
+    name = runlog_name(F.col("llm"), F.col("dataset"), F.lit("mysql"))
+    runs = spark.createDataFrame([("m", "d"), ("n o", "e/f")], "llm string, dataset string")
+    assert {r[0] for r in runs.select(name).collect()} == {"m_benchmark_d_mysql", "n o_benchmark_e/f_mysql"}
+    assert runs.select(runlog_name(F.col("llm"), F.col("dataset"), F.lit("x"), "baseline")).first()[0] == "m_baseline_d_x"
 
 
 def test_metrics_csv_and_chart_tables(spark, tmp_path):

@@ -11,7 +11,7 @@ from sqlgauge.plans.joins import null_safe_join
 from sqlgauge.plans.ordering import sum_before
 from sqlgauge.plans.quantiles import cell, order_statistics, with_order_statistics
 from sqlgauge.plans.scratch import materialize, scratch_path
-from sqlgauge.plans.spread import spread
+from sqlgauge.plans.spread import SETTING, spread
 
 
 @pytest.mark.parametrize("block", [1, 7, 64, 1 << 16])
@@ -80,8 +80,12 @@ def test_materialize_reads_back_the_same_rows(spark):
     assert scratch_path(spark, "t") != scratch_path(spark, "t")
 
 
-def test_spread_leaves_wide_inputs_alone(spark):
-    cores = spark.sparkContext.defaultParallelism
-    assert spread(spark.range(100, numPartitions=1)).rdd.getNumPartitions() == cores
-    wide = spark.range(100, numPartitions=cores + 1)
-    assert spread(wide) is wide
+def test_spread_only_where_the_session_asks(spark):
+    asked = spark.conf.get(SETTING)
+    wide = spark.range(100, numPartitions=int(asked) + 1)
+    assert spread(wide).rdd.getNumPartitions() == int(asked)
+    try:
+        spark.conf.unset(SETTING)
+        assert spread(wide) is wide
+    finally:
+        spark.conf.set(SETTING, asked)
