@@ -17,18 +17,26 @@ _WORDS = "map({})".format(
 )
 
 
-def tolerant_boolean(value: Column) -> Column:
-    """Boolean from its text form: a spelling from the lists in any case, or a number (non-zero is true)."""
+def tolerant_boolean(value: Column, typed: bool = False) -> Column:
+    """Boolean from its text form: a spelling from the lists in any case; other text, numbers too, is null.
+
+    ``typed`` says that the column holds numbers: non-zero is true.
+    """
+    if typed:
+        return value.cast("double") != 0
     text = value.cast("string")
-    word = F.lower(strip(text))
     words = F.expr(_WORDS)
-    number = F.when(word.rlike(r"^[-+.0-9]"), word.try_cast("double") != 0)
-    return F.coalesce(F.try_element_at(words, text), F.try_element_at(words, word), number)
+    return F.coalesce(F.try_element_at(words, text), F.try_element_at(words, F.lower(strip(text))))
+
+
+_NUMBER = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$|(?i)^[+-]?inf(?:inity)?$"
 
 
 def tolerant_number(value: Column) -> Column:
-    """Double, or null when the text is not a number."""
-    return value.cast("string").try_cast("double")
+    """Double, or null when the text is no decimal number; NaN counts as no number."""
+    text = strip(value.cast("string"))
+    number = F.when(text.rlike(_NUMBER), text.try_cast("double"))
+    return F.when(~F.isnan(number), number)
 
 
 def true_or_false(value: Column) -> Column:

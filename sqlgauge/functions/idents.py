@@ -11,11 +11,14 @@ STOPWORDS = (
     "list show give get find what which who where when how many much"
 ).split()
 
+# The borders inside a name.
+_BORDERS = (r"([a-z])([A-Z])", r"(\D)(\d)", r"(\d)(\D)")
+
 
 def split_identifier(text: Column) -> Column:
     """Alphanumeric runs after breaking at underscores, case changes and digit borders."""
     spaced = F.replace(text, F.lit("_"), F.lit(" "))
-    for pattern in (r"([a-z])([A-Z])", r"(\D)(\d)", r"(\d)(\D)"):
+    for pattern in _BORDERS:
         spaced = F.regexp_replace(spaced, pattern, "$1 $2")
     return F.regexp_extract_all(spaced, F.lit("[A-Za-z0-9]+"), F.lit(0))
 

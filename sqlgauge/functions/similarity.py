@@ -40,35 +40,32 @@ def best_ratio_per_group(tokens: pd.Series, groups: pd.Series) -> pd.Series:
     Both inputs are plain strings so Arrow moves them cheaply: ``tokens`` space-separated, ``groups`` as
     ``"a b|c|d e"``. A token meets the same groups on many rows, hence the caches.
     """
-    out = []
-    for words, signature in zip(tokens, groups):
-        rows = [_best_per_group(w, signature) for w in words.split(" ") if w]
-        out.append(np.maximum.reduce(rows) if rows else np.zeros(len(_groups(signature))))
-    return pd.Series(out)
+    seen: dict[tuple[str, str], np.ndarray] = {}  # rows of a batch often ask the same
+    for pair in zip(tokens, groups):
+        if pair not in seen:
+            rows = [_best_per_group(w, pair[1]) for w in pair[0].split(" ") if w]
+            seen[pair] = np.maximum.reduce(rows) if rows else np.zeros(len(_groups(pair[1])))
+    return pd.Series([seen[pair] for pair in zip(tokens, groups)])
 
 
 @lru_cache(maxsize=1 << 14)
-def _two_best(token: str, names: str) -> tuple[int, float, float]:
-    scored = sorted(
-        ((ratio(token, name.lower()), i) for i, name in enumerate(names.split("|"))),
-        key=lambda pair: (-pair[0], pair[1]),
-    )
-    return scored[0][1], scored[0][0], scored[1][0] if len(scored) > 1 else 0.0
+def _two_best(token: str, names: tuple[str, ...]) -> tuple[int, float, float]:
+    ratios = [ratio(token, name.lower()) for name in names]
+    best = int(np.argmax(ratios))  # the first of equals
+    second = max(ratios[:best] + ratios[best + 1 :], default=0.0)
+    return best, ratios[best], second
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def two_best_matches(tokens: pd.Series, names: pd.Series) -> pd.Series:
     """Three numbers per lower-case token: the position of its best name, the best and the second-best ratio.
 
-    ``tokens`` is space-separated and ``names`` is ``|``-separated; equal ratios keep the name order.
+    Both are arrays of strings; no names give no numbers, equal ratios keep the name order.
     """
     out = []
     for words, candidates in zip(tokens, names):
-        row: list[float] = []
-        for word in words.split(" "):
-            if word:
-                row.extend(_two_best(word, candidates))
-        out.append(row)
+        known = tuple(candidates) if candidates is not None else ()
+        out.append([number for word in (words if known else ()) for number in _two_best(word, known)])
     return pd.Series(out)
 
 

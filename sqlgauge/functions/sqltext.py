@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .textops import lines, strip
 
+# The end of the first FROM clause, and the two spellings of a schema line.
 _SOURCES = (
     r"(?sU)\bFROM\b(.*?)(?:\bWHERE\b|\bGROUP\s+BY\b|\bHAVING\b|\bORDER\s+BY\b|\bLIMIT\b|\bUNION\b"
     r"|\bINTERSECT\b|\bEXCEPT\b|;|$)"

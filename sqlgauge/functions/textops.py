@@ -51,7 +51,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def respell_words(text: Column, words: Column, run: str) -> Column:
-    """Replace every run of word characters that equals one of ``words`` in any letter case by that word."""
+    """Replace every run of word characters that equals one of ``words`` in any letter case by that word.
+
+    Of several spellings of one word the last one is taken.
+    """
+    words = F.reverse(words)
+
     def known(names: Column) -> Column:
         def spelled(token: Column) -> Column:
             at = F.array_position(names, F.lower(token)).cast("int")

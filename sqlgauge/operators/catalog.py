@@ -11,10 +11,6 @@ from pyspark.sql import functions as F
 
 from ..functions.idents import identifier_tokens
 
-# Table counts that mark a dataset as fully imported.
-EXPECTED_TABLES = {"advising": 15, "atis": 25, "imdb": 16, "yelp": 7}
-
-
 def _in_order(position: str, *fields: Column) -> Column:
     """The fields of a group's rows as an array ordered by ``position``."""
     return F.array_sort(F.collect_list(F.struct(F.col(position).alias("_at"), *fields)))
@@ -148,9 +144,15 @@ def schema_profiles(
     return tables.groupBy("dataset").agg(F.array_sort(F.collect_list(entry)).alias("schema"))
 
 
-def dataset_info(expected: DataFrame, catalog: DataFrame) -> DataFrame:
-    """For each ``expected.dataset``: ``available``, its ``tables`` and ``table_count``."""
+def dataset_info(expected: DataFrame, catalog: DataFrame, databases: DataFrame | None = None) -> DataFrame:
+    """For each ``expected.dataset``: ``available``, its ``tables`` and ``table_count``.
+
+    ``databases`` (column ``database``) lists what exists, so that one without tables is available, too.
+    """
     found = dataset_tables(catalog)
+    if databases is not None:
+        exists = databases.select(F.col("database").alias("dataset")).distinct()
+        found = exists.join(found, "dataset", "full").withColumn("tables", F.coalesce("tables", F.array().cast("array<string>")))
     return expected.select("dataset").distinct().join(found, "dataset", "left").select(
         "dataset",
         F.col("tables").isNotNull().alias("available"),

@@ -29,7 +29,7 @@ def rank_tables(
     col_weight: float = 1.0,
     fuzzy_weight: float = 0.25,
 ) -> DataFrame:
-    """Add ``ranked``: all tables of the dataset by falling score, then name.
+    """Add ``ranked`` (table, score, place in ``schema``): all tables of the dataset by falling score, then name.
 
     Score: weighted count of question tokens among table-name and column tokens, plus the weighted best
     similarity of any question token to any table-name token.
@@ -59,25 +59,29 @@ def rank_tables(
 
     ranked = F.transform(
         F.array_sort(F.transform("schema", scored)),
-        lambda r: F.struct(
-            r["table"],
-            (-r["order"]).alias("score"),
-            F.get(F.col("schema"), r["at"])["line"].alias("line"),
-            F.get(F.col("schema"), r["at"])["neighbours"].alias("neighbours"),
-        ),
+        lambda r: F.struct(r["table"], (-r["order"]).alias("score"), r["at"]),
     )
-    return rows.withColumn("ranked", ranked).drop("_tokens", "_distinct", "_near", "schema")
+    return rows.withColumn("ranked", ranked).drop("_tokens", "_distinct", "_near")
+
+
+def _described(places: Column) -> Column:
+    """Table, score, line and neighbours of ranked entries; only those that were selected are looked up."""
+
+    def full(t: Column) -> Column:
+        held = F.get(F.col("schema"), t["at"])
+        return F.struct(t["table"], t["score"], held["line"].alias("line"), held["neighbours"].alias("neighbours"))
+
+    return F.transform(places, full)
 
 
 def select_top(rows: DataFrame, k: int, min_score: float = 0.0) -> DataFrame:
     """Add ``selected``: the first ``k`` ranked tables above ``min_score``; if none, the first ``k`` by name."""
     hits = F.filter("ranked", lambda t: t["score"] > min_score)
     by_name = F.array_sort(
-        F.transform("ranked", lambda t: F.struct(t["table"], t["score"], t["line"], t["neighbours"]))
-    )
-    return rows.withColumn(
-        "selected", F.when(F.size(hits) > 0, F.slice(hits, 1, k)).otherwise(F.slice(by_name, 1, k))
+        F.transform("ranked", lambda t: F.struct(t["table"], t["score"], t["at"]))
     )
+    chosen = F.when(F.size(hits) > 0, F.slice(hits, 1, k)).otherwise(F.slice(by_name, 1, k))
+    return rows.withColumn("selected", _described(chosen))
 
 
 def expand_neighbours(rows: DataFrame, k: int) -> DataFrame:
@@ -90,7 +94,7 @@ def expand_neighbours(rows: DataFrame, k: int) -> DataFrame:
     added = F.transform(
         F.slice(unseen, F.lit(1), room),
         lambda n: F.coalesce(
-            F.get(F.filter("ranked", lambda t: t["table"] == n), F.lit(0)),
+            F.get(_described(F.filter("ranked", lambda t: t["table"] == n)), F.lit(0)),
             F.struct(
                 n.alias("table"), F.lit(None).cast("double").alias("score"),
                 F.lit(None).cast("string").alias("line"),
@@ -114,4 +118,4 @@ def link_schema(
     if add_neighbours:
         rows = expand_neighbours(rows, max_tables)
     lines = F.array_join(F.transform("selected", lambda t: t["line"]), "\n")
-    return rows.withColumn("schema_compact", F.coalesce(lines, F.lit(""))).drop("ranked", "selected")
+    return rows.withColumn("schema_compact", F.coalesce(lines, F.lit(""))).drop("ranked", "selected", "schema")

@@ -19,6 +19,7 @@ from ..functions.textops import (
 )
 from ..session import ship_package
 
+# The keywords before a table name, and the form of the name.
 _REFERENCE = r"\b(?:from|join|update|into|delete\s+from)\b\s+`?[A-Za-z_]\w*`?"
 _QUOTED_OR_REFERENCE = f"(?iU){QUOTED}|{_REFERENCE}"
 _LAST_NAME = r"(?U)([A-Za-z_]\w*)(`?)$"
@@ -108,7 +109,7 @@ def match_tables(
     )
     rows = rows.withColumn(
         "_near",
-        two_best_matches(F.array_join("_open", " "), F.coalesce(F.array_join(F.col(tables), "|"), F.lit(""))),
+        two_best_matches(F.col("_open"), F.col(tables)),
     )
 
     def near(token: Column) -> Column:

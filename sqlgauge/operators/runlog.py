@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ..functions.flags import tolerant_boolean
 from ..functions.sqltext import complexity_bucket, schema_tables
@@ -14,13 +15,20 @@ def _field(df: DataFrame, name: str) -> Column | None:
     return F.col(f"`{name}`") if name in df.columns else None
 
 
+def _flag(df: DataFrame, value: Column) -> Column:
+    """The flag of a column that holds texts, booleans or numbers."""
+    kind = df.select(value).schema.fields[0].dataType
+    return tolerant_boolean(value, isinstance(kind, NumericType))
+
+
 def _first(df: DataFrame, names: list[str], nested: tuple[str, str], kind: str) -> Column:
     found = [F.col(nested[0])[nested[1]]] if nested[0] in df.columns else []
     found += [c for c in (_field(df, n) for n in names) if c is not None]
     if not found:
         return F.lit(None).cast(kind)
     if kind == "boolean":
-        return tolerant_boolean(F.coalesce(*[c.cast("string") for c in found]))
+        read = [F.when(c.isNotNull(), F.struct(_flag(df, c).alias("flag"))) for c in found]  # the first one set decides
+        return F.coalesce(*read)["flag"]
     return F.coalesce(*[c.cast(kind) for c in found])
 
 
@@ -43,11 +51,11 @@ def canonical_runlog(records: DataFrame) -> DataFrame:
             )
         match = _field(records, f"{engine}_pred_vs_gold_match")
         facts[f"{engine}_ex"] = (
-            tolerant_boolean(match) if match is not None else F.lit(None).cast("boolean")
+            _flag(records, match) if match is not None else F.lit(None).cast("boolean")
         )
     cross = _field(records, "mysql_vs_mariadb_match")
     facts["mysql_vs_mariadb_match"] = (
-        tolerant_boolean(cross) if cross is not None else F.lit(None).cast("boolean")
+        _flag(records, cross) if cross is not None else F.lit(None).cast("boolean")
     )
     drop = set(facts) | set(ENGINES) | {f"{e}_gold" for e in ENGINES}
     drop |= {f"{e}_pred_vs_gold_match" for e in ENGINES}

@@ -139,27 +139,12 @@ def questions(spark, sf) -> DataFrame:
 
 
 # The words that occur in questions and in table names, so the check can list the similarity of each pair.
-_Q_WORDS = """red widget order dat 1998 hot plat region key 7 have urgent high medium not specifi low unit pric qty 2 sold
-me unitpric large rod comment mention supplier nam small ring zzz""".split()
-_T_WORDS = """anvil blue bolt cold gear gizmo hot large new old plate plates red ring rings rod rods small widget widgets
-anvils bolts gears gizmos plat""".split() + [str(i) for i in range(16)]
-
-
-def _stemmed(words):
-    out = []
-    for w in words:
-        if len(w) > 4 and w.endswith("ing"):
-            w = w[:-3]
-        elif len(w) > 3 and w.endswith(("ed", "es")):
-            w = w[:-2]
-        elif len(w) > 2 and w.endswith("s"):
-            w = w[:-1]
-        out.append(w)
-    return sorted(set(out) | set(words))
-
-
+_Q_WORDS = """1998 2 7 comment dat have high hot key large low me medium mention nam not order plat pric qty red
+region ring rod small sold specifi supplier unit unitpric urgent widget zzz""".split()
+_T_WORDS = """0 1 10 11 12 13 14 15 2 3 4 5 6 7 8 9 anvil anvils blue bolt bolts cold gear gears gizmo gizmos hot
+large new old plat plate plates red ring rings rod rods small widget widgets""".split()
 _RATIOS = ", ".join(
-    f"('{a}', '{b}', {SequenceMatcher(None, a, b).ratio()!r})" for a in _stemmed(_Q_WORDS) for b in _stemmed(_T_WORDS)
+    f"('{a}', '{b}', {SequenceMatcher(None, a, b).ratio()!r})" for a in _Q_WORDS for b in _T_WORDS
 )
 _RATIO_TABLE = f"(SELECT a, b, r::DOUBLE AS r FROM (VALUES {_RATIOS}) v(a, b, r))"
 _T = f"""SELECT dataset, table_name, list_distinct({_ident('table_name')}) AS t_tokens FROM
@@ -272,15 +257,21 @@ def l9(spark, sf):
 
 _EXPECTED = "SELECT DISTINCT 'd' || CAST(CAST(floor(o_custkey / 11) AS BIGINT) AS STRING) AS dataset FROM @orders"
 
+_EXISTING = f"SELECT dataset FROM ({_EXPECTED}) d WHERE length(dataset) % 2 = 1"
+
 
 @query(
     "l10_dataset_info",
-    f"""SELECT e.dataset, t.tables IS NOT NULL AS available, t.tables, t.table_count FROM ({_EXPECTED}) e LEFT JOIN (
+    f"""SELECT e.dataset, t.tables IS NOT NULL OR x.dataset IS NOT NULL AS available,
+      CASE WHEN x.dataset IS NOT NULL THEN coalesce(t.tables, '') ELSE t.tables END AS tables,
+      CASE WHEN x.dataset IS NOT NULL THEN coalesce(t.table_count, 0) ELSE t.table_count END AS table_count
+      FROM ({_EXPECTED}) e LEFT JOIN ({_EXISTING}) x ON x.dataset = e.dataset LEFT JOIN (
       SELECT dataset, string_agg(table_name, ' ' ORDER BY table_name) AS tables, count(*) AS table_count FROM (
         SELECT DISTINCT dataset, table_name FROM ({CATALOG}) c) d GROUP BY dataset) t ON t.dataset = e.dataset""",
 )
 def l10(spark, sf):
-    info = C.dataset_info(run(spark, sf, _EXPECTED), catalog(spark, sf))
+    exists = run(spark, sf, _EXISTING).withColumnRenamed("dataset", "database")
+    info = C.dataset_info(run(spark, sf, _EXPECTED), catalog(spark, sf), exists)
     return info.withColumn("tables", F.array_join("tables", " ")).withColumn(
         "table_count", F.col("table_count").cast("long")
     )

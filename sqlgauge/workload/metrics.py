@@ -74,12 +74,14 @@ _SPELLED = """CASE event_id % 13 WHEN 0 THEN 'true' WHEN 1 THEN ' T ' WHEN 2 THE
 
 @query(
     "m1_tolerant_boolean",
-    """SELECT event_id, CASE WHEN event_id % 13 IN (0, 1, 2, 3) THEN TRUE WHEN event_id % 13 IN (4, 5, 6, 10) THEN FALSE
-      WHEN event_id % 13 = 7 THEN value <> 0 END AS flag FROM @events""",
+    """SELECT event_id, CASE WHEN event_id % 13 IN (0, 1, 2, 3) THEN TRUE WHEN event_id % 13 IN (4, 5, 6) THEN FALSE END AS flag,
+      floor(value) <> 0 AS typed FROM @events""",
 )
 def m1(spark, sf):
-    texts = run(spark, sf, f"SELECT event_id, {_SPELLED} AS text FROM @events")
-    return texts.select("event_id", tolerant_boolean(F.col("text")).alias("flag"))
+    texts = run(spark, sf, f"SELECT event_id, floor(value) AS number, {_SPELLED} AS text FROM @events")
+    return texts.select(
+        "event_id", tolerant_boolean(F.col("text")).alias("flag"), tolerant_boolean(F.col("number"), True).alias("typed")
+    )
 
 
 _FACTS = [
@@ -246,7 +248,8 @@ def m16(spark, sf):
     return rounded(M.summarize(rows(spark, sf)))
 
 
-_NUMBERS = """CASE event_id % 5 WHEN 0 THEN CAST(value AS STRING) WHEN 1 THEN 'n/a' WHEN 2 THEN ''
+_NUMBERS = """CASE event_id % 5 WHEN 0 THEN CAST(value AS STRING) WHEN 1 THEN 'n/a' WHEN 2 THEN
+  CASE event_id % 4 WHEN 0 THEN 'NaN' WHEN 1 THEN '12d' WHEN 2 THEN '0x1p3' ELSE '' END
   WHEN 3 THEN CAST(CAST(floor(value) AS INT) AS STRING) END"""
 
 

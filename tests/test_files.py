@@ -117,6 +117,9 @@ def test_expected_tables_and_info(spark):
     assert {tuple(r) for r in C.completeness(expected, catalog).collect()} == {("a", 1, 1, True), ("b", 0, 2, False)}
     info = {r.dataset: r for r in C.dataset_info(expected, catalog).collect()}
     assert info["a"].available and info["a"].tables == ["info_view"] and not info["b"].available
+    known = spark.createDataFrame([("b",)], "database string")
+    info = {r.dataset: r for r in C.dataset_info(expected, catalog, known).collect()}
+    assert info["a"].available and info["b"].available and info["b"].tables == [] and info["b"].table_count == 0
     assert "default" in [r.database for r in databases(spark).collect()]
 
 

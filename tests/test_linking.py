@@ -1,12 +1,8 @@
-"""Ranking, selection, neighbours and prompts against plain-Python statements of the rules."""
-
-import re
-from difflib import SequenceMatcher
+"""Ranking, selection, neighbours and prompts by worked cases."""
 
 import pytest
 from pyspark.sql import functions as F
 
-from sqlgauge.functions.idents import STOPWORDS
 from sqlgauge.operators import catalog, linking, prompts
 from sqlgauge.sources.introspect import CATALOG
 
@@ -30,32 +26,6 @@ def profiles(spark, with_keys=True):
     return catalog.schema_profiles(spark.createDataFrame(rows, CATALOG), catalog.fk_graph(keys) if with_keys else None)
 
 
-def split(s):
-    s = s.replace("_", " ")
-    for p in (r"([a-z])([A-Z])", r"(\D)(\d)", r"(\d)(\D)"):
-        s = re.sub(p, r"\1 \2", s)
-    return re.findall(r"[A-Za-z0-9]+", s)
-
-
-def stem(t):
-    if len(t) > 4 and t.endswith("ing"):
-        return t[:-3]
-    if len(t) > 3 and t.endswith(("ed", "es")):
-        return t[:-2]
-    return t[:-1] if len(t) > 2 and t.endswith("s") else t
-
-
-def ranking(question):
-    q = [stem(w) for w in split(question.lower()) if w not in STOPWORDS]
-    out = []
-    for table, columns in SCHEMA.items():
-        names = {stem(w.lower()) for w in split(table)}
-        cols = {stem(w.lower()) for c in columns for w in split(c)}
-        near = max((SequenceMatcher(None, a, b).ratio() for a in q for b in names), default=0.0)
-        out.append((table, 3.0 * len(set(q) & names) + len(set(q) & cols) + 0.25 * near))
-    return sorted(out, key=lambda x: (-x[1], x[0]))
-
-
 QUESTIONS = [
     "list all the flights that arrive at MKE from various cities", "Which carrier's service names are used?",
     "the", "zzz", "fares of flights with state 2", "",
@@ -66,35 +36,37 @@ def asked(spark):
     return spark.createDataFrame([("a", i, q) for i, q in enumerate(QUESTIONS)], "dataset string, id int, question_text_filled string")
 
 
-def test_ranking_matches_brute_force(spark):
+NO_HIT = [(t, 0.0) for t in ("airport", "city", "dual_carrier", "flight", "flight_fare", "note")]
+RANKINGS = [
+    [("flight", 4.25), ("flight_fare", 4.25), ("dual_carrier", 0.1923), ("city", 0.1875), ("airport", 0.1154), ("note", 0.0714)],
+    [("dual_carrier", 4.25), ("flight_fare", 0.1364), ("airport", 0.1071), ("city", 0.0909), ("note", 0.0714), ("flight", 0.0385)],
+    NO_HIT,
+    NO_HIT,
+    [("flight", 4.25), ("flight_fare", 4.25), ("city", 2.1), ("note", 0.1111), ("airport", 0.1), ("dual_carrier", 0.1)],
+    NO_HIT,
+]
+
+
+def test_rankings(spark):
     rows = linking.rank_tables(asked(spark), profiles(spark)).orderBy("id").collect()
-    for row, question in zip(rows, QUESTIONS):
-        want = ranking(question)
-        assert [t.table for t in row.ranked] == [t for t, _ in want]
-        assert [t.score for t in row.ranked] == pytest.approx([s for _, s in want])
+    assert [[(t.table, round(t.score, 4)) for t in row.ranked] for row in rows] == RANKINGS
 
 
 def test_top_k_with_fallback_by_name(spark):
     rows = linking.select_top(linking.rank_tables(asked(spark), profiles(spark)), 2).orderBy("id").collect()
     assert [t.table for t in rows[2].selected] == ["airport", "city"]
-    assert [t.table for t in rows[0].selected] == [t for t, _ in ranking(QUESTIONS[0])[:2]]
+    assert [t.table for t in rows[0].selected] == ["flight", "flight_fare"]
+    assert rows[0].selected[1].line == "flight_fare(flight_id, fare_id)" and rows[0].selected[1].neighbours == ["flight"]
 
 
 def test_neighbours_fill_up_in_order(spark):
     ranked = linking.rank_tables(asked(spark), profiles(spark), fuzzy_weight=0)
     rows = linking.expand_neighbours(linking.select_top(ranked, 5), 5).orderBy("id").collect()
-    graph = {}
-    for a, b in KEYS:
-        graph.setdefault(a, set()).add(b)
-        graph.setdefault(b, set()).add(a)
-    for row in rows:
-        hits = [t.table for t in row.ranked if t.score > 0][:5]
-        want = hits or sorted(SCHEMA)[:5]
-        for t in list(want):
-            for n in sorted(graph.get(t, ())):
-                if n not in want and len(want) < 5:
-                    want.append(n)
-        assert [t.table for t in row.selected] == want
+    by_name = ["airport", "city", "dual_carrier", "flight", "flight_fare"]
+    assert [[t.table for t in row.selected] for row in rows] == [
+        ["flight", "flight_fare", "airport"], ["dual_carrier"], by_name, by_name, ["flight", "flight_fare", "city", "airport"], by_name,
+    ]
+    assert rows[0].selected[2].line == "airport(airport_code, cityName)"
 
 
 def test_link_schema_and_unknown_dataset(spark):
@@ -103,32 +75,21 @@ def test_link_schema_and_unknown_dataset(spark):
     assert got[0] == "flight(flight_id, from_airport, to_airport)" and got[1] == ""
 
 
-def pack(schema, question, new, ctx):
-    def tok(s):
-        return re.findall(r"\s*\S+|\s+", s)
-
-    frame = sum(len(tok(p)) for p in (prompts.PREFIX, prompts.MIDDLE, prompts.ENDING_CONTINUE))
-    q = tok(question)
-    if frame + len(q) > ctx - new:
-        q = q[-max(32, ctx - new - frame):]
-    room = max(0, ctx - new - frame - len(q))
-    kept, used = [], 0
-    for line in [x for x in schema.splitlines() if x.strip()]:
-        if room <= 0 or used + len(tok(line + "\n")) > room:
-            break
-        kept.append(line)
-        used += len(tok(line + "\n"))
-    text = "\n".join(kept)
-    return text, "".join(q), frame + len(q) + len(tok(text))
-
-
-def test_packing_matches_brute_force(spark):
-    long = " ".join(f"w{i}" for i in range(90))
+def test_packing(spark):
+    words = [f"w{i}" for i in range(90)]
+    long = " ".join(words)
     cases = [("a b\n\n  c d e\nf", "q one"), ("", ""), (long + "\nx\ny z", "hi"), ("x y\n" + long + "\nz", long), ("x", long)]
     df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, schema_compact string, question_text_filled string")
-    for new, ctx in ((10, 60), (10, 30), (1, 200)):
+    tail = lambda n: " " + " ".join(words[-n:])
+    short = [("a b\n  c d e\nf", "q one", 19), ("", "", 11), ("", "hi", 12)]
+    expected = {
+        (10, 60): [*short, ("", tail(39), 50), ("", tail(39), 50)],
+        (10, 30): [("a b\n  c d e", "q one", 18), *short[1:], ("", tail(32), 43), ("", tail(32), 43)],
+        (1, 200): [*short[:2], (long + "\nx\ny z", "hi", 105), ("x y\n" + long + "\nz", long, 194), ("x", long, 102)],
+    }
+    for (new, ctx), want in expected.items():
         rows = prompts.pack_prompts(df, max_new_tokens=new, context=ctx).orderBy("i").collect()
-        assert [(r.prompt_schema, r.prompt_question, r.prompt_tokens) for r in rows] == [pack(s, q, new, ctx) for s, q in cases]
+        assert [(r.prompt_schema, r.prompt_question, r.prompt_tokens) for r in rows] == want
     with pytest.raises(ValueError):
         prompts.pack_prompts(df, max_new_tokens=60, context=60)
 
