@@ -11,7 +11,8 @@ written as Parquet and read again as the next one's docs. All but the last retur
 5. BPE: what is left, as token ids and as the text read back from them.
 
 Nulls and repeats are each operator's. In the third stage rows of one id are one document, and documents without an id
-are told apart by their texts.
+are told apart by their texts. Further columns of the documents stay, but names that begin with an underscore are the
+operators' own: such columns are left out.
 """
 
 from __future__ import annotations
@@ -25,6 +26,11 @@ from sqlgauge.plans.scratch import materialize
 from sqlgauge.session import ship_package
 
 
+def _plain(docs: DataFrame) -> DataFrame:
+    ship_package(docs.sparkSession)
+    return docs.drop(*(c for c in docs.columns if c.startswith("_")))
+
+
 def _counted(docs: DataFrame, changed: Column) -> list[Column]:
     """The columns of ``docs``, with n_chars counted anew where ``changed``."""
     size = F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast("long")
@@ -32,17 +38,20 @@ def _counted(docs: DataFrame, changed: Column) -> list[Column]:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = _plain(docs)
     model = toxicity.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
     return toxicity.score(docs, model).where("_toxicity < 0.5").select(*docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = _plain(docs)
     cut = line_dedup.drop_boilerplate(docs)
     cut = cut.where((F.col("_dropped") == 0) | (F.col("_dropped") < F.col("_lines")))
     return cut.select(*_counted(docs, F.col("_dropped") > 0))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = _plain(docs)
     classes = ngram_join.near_duplicates(docs).where(F.col("_row") == F.col("_first"))
     first = materialize(classes.select("_first").distinct(), "first-documents")
     left = docs.withColumn("_row", ngram_join.row_id()).join(first, F.col("_row") == F.col("_first"), "left_semi")
@@ -50,6 +59,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = _plain(docs)
     benchmark = table(spark, sf_dir, "benchmark").select("item_id", "text")
     found = decontamination.find_contamination(docs, benchmark)
     held = found.withColumn("_hit", decontamination.hit_words()).where((F.col("_hit") == 0) | (F.col("_hit") < F.col("_words")))
@@ -79,7 +89,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a folder."""
-    ship_package(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")

@@ -25,7 +25,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from .common import NOT_LATIN, extended, latin_pattern, lists, slices, with_columns
+from .common import NOT_LATIN, extended, latin_pattern, lists, prepared, slices, with_columns
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 BATCH_BYTES = 2 << 20
@@ -227,6 +227,7 @@ def _encode_step(path: str, text_col: str, decoded: bool):
 def encode(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCABULARY, decoded: bool = False) -> DataFrame:
     """All columns plus _ids (array of int), and _decoded (the text read back from the ids) if asked for."""
     fields = "_ids array<int>" + (", _decoded string" if decoded else "")
+    docs = prepared(docs, fields)
     return docs.mapInArrow(_encode_step(vocabulary, text_col, decoded), extended(docs.schema, fields))
 
 
@@ -240,4 +241,5 @@ def decode(encoded: DataFrame, ids_col: str = "_ids", vocabulary: str = VOCABULA
             ids = np.asarray(column.flatten()).astype(np.int64)
             yield with_columns(batch, {"_decoded": pa.array(decode_ids(ids, np.cumsum([0, *sizes]), vocabulary), pa.string())})
 
+    encoded = prepared(encoded, "_decoded string")
     return encoded.mapInArrow(run, extended(encoded.schema, "_decoded string"))

@@ -12,6 +12,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from ..session import ship_package
+
 #: Words of lower-cased UTF-8: ASCII digits and letters, and every byte of a non-ASCII character.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -25,6 +27,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def prepared(docs: DataFrame, added: str = "") -> DataFrame:
+    """``docs`` for an operator with Python steps: the package is shipped, and columns with the names of those that
+    are added (the DDL text ``added``) give way."""
+    ship_package(docs.sparkSession)
+    return docs.drop(*T.StructType.fromDDL(added).names) if added else docs
+
+
 def extended(schema: T.StructType, extra: str) -> T.StructType:
     """``schema`` plus the columns of the DDL text ``extra``."""
     return T.StructType([*schema.fields, *T.StructType.fromDDL(extra).fields])

@@ -24,7 +24,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, extended, lists, merged, ranges, slices, with_columns, words
+from .common import WORD, extended, lists, merged, prepared, ranges, slices, with_columns, words
 
 PHRASE_WORDS = 10
 SHARD_BYTES = 8 << 20
@@ -249,6 +249,7 @@ def find_contamination(
 ) -> DataFrame:
     """All columns of ``docs`` plus _words, _spans (word ranges, merged) and _items (found items, sorted)."""
     fields = "_words long, _spans array<struct<start: long, end: long>>, _items array<string>"
+    docs = prepared(docs, fields)
     schema, out = docs.schema, extended(docs.schema, fields)
     blocks = list(_steps(docs, benchmark, item_col, item_text_col, size, block_words))
     if not blocks:

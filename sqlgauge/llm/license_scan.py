@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import WORD, extended, lists, slices, with_columns
+from .common import WORD, extended, lists, prepared, slices, with_columns
 
 #: Fixed phrases and their labels.
 PHRASES = {
@@ -160,4 +160,5 @@ def _step(text_col: str):
 
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """All columns plus _words, _places (fixed phrases) and _matches (notices); spans count words."""
+    docs = prepared(docs, FIELDS)
     return docs.mapInArrow(_step(text_col), extended(docs.schema, FIELDS))

@@ -56,6 +56,7 @@ def drop_boilerplate(
 ) -> DataFrame:
     """All columns with the lines dropped from the text, plus _lines (not blank, before) and _dropped."""
     host = F.col("source") if host is None else host
+    docs = docs.drop("_row_host", "_key", "_key_host", "_drop", "_lines", "_dropped")
     boiler = boilerplate_lines(docs, host, F.col(text_col), max_ratio, min_pages)
     boiler = boiler.select(F.col("_host").alias("_bad_host"), F.col("_line").alias("_bad"))
     digests = F.array_distinct(F.transform(F.filter(_lines(F.col(text_col)), lambda x: F.trim(x) != ""), _digest))

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scratch import materialize
-from .common import ranges, slices
+from .common import prepared, ranges, slices
 from .components import components
 
 WORDS = 5
@@ -203,7 +203,7 @@ def near_duplicates(
     """Per row: doc_id, class_id (smallest id of its component), n_copies (rows with an equal set, itself included),
     n_links (other rows at the threshold or above, copies included); _row and _first are the ``row_id`` of the row and
     of the document that stands for its class."""
-    source = docs.select(
+    source = prepared(docs).select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
         row_id(id_col, text_col).alias("row"),
     )

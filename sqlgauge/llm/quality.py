@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scratch import materialize
-from .common import extended, slices, with_columns
+from .common import extended, prepared, slices, with_columns
 
 ORDER = 5
 BLOCK_ENTRIES = 2_000_000
@@ -82,7 +82,7 @@ def _count_step(text_col: str, lang_col: str):
 
 def count_grams(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Columns order, key, n, written once: counts of the highest order, kinds of left neighbours for the lower ones."""
-    texts = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    texts = prepared(docs).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     top = texts.mapInArrow(_count_step("text", "lang"), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     top = materialize(top, "grams")
     tables = [top.select(F.lit(ORDER).alias("order"), "key", "n")]
@@ -283,6 +283,7 @@ def _base_step(text_col: str):
 def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", lower: float = LOWER, upper: float = UPPER,
           limit: int = BLOCK_ENTRIES) -> DataFrame:
     """All columns but the text, plus the base counts, _perplexity, _base_failed and _kept."""
+    docs = prepared(docs, BASE + ", _log_probability double, _log double, _lang string, _middle double, _spread double")
     counts = count_grams(docs, text_col, lang_col)
     measured = docs.mapInArrow(_base_step(text_col), extended(docs.schema, BASE))
     names = measured.columns

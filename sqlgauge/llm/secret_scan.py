@@ -81,6 +81,7 @@ def scan(
     ``ledger`` is a folder that all executors reach; without one a new ledger is begun in the scratch folder. Each run
     adds one written table with a row per blob it has scanned.
     """
+    docs = docs.drop("_blob", "_of", *(f"_{r.name}" for r in rules))
     spark = docs.sparkSession
     known = _read(spark, ledger) if ledger else None
     ledger = ledger or scratch_path(spark, "ledger")

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..plans.scratch import scratch_path
 from .bpe import CONTRACTIONS
-from .common import NOT_LATIN, latin_pattern, slices
+from .common import NOT_LATIN, latin_pattern, prepared, slices
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 END = 2
@@ -195,7 +195,7 @@ def write_token_files(
 ) -> None:
     """Encode all texts and write their segments in ascending order of the id; shard numbers follow that order."""
     ordered = (
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+        prepared(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
         .repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     )
     ordered.mapInArrow(_write_step(vocabulary, end), SEGMENTS).write.option("compression", "uncompressed").parquet(path)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, with_columns, extended
+from .common import extended, prepared, slices, with_columns
 
 MAX_TRAINING = 20_000
 MAX_ENTRIES = 1_000
@@ -202,7 +202,7 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most
     known = known.groupBy(F.col("doc_id").alias("_label_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     rows = known.orderBy(F.xxhash64("_label_id"), "_label_id").limit(most).collect()
     chosen = spark.createDataFrame(rows, known.schema)
-    joined = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_label_id"))  # at most MAX_TRAINING rows
+    joined = prepared(docs).select(id_col, text_col).join(F.broadcast(chosen), F.col(id_col) == F.col("_label_id"))  # at most MAX_TRAINING rows
     return joined.select(F.col(text_col).alias("text"), (F.col("toxic") > 0).cast("int").alias("toxic")).dropDuplicates()
 
 
@@ -272,6 +272,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """All columns plus _toxicity (0 to 1) and _clauses (scores of the matched clauses)."""
 
+    docs = prepared(docs, "_toxicity double, _clauses array<double>")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.compile()
         for batch in slices(batches, text_col, 2 << 20):

@@ -80,6 +80,18 @@ def test_stages_keep_the_columns_and_bear_odd_tables(spark, tmp_path):
             assert got.count() == (0 if not rows else 3 if name == "ngram_join" else 5)
 
 
+def test_stages_keep_extra_columns(spark, tmp_path):
+    tables(spark, tmp_path)
+    names = ["score", "toxic", "n_words", "class_id", "label", "row", "line", "tokens", "id", "_row", "_spans"]
+    docs = doc_rows(spark, [(1, "a b c"), (2, None)])
+    for name in names:
+        docs = docs.withColumn(name, docs.doc_id)
+    for name, stage in P.STAGES[:-1]:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == COLUMNS + names[:-2] and got.count() == 2 and got.where("row = doc_id").count() == 2
+    assert P.STAGES[-1][1](spark, docs, str(tmp_path)).count() == 2
+
+
 @pytest.mark.parametrize("name", [n for n, _ in P.STAGES])
 def test_every_stage_is_registered_in_order(name):
     assert [n for n, _ in P.STAGES].index(name) == ["toxicity", "line_dedup", "ngram_join", "decontamination", "bpe"].index(name)
