@@ -1,8 +1,10 @@
 """Exact order statistics per group in bounded memory.
 
 The built-in exact percentile keeps every distinct value of a group in one aggregation buffer. Here the
-values are first counted in order-preserving cells (a bounded number per group); the cells that hold a
-wanted rank are then read again and ranked. Both scans shuffle pre-aggregated counts only.
+values are first counted in order-preserving cells (a bounded number per group); of the cells that hold a wanted rank
+the distinct values are counted. A cell with more than ``CELL_VALUES`` of them is cut into ``PARTS`` equal parts, again
+and again, until no wanted part holds more; then the few values left are ranked. No window ever sees more rows than one
+of these bounds, and all scans shuffle pre-aggregated counts only.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ from .joins import null_safe_join
 from .scratch import materialize
 
 CELLS_PER_OCTAVE = 64
+CELL_VALUES = 100_000
+PARTS = 4096
 
 
 def cell(value: Column) -> Column:
@@ -32,6 +36,39 @@ def _running(name: str, keys: list[str], order: str) -> Column:
     return F.sum(name).over(frame.rowsBetween(Window.unboundedPreceding, Window.currentRow))
 
 
+def _inside(rows: DataFrame, hits: DataFrame, group: list[str]) -> DataFrame:
+    """The rows of cells that hold a wanted rank."""
+    return null_safe_join(rows, hits.select(*group, "_cell").distinct(), [*group, "_cell"], "left_semi")
+
+
+def _picked(ranked: DataFrame, hits: DataFrame, group: list[str]) -> DataFrame:
+    """Each wanted rank with the row whose running count covers it."""
+    upto = F.col("_upto")
+    covers = (F.col("_rank") <= upto) & (F.col("_rank") > upto - F.col("_n"))
+    return null_safe_join(ranked, hits, [*group, "_cell"], extra=covers)
+
+
+def _refined(distinct: DataFrame, hits: DataFrame, group: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Cut wanted cells until each holds at most ``CELL_VALUES`` distinct values."""
+    keys = [*group, "_cell"]
+    while True:
+        sizes = materialize(
+            distinct.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k"), F.min("_v").alias("_low"), F.max("_v").alias("_high")), "sizes"
+        )
+        if (sizes.agg(F.max("_k")).first()[0] or 0) <= CELL_VALUES:
+            return distinct, hits
+        share = (F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low"))
+        part = F.when(F.col("_k") > CELL_VALUES, F.floor(share * PARTS)).otherwise(F.lit(0)).cast("int")
+        cut = null_safe_join(distinct, sizes, keys).withColumn("_part", part).drop("_k", "_low", "_high")
+        counted = cut.groupBy(*keys, "_part").agg(F.sum("_n").alias("_n")).withColumn("_upto", _running("_n", keys, "_part"))
+        inner = F.concat_ws("/", "_cell", F.col("_part").cast("string"))
+        found = _picked(counted, hits, group).withColumn("_rank", F.col("_rank") - (F.col("_upto") - F.col("_n")))
+        hits = materialize(
+            found.withColumn("_cell", inner).select(*keys, "_name", "_side", "_weight", "_rank"), "ranks"
+        )
+        distinct = materialize(_inside(cut.withColumn("_cell", inner).drop("_part"), hits, group), "distinct")
+
+
 def order_statistics(
     df: DataFrame, keys: list[str], requests: dict[str, tuple[str, str, float]]
 ) -> DataFrame:
@@ -88,20 +125,14 @@ def order_statistics(
         "ranks",
     )
 
-    cells = hits.select(*group, "_cell").distinct()
-    ranked = (
-        null_safe_join(values, cells, [*group, "_cell"], "left_semi")
-        .groupBy(*group, "_cell", "_v")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_upto", _running("_n", [*group, "_cell"], "_v"))
-    )
-    upto = F.col("_upto")
-    picked = null_safe_join(
-        ranked,
-        hits,
-        [*group, "_cell"],
-        extra=(F.col("_rank") <= upto) & (F.col("_rank") > upto - F.col("_n")),
+    hits = hits.withColumn("_cell", F.col("_cell").cast("string"))
+    values = values.withColumn("_cell", F.col("_cell").cast("string"))
+    distinct = materialize(
+        _inside(values, hits, group).groupBy(*group, "_cell", "_v").agg(F.count(F.lit(1)).alias("_n")), "distinct"
     )
+    distinct, hits = _refined(distinct, hits, group)
+    ranked = distinct.withColumn("_upto", _running("_n", [*group, "_cell"], "_v"))
+    picked = _picked(ranked, hits, group)
 
     def chosen(name: str, side: int, field: str) -> Column:
         return F.max(F.when((F.col("_name") == name) & (F.col("_side") == side), F.col(field)))

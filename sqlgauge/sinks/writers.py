@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.scratch import materialize
+
 
 def write_runlog(records: DataFrame, path: str, partitioned: bool = False) -> None:
     """One JSON object per record with nulls written; optionally in llm/dataset/rdbms folders."""
@@ -19,9 +21,10 @@ def write_runlog(records: DataFrame, path: str, partitioned: bool = False) -> No
 def write_csv(tables: list[DataFrame], path: str) -> None:
     """The union of tables under a header of their sorted column names; no rows is an error."""
     merged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+    merged = materialize(merged.select(*[f"`{c}`" for c in sorted(merged.columns)]), "csv")  # computed once
     if merged.isEmpty():
         raise ValueError("No rows to write.")
-    merged.select(*[f"`{c}`" for c in sorted(merged.columns)]).write.option("header", True).csv(path)
+    merged.write.option("header", True).csv(path)
 
 
 def runlog_name(llm: Column, dataset: Column, rdbms: Column, kind: str = "benchmark") -> Column:

@@ -24,23 +24,28 @@ def _stem(file_name: Column) -> Column:
     return F.regexp_replace(file_name, r"\.[^.]*$", "")
 
 
+def _first_character(spark: SparkSession, file: str) -> str:
+    """The first character that is not blank, read without the rest of the file; empty if there is none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(file))
+    stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).open(path)
+    try:
+        while (byte := stream.read()) >= 0:
+            if byte not in b" \t\r\n\xef\xbb\xbf":
+                return chr(byte)
+        return ""
+    finally:
+        stream.close()
+
+
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """Entries of JSON files whose root is a list: ``dataset, entry_pos`` and the raw fields.
 
-    A file is streamed element by element; its first character is checked before anything else.
+    A file is streamed element by element; of each file the first character is checked before anything else.
     """
-    text = spark.read.text(path).select(
-        F.input_file_name().alias("file"), F.ltrim("value").alias("value"),
-        F.monotonically_increasing_id().alias("at"),
-    )
-    roots = (
-        text.where("value <> ''")
-        .groupBy("file")
-        .agg(F.min_by(F.substring("value", 1, 1), "at").alias("root"))
-    )
-    wrong = roots.where("root <> '['").select("file").first()
-    if wrong is not None:
-        raise ValueError(f"corpus root must be a list: {wrong.file}")
+    files = spark.read.format("binaryFile").load(path).select("path")  # lists the files; contents are not read
+    for (file,) in files.toLocalIterator():
+        if _first_character(spark, file) not in ("[", ""):
+            raise ValueError(f"corpus root must be a list: {file}")
 
     # A list file is one task. Writing its entries once lets every later step read them in parallel, and
     # pins the row numbers that positions are derived from.

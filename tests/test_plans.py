@@ -2,15 +2,17 @@
 
 import math
 import random
+from pathlib import Path
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from sqlgauge.plans import quantiles
 from sqlgauge.plans.joins import null_safe_join
 from sqlgauge.plans.ordering import sum_before
 from sqlgauge.plans.quantiles import cell, order_statistics, with_order_statistics
-from sqlgauge.plans.scratch import materialize, scratch_path
+from sqlgauge.plans.scratch import materialize, release, scratch_path
 from sqlgauge.plans.spread import SETTING, spread
 
 
@@ -89,3 +91,36 @@ def test_spread_only_where_the_session_asks(spark):
         assert spread(wide) is wide
     finally:
         spark.conf.set(SETTING, asked)
+
+
+def test_hot_cells_are_cut_until_bounded(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "CELL_VALUES", 10)
+    monkeypatch.setattr(quantiles, "PARTS", 7)
+    seen = []
+    real = quantiles._running
+    rng = random.Random(4)
+    rows = [("a", 1000 + rng.random() / 1000) for _ in range(700)] + [("b", 5.0)] * 300 + [("b", 5.0 + k / 1e9) for k in range(80)] + [("c", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    requests = {"low": ("v", "disc", 0.1), "mid": ("v", "disc", 0.5), "top": ("v", "disc", 0.95), "half": ("v", "cont", 0.5)}
+
+    def watched(name, keys, order):
+        seen.append((tuple(keys), order))
+        return real(name, keys, order)
+
+    monkeypatch.setattr(quantiles, "_running", watched)
+    got = {r.g: r for r in quantiles.order_statistics(df, ["g"], requests).collect()}
+    assert sum(order == "_part" for _, order in seen) >= 2
+    for g in "ab":
+        values = sorted(v for k, v in rows if k == g)
+        n = len(values)
+        for name, q in (("low", 0.1), ("mid", 0.5), ("top", 0.95)):
+            assert got[g][name] == values[max(1, math.ceil(q * n)) - 1]
+        assert got[g]["half"] == pytest.approx((values[(n - 1) // 2] + values[n // 2]) / 2, rel=1e-15)
+
+
+def test_scratch_tables_can_be_released(spark):
+    materialize(spark.range(3), "gone")
+    folder = Path(scratch_path(spark, "x").removeprefix("file:")).parent
+    assert list(folder.rglob("*.parquet"))
+    release(spark)
+    assert not folder.exists()
