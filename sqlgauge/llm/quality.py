@@ -3,8 +3,8 @@
 The language model is a modified Kneser-Ney model of ``ORDER`` bytes per language, counted by Spark over all documents.
 Counts are packed keys; a scoring step holds them as sorted hash arrays with an index over the leading bits. The model
 grows with the corpus. It is split into blocks of at most ``BLOCK_ENTRIES`` entries by the last two bytes of the
-context, so all that one position needs stands in one block (the two lowest orders stand in all); each block is
-broadcast for its own narrow step over all documents, which adds what it knows, and sums are complete after the last.
+context, so all that one position needs stands in one block (the two lowest orders stand in all). One block after the
+other is broadcast for a narrow step over all documents, which adds what it knows; sums are complete after the last.
 
 A document is kept if it passes the base rules and its perplexity lies in the band of its language: median minus
 ``LOWER`` and plus ``UPPER`` times the median absolute deviation of the logarithm, over all documents of the language; both are widened by
@@ -215,23 +215,6 @@ def _part_column(blocks: int):
     return part("key")
 
 
-def _score_step(held, text_col: str, lang_col: str, schema_names: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = held.value
-        for batch in slices(batches, text_col, 1 << 20):
-            key, sizes = _tagged(batch, text_col, lang_col)
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            if model.blocks > 1:
-                own = _block_of(key, model.blocks) == model.block
-                key, owner = key[own], owner[own]
-            total = np.bincount(owner, model.log_probability(key), len(sizes))
-            if "_log_probability" in batch.schema.names:
-                total = total + np.asarray(batch.column(batch.schema.get_field_index("_log_probability")))
-            yield with_columns(batch.select(schema_names), {"_log_probability": pa.array(total, pa.float64())})
-
-    return run
-
-
 def _exact_ranks(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     """One number for each distinct pair."""
     return np.unique(first * (int(second.max()) + 1) + second, return_inverse=True)[1]
@@ -263,19 +246,38 @@ def repeated_words(words: list[list[bytes]], size: int = 5) -> np.ndarray:
 BASE = "_words long, _word_chars long, _symbols long, _dup_lines long, _repeat_words long"
 
 
-def _base_step(text_col: str):
+def _base_counts(texts: list[str | None]) -> dict[str, pa.Array]:
+    texts = [t or "" for t in texts]
+    words = [t.encode().split() for t in texts]
+    columns = [[len(w) for w in words], [], [], [], repeated_words(words)]
+    for text in texts:
+        columns[1].append(len(text) - sum(map(text.count, BLANK)))
+        columns[2].append(sum(map(text.count, SYMBOLS)))
+        lines = [x for x in text.split("\n") if x.strip(BLANK)]
+        columns[3].append(len(lines) - len(set(lines)))
+    names = [c.split()[0] for c in BASE.split(", ")]
+    return {n: pa.array(c, pa.int64()) for n, c in zip(names, columns)}
+
+
+def _measure_step(held, text_col: str, lang_col: str):
+    """The base counts with the first block, and for every block what it adds to the log probability."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model: Model = held.value
         for batch in slices(batches, text_col, 1 << 20):
-            texts = [t or "" for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
-            words = [t.encode().split() for t in texts]
-            columns = [[len(w) for w in words], [], [], [], repeated_words(words)]
-            for text in texts:
-                columns[1].append(len(text) - sum(map(text.count, BLANK)))
-                columns[2].append(sum(map(text.count, SYMBOLS)))
-                lines = [x for x in text.split("\n") if x.strip(BLANK)]
-                columns[3].append(len(lines) - len(set(lines)))
-            names = [c.split()[0] for c in BASE.split(", ")]
-            yield with_columns(batch, {n: pa.array(c, pa.int64()) for n, c in zip(names, columns)})
+            key, sizes = _tagged(batch, text_col, lang_col)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            if model.blocks > 1:
+                own = _block_of(key, model.blocks) == model.block
+                key, owner = key[own], owner[own]
+            total = np.bincount(owner, model.log_probability(key), len(sizes))
+            extra = {}
+            if model.block:
+                total = total + np.asarray(batch.column(batch.schema.get_field_index("_log_probability")))
+                batch = batch.select([n for n in batch.schema.names if n != "_log_probability"])
+            else:
+                extra = _base_counts(batch.column(batch.schema.get_field_index(text_col)).to_pylist())
+            yield with_columns(batch, extra | {"_log_probability": pa.array(total, pa.float64())})
 
     return run
 
@@ -285,12 +287,14 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", lower
     """All columns but the text, plus the base counts, _perplexity, _base_failed and _kept."""
     docs = prepared(docs, BASE + ", _log_probability double, _log double, _lang string, _middle double, _spread double")
     counts = count_grams(docs, text_col, lang_col)
-    measured = docs.mapInArrow(_base_step(text_col), extended(docs.schema, BASE))
-    names = measured.columns
-    schema = extended(measured.schema, "_log_probability double")
+    names = [*docs.columns, *(c.split()[0] for c in BASE.split(", "))]
+    schema = extended(docs.schema, BASE + ", _log_probability double")
+    measured = docs
     for model in models(counts, limit):
+        if model.block:  # one block at a time in the workers' memory
+            measured = materialize(measured, "blocks")
         held = docs.sparkSession.sparkContext.broadcast(model)
-        measured = measured.mapInArrow(_score_step(held, text_col, lang_col, names), schema)
+        measured = measured.mapInArrow(_measure_step(held, text_col, lang_col), schema)
     size = F.octet_length(F.coalesce(text_col, F.lit("")))
     measured = measured.withColumn("_log", F.when(size > 0, -F.col("_log_probability") / size))
     measured = materialize(measured.drop(text_col, "_log_probability"), "measured")
