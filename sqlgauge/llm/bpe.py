@@ -3,7 +3,7 @@
 Texts are split as the tokenizer file says. The distinct words of a batch form a trie; a depth-first walk keeps, for
 the path of bytes walked so far, the last token of each prefix's encoding. The last token of a longer prefix is the one
 token that ends it and may follow the last token of what stands before it, so shared prefixes are encoded once, and a
-word's tokens are read off backward along its path. Words already seen by the worker are kept in a bounded memo.
+word's tokens are read off backward along its path. A task keeps the words it has seen in a bounded memo.
 
 Null and empty texts encode to no tokens and decode to an empty text. Rows are judged one by one; further columns pass
 through.
@@ -28,8 +28,9 @@ from tokenizers import Tokenizer
 from .common import NOT_LATIN, extended, latin_pattern, lists, prepared, slices, with_columns
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
-BATCH_BYTES = 2 << 20
-MEMO = 1_000_000
+BATCH_BYTES = 1 << 20
+MEMO = 400_000
+PAIRS = 300_000
 
 
 @lru_cache(1)
@@ -73,7 +74,7 @@ class TrieEncoder:
         known = self.joins.get(key)
         if known is not None:
             return known
-        if len(self.joins) > 1_000_000:
+        if len(self.joins) > PAIRS:
             self.joins.clear()
         never = (1 << 60, 0)
         limit = 1 << 60
@@ -185,9 +186,6 @@ def _codes(texts: list[str | None], path: str, memo: dict[str, bytes]) -> list[b
     return [b"".join(map(get, w)) for w in split]
 
 
-_MEMOS: dict[str, dict[str, bytes]] = {}
-
-
 @lru_cache(2)
 def _token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     held = _encoder(path).bytes
@@ -211,7 +209,7 @@ def decode_ids(ids: np.ndarray, bounds: np.ndarray, path: str = VOCABULARY) -> l
 
 def _encode_step(path: str, text_col: str, decoded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _MEMOS.setdefault(path, {})
+        memo: dict[str, bytes] = {}
         for batch in slices(batches, text_col, BATCH_BYTES):
             codes = _codes(batch.column(batch.schema.get_field_index(text_col)).to_pylist(), path, memo)
             sizes = np.array([len(c) // 4 for c in codes], np.int64)
