@@ -10,11 +10,14 @@ from ..operators.comparison import all_matches, match_outcomes
 from ..operators.execution import OUTCOME_STRUCT, dataset_session, execute_on_dataset, execute_texts, preview, run_pairs, run_query
 from ..operators.questions import prepare_questions
 from ..operators.records import assemble_records, attach_predictions
-from ..plans.scratch import scratch_path
+from ..plans.benchmark import evaluate_run, prepare_run, report
+from ..plans.scratch import materialize, scratch_path
 from ..sources.binding import bind_tables
+from ..sources.corpus import typed_entries
+from ..sources.introspect import CATALOG, introspect
 from .inputs import QUESTIONS
 from .questions import entries
-from .registry import TABLES, query
+from .registry import TABLES, query, run
 from .sqltext import _DIFFICULTY
 from .questions import _GOLD, _NAT, _SEG, _fill
 
@@ -164,6 +167,52 @@ def x2_two(spark, sf):
     )
 
 
+# One entry per order, in the raw form of a corpus; ids follow the order keys within each status.
+_RUN_ENTRIES = """SELECT concat('status_', o_orderstatus) AS dataset, o_orderkey AS entry_pos, 'train' AS `query-split`,
+  '["SELECT COUNT(*) AS n FROM orders WHERE o_orderpriority = \\\\"prio0\\\\" ;"]' AS sql,
+  concat('[{"text": "how many orders have prio0", "question-split": "test", "variables": {"prio0": "', o_orderpriority, '"}}]')
+    AS sentences, '[]' AS variables, CAST(NULL AS STRING) AS difficulty
+  FROM @orders WHERE o_orderstatus IN ('F', 'O')"""
+
+
+@query(
+    "x0_whole_run",
+    """SELECT dataset, count(*) AS n_questions, round(avg(CASE WHEN id % 4 <> 2 THEN 1.0 ELSE 0.0 END), 6) AS success_rate,
+      round(avg(CASE WHEN id % 4 IN (0, 3) THEN 1.0 ELSE 0.0 END), 6) AS accuracy,
+      count(*) FILTER (WHERE id % 4 = 0) AS n_repaired FROM (
+        SELECT 'status_' || o_orderstatus AS dataset, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1 AS id
+        FROM orders WHERE o_orderstatus IN ('F', 'O')) q GROUP BY dataset""",
+)
+def x0(spark, sf):
+    """A whole run over two datasets: prepare, predict, clean, run, compare, record, summarize."""
+    known = _by_status(spark, sf)
+    parts = [introspect(dataset_session(spark, known, name), name, ["orders"]) for name in sorted(known)]
+    catalog = spark.createDataFrame([tuple(r) for p in parts for r in p.collect()], CATALOG)  # a few columns per dataset
+    prepared = materialize(prepare_run(typed_entries(run(spark, sf, _RUN_ENTRIES)), catalog), "prepared")
+    wanted = F.concat(F.lit("SELECT COUNT(*) AS n FROM "), F.lit("{} WHERE o_orderpriority = '"), F.col("variables")["prio0"], F.lit("'"))
+    kind = F.col("id") % 4
+    text = (
+        F.when(kind == 0, F.replace(wanted, F.lit("{}"), F.lit("order")))  # to be repaired
+        .when(kind == 1, "SELECT COUNT(*) AS n FROM orders WHERE o_orderpriority = 'none'")
+        .when(kind == 2, "SELECT nope FROM orders")
+        .otherwise(F.replace(F.lower(wanted), F.lower(F.col("variables")["prio0"]), F.col("variables")["prio0"]))
+    )
+    text = F.when(kind == 3, F.replace(text, F.lit("{}"), F.lit("ORDERS"))).otherwise(text)
+    made = prepared.select(
+        "dataset", "id", text.alias("pred_sql_raw"), F.lit(10).alias("prompt_tokens"), F.lit(5).alias("completion_tokens"),
+        F.lit(0.5).alias("gen_time_s"),
+    )
+    records = materialize(evaluate_run(prepared, made, "alpha", "mysql", datasets=known), "records")
+    summary = report(records).where("bucket IS NULL")
+    repaired = records.groupBy(F.col("dataset").alias("of")).agg(
+        F.count_if(F.size("pred_repairs") > 0).alias("n_repaired")
+    )
+    return summary.join(repaired, F.col("dataset") == F.col("of")).select(
+        "dataset", "n_questions", F.round("mysql_pred_success_rate", 6).alias("success_rate"),
+        F.round("mysql_execution_accuracy_ex", 6).alias("accuracy"), "n_repaired",
+    )
+
+
 @query("s7_binding", f"SELECT * FROM ({_ansi(SHAPES['w9_group_by'])}) q")
 def s7(spark, sf):
     return run_query(dataset_session(spark, {"shop": (sf, SHOP)}, "shop"), SHAPES["w9_group_by"])
