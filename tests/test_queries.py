@@ -13,11 +13,12 @@ sys.path.insert(0, str(ROOT / "scripts"))
 from check_queries import table  # noqa: E402
 
 from __spark_entry__ import entry, oracle_sql, queries  # noqa: E402
+from sqlgauge.workload import load  # noqa: E402
 from sqlgauge.workload.registry import TABLES  # noqa: E402
 
 FOLDER = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not FOLDER.exists(), reason="the given tables are not here")
-QUERIES, CHECKS = queries(), oracle_sql()
+QUERIES, CHECKS = ({n: found[n] for n in part if n in found} for part, found in zip(load(), (queries(), oracle_sql())))
 
 
 @pytest.fixture(scope="module")
@@ -29,7 +30,7 @@ def db():
 
 
 def test_every_query_has_a_check():
-    assert set(QUERIES) == set(CHECKS)
+    assert set(QUERIES) == set(CHECKS) == set(load()[0])
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
