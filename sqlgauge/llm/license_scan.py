@@ -10,6 +10,7 @@ Null and empty texts have no words. Rows are judged one by one; further columns
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -94,11 +95,12 @@ class Notices:
             for start, stop in held:
                 for m in self.patterns[number].finditer(text, start, min(stop, len(text))):
                     found.append((sum(m.fuzzy_counts) / len(self.notices[number][0]), m.start() - m.end(), m.start(), m.end(), number, sum(m.fuzzy_counts)))
-        kept: list[tuple[int, int, int, int]] = []
+        kept: list[tuple[int, int, int, int]] = []  # by start, never overlapping
         for _, _, start, end, number, edits in sorted(found):
-            if all(end <= a or start >= b for a, b, _, _ in kept):
-                kept.append((start, end, number, edits))
-        return sorted(kept)
+            at = bisect(kept, (start, end, number, edits))
+            if (not at or kept[at - 1][1] <= start) and (at == len(kept) or kept[at][0] >= end):
+                kept.insert(at, (start, end, number, edits))
+        return kept
 
 
 @lru_cache(1)
@@ -110,9 +112,9 @@ def phrase_places(text: str) -> list[tuple[int, int, str]]:
     """First and last word (end exclusive) of every place of a fixed phrase; ``text`` has blanks at both ends."""
     out = []
     for phrase, label in PHRASES.items():
-        at = text.find(f" {phrase} ")
+        at, word, counted = text.find(f" {phrase} "), 0, 0
         while at >= 0:
-            word = text.count(" ", 0, at)
+            word, counted = word + text.count(" ", counted, at), at
             out.append((word, word + phrase.count(" ") + 1, label))
             at = text.find(f" {phrase} ", at + 1)
     return sorted(out)
@@ -143,13 +145,13 @@ def _step(text_col: str):
                 plain = (b" " + b" ".join(found) + b" ").decode()
                 words.append(len(found))
                 places.append(phrase_places(plain) if found else [])
-                own = []
+                own, word, counted = [], -1, 0
                 for start, end, number, edits in notices.matches(plain) if found else ():
                     size = len(notices.notices[number][0])
                     start += plain[start:end].startswith(" ")
                     end -= plain[start:end].endswith(" ")
-                    first = plain.count(" ", 0, start) - 1
-                    own.append((first, first + plain.count(" ", start, end) + 1, notices.notices[number][1], edits, 1 - edits / size))
+                    word, counted = word + plain.count(" ", counted, start), start
+                    own.append((word, word + plain.count(" ", start, end) + 1, notices.notices[number][1], edits, 1 - edits / size))
                 matches.append(own)
             yield with_columns(
                 batch, {"_words": pa.array(words, pa.int64()), "_places": _structs(places, PLACE), "_matches": _structs(matches, MATCH)}

@@ -53,6 +53,14 @@ def test_notices_with_edits(spark, text, label, edits, span):
         assert (m["edits"], m["start"], m["end"]) == (edits, *span)
 
 
+def test_many_notices_in_one_text(spark):
+    text = "Released under the MIT License. " * 4000 + "x " + "Licensed under CC BY-SA 4.0. " * 3000
+    (row,) = L.scan(doc_rows(spark, [(1, text)])).collect()
+    assert [m["label"] for m in row["_matches"]] == ["mit"] * 4000 + ["cc-by-sa"] * 3000
+    assert [(m["start"], m["end"]) for m in row["_matches"][3999:4001]] == [(19995, 20000), (20001, 20008)]
+    assert len(row["_places"]) == 7000 and row["_places"][-1]["start"] == 20001 + 7 * 2999 + 2
+
+
 def test_pieces_miss_no_match():
     import regex
 
