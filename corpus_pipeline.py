@@ -5,7 +5,8 @@ written as Parquet and read again as the next one's docs. All but the last retur
 ``n_chars`` following the text. ``run`` applies them to the documents of a folder.
 
 1. toxicity: documents whose score is 0.5 or more go.
-2. line dedup: lines above the boilerplate ratio of their source are cut; a document of nothing else goes.
+2. line dedup: lines above the boilerplate ratio of their source are cut; a document of nothing else goes. Copies do
+   not make a text boilerplate (see ``line_dedup``), so a group of near duplicates is left whole to the third stage.
 3. n-gram join: of each class of near duplicates the document with the smallest id stays.
 4. decontamination: benchmark passages are cut out; a document without any word left goes.
 5. BPE: what is left, as token ids and as the text read back from them.
@@ -45,7 +46,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = _plain(docs)
-    cut = line_dedup.drop_boilerplate(docs)
+    classes = ngram_join.near_duplicates(docs).where("n_links > 0")
+    groups = materialize(classes.groupBy(F.col("_row").alias("_member")).agg(F.min("_first").alias("_page")), "copies")
+    cut = line_dedup.drop_boilerplate(docs, row=ngram_join.row_id(), groups=groups)
     cut = cut.where((F.col("_dropped") == 0) | (F.col("_dropped") < F.col("_lines")))
     return cut.select(*_counted(docs, F.col("_dropped") > 0))
 

@@ -9,6 +9,10 @@ lines of a host are at most (lines per page / max_ratio) many. They meet the pag
 whose large side adaptive execution splits when one line is very common.
 
 A null host is a host of its own. Null texts stay null and count as pages. Rows are pages, so repeated rows count.
+
+Where near copies are known (``groups``), copies do not make a text boilerplate: pages of a group that has ``min_pages``
+rows on the host, and pages that would lose all their lines, lose only lines that are above the ratio with each group
+(and each other text) counted as one page.
 """
 
 from __future__ import annotations
@@ -35,6 +39,27 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
+def place_pages(docs: DataFrame, host: Column, text: Column, row: Column, groups: DataFrame) -> DataFrame:
+    """Columns _host, _row, _page of each row: its group by ``groups`` (_member, _page), else a hash of its text (of
+    ``row`` where that is null); written once."""
+    own = F.when(text.isNull(), row).otherwise(F.xxhash64(text))
+    rows = docs.select(host.alias("_host"), row.alias("_row"), own.alias("_own"))
+    placed = rows.join(groups, F.col("_row") == F.col("_member"), "left")
+    return materialize(placed.select("_host", "_row", F.coalesce("_page", "_own").alias("_page")), "pages")
+
+
+def sure_lines(
+    held: DataFrame, placed: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES
+) -> DataFrame:
+    """Columns _sure_host, _sure: the lines of ``held`` (_host, _row, _line) that stay above the ratio with one page counted once."""
+    totals = placed.select("_host", "_page").distinct().groupBy(F.col("_host").alias("_of")).agg(F.count(F.lit(1)).alias("_all"))
+    pages = placed.select("_row", "_page").distinct().withColumnRenamed("_row", "_of_row")
+    lines = held.join(pages, F.col("_row") == F.col("_of_row")).select("_host", "_line", "_page").distinct()
+    counts = lines.groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_pages)
+    joined = counts.join(totals, F.col("_host").eqNullSafe(F.col("_of"))).where(F.col("_n") > F.lit(max_ratio) * F.col("_all"))
+    return materialize(joined.select(F.col("_host").alias("_sure_host"), F.col("_line").alias("_sure")), "sure-lines")
+
+
 def boilerplate_lines(
     pages: DataFrame, host: Column, text: Column, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES
 ) -> DataFrame:
@@ -52,22 +77,38 @@ def boilerplate_lines(
 
 def drop_boilerplate(
     docs: DataFrame, host: Column | None = None, id_col: str = "doc_id", text_col: str = "text",
-    max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES,
+    max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, row: Column | None = None, groups: DataFrame | None = None,
 ) -> DataFrame:
-    """All columns with the lines dropped from the text, plus _lines (not blank, before) and _dropped."""
+    """All columns with the lines dropped from the text, plus _lines (not blank, before) and _dropped. ``groups`` holds
+    near copies: the ``row`` of each member (_member, once) and what names its group (_page)."""
     host = F.col("source") if host is None else host
-    docs = docs.drop("_row_host", "_key", "_key_host", "_drop", "_lines", "_dropped")
+    row = F.col(id_col) if groups is None else row
+    docs = docs.drop("_row_host", "_key", "_key_host", "_drop", "_some", "_copied", "_lines", "_dropped")
     boiler = boilerplate_lines(docs, host, F.col(text_col), max_ratio, min_pages)
     boiler = boiler.select(F.col("_host").alias("_bad_host"), F.col("_line").alias("_bad"))
     digests = F.array_distinct(F.transform(F.filter(_lines(F.col(text_col)), lambda x: F.trim(x) != ""), _digest))
-    held = docs.select(F.col(id_col).alias("_id"), host.alias("_host"), F.explode(digests).alias("_line"))
-    found = (
-        held.join(boiler, F.col("_host").eqNullSafe(F.col("_bad_host")) & (F.col("_line") == F.col("_bad")))
-        .groupBy(F.col("_id").alias("_key"), F.col("_host").alias("_key_host")).agg(F.collect_set("_line").alias("_drop"))
-    )
-    same = F.col(id_col).eqNullSafe(F.col("_key")) & F.col("_row_host").eqNullSafe(F.col("_key_host"))
+    held = docs.select(row.alias("_row"), host.alias("_host"), F.explode(digests).alias("_line"))
+    found = held.join(boiler, F.col("_host").eqNullSafe(F.col("_bad_host")) & (F.col("_line") == F.col("_bad")))
+    sets = [F.collect_set("_line").alias("_drop")]
+    if groups is not None:
+        found = materialize(found.select("_row", "_host", "_line"), "boilerplate-of-rows")
+        placed = place_pages(docs, host, F.col(text_col), row, groups)
+        sure = sure_lines(found, placed, max_ratio, min_pages)
+        large = placed.groupBy("_host", "_page").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_pages)
+        large = large.select(F.col("_host").alias("_at"), F.col("_page").alias("_of"))
+        same = F.col("_host").eqNullSafe(F.col("_at")) & (F.col("_page") == F.col("_of"))
+        copied = placed.join(large, same).select(F.col("_row").alias("_copy"), F.col("_host").alias("_copy_host")).distinct()
+        found = found.join(sure, F.col("_host").eqNullSafe(F.col("_sure_host")) & (F.col("_line") == F.col("_sure")), "left")
+        found = found.join(copied, (F.col("_row") == F.col("_copy")) & F.col("_host").eqNullSafe(F.col("_copy_host")), "left")
+        sets += [F.collect_set("_sure").alias("_some"), F.max(F.col("_copy").isNotNull()).alias("_copied")]
+    found = found.groupBy(F.col("_row").alias("_key"), F.col("_host").alias("_key_host")).agg(*sets)
+    same = row.eqNullSafe(F.col("_key")) & F.col("_row_host").eqNullSafe(F.col("_key_host"))
     joined = docs.withColumn("_row_host", host).join(found, same, "left")
     lines = _lines(F.col(text_col))
+    if groups is not None:
+        left = F.filter(lines, lambda x: (F.trim(x) != "") & ~F.array_contains(F.col("_drop"), _digest(x)))
+        spared = F.col("_copied") | (F.size(left) == 0)
+        joined = joined.withColumn("_drop", F.when(spared, F.col("_some")).otherwise(F.col("_drop")))
     drops = lambda x: (F.trim(x) != "") & F.array_contains(F.col("_drop"), _digest(x))
     count = lambda a: F.coalesce(F.when(a.isNull(), F.lit(0)).otherwise(F.size(a)), F.lit(0)).cast("long")
     new = F.when(F.col("_drop").isNull(), F.col(text_col)).otherwise(

@@ -95,3 +95,19 @@ def test_stages_keep_extra_columns(spark, tmp_path):
 @pytest.mark.parametrize("name", [n for n, _ in P.STAGES])
 def test_every_stage_is_registered_in_order(name):
     assert [n for n, _ in P.STAGES].index(name) == ["toxicity", "line_dedup", "ngram_join", "decontamination", "bpe"].index(name)
+
+
+def test_of_a_group_of_copies_one_survives(spark, tmp_path):
+    rng = random.Random(22)
+    page = lambda k: [" ".join(f"p{k}w{rng.randint(0, 400)}" for _ in range(12)) for _ in range(10)]
+    exact, near, rows = page(0), page(1), [(k, "\n".join([*page(k), "Subscribe now"])) for k in range(100, 140)]
+    rows += [(k, "\n".join(exact)) for k in range(200, 208)] + [(None, "\n".join(exact))] * 6
+    rows += [(k, "\n".join([*near[:9], f"{near[9]} {k % 3}"])) for k in range(300, 330)]
+    rows += [(k, "*** ***") for k in range(400, 407)] + [(500, "Subscribe now"), (501, None)]
+    docs = doc_rows(spark, rows)
+    cut = P.drop_lines(spark, docs, str(tmp_path))
+    assert cut.where("text LIKE '%Subscribe%'").count() == 0 and cut.where("doc_id = 500").count() == 0
+    left = {r["doc_id"]: r["text"] for r in P.keep_one_of_each(spark, cut, str(tmp_path)).collect()}
+    assert [i for i in left if i is None or 200 <= i < 208] == [200] and left[200] == "\n".join(exact)
+    assert [i for i in left if i and 300 <= i < 330] == [300] and left[300] == dict(rows)[300]
+    assert sum(i in left for i in range(100, 140)) == 40 and all(i in left for i in range(400, 407)) and 501 in left
