@@ -6,9 +6,12 @@ grows with the corpus. It is split into blocks of at most ``BLOCK_ENTRIES`` entr
 context, so all that one position needs stands in one block (the two lowest orders stand in all). One block after the
 other is broadcast for a narrow step over all documents, which adds what it knows; sums are complete after the last.
 
-A document is kept if it passes the base rules and its perplexity lies in the band of its language: median minus
-``LOWER`` and plus ``UPPER`` times the median absolute deviation of the logarithm, over all documents of the language; both are widened by
-the root of 1 + ``WIDEN`` / words, as a short text's mean scatters more.
+A document is kept if it passes the base rules and its perplexity lies in the band of its language. Its distance is that
+of the logarithm from the language's median, in median absolute deviations over all documents of the language, divided by
+the root of 1 + ``WIDEN`` / words, as a short text's mean scatters more. With labels the band reaches from the ``OUTSIDE``
+quantile to the 1 - ``OUTSIDE`` quantile of the distances of the language's training rows: documents labelled quality 1
+that pass the base rules, without those whose crc32(doc_id as text) mod 5 is 0. Languages with fewer than ``LEAST_ROWS``
+training rows, and tables without labels, have the band from -``LOWER`` to ``UPPER``.
 
 Null and empty texts have no words and fail. A null language is a language of its own. Rows are judged one by one.
 """
@@ -25,10 +28,13 @@ from pyspark.sql import functions as F
 
 from ..plans.scratch import materialize
 from .common import extended, prepared, slices, with_columns
+from .toxicity import held_out
 
 ORDER = 5
 BLOCK_ENTRIES = 2_000_000
 LOWER, UPPER = 10.0, 4.0
+OUTSIDE = 0.01
+LEAST_ROWS = 100
 WIDEN = 100
 LEAST_SPREAD = 0.01
 LANGUAGES = 12  # bits
@@ -282,10 +288,22 @@ def _measure_step(held, text_col: str, lang_col: str):
     return run
 
 
+def learnt_bands(judged: DataFrame, labels: DataFrame, id_col: str, lang_col: str) -> DataFrame:
+    """Columns _band_lang, _low, _high of the languages with enough training rows; written once."""
+    good = labels.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("_label_id"))
+    good = good.agg(F.min("quality").alias("_quality")).where("_quality = 1")
+    rows = judged.where("NOT _base_failed").join(good, F.col(id_col) == F.col("_label_id"), "left_semi")
+    cuts = F.percentile_approx("_away", [OUTSIDE, 1 - OUTSIDE], 10_000)
+    bands = rows.groupBy(F.col(lang_col).alias("_band_lang")).agg(cuts.alias("_cuts"), F.count("_away").alias("_rows"))
+    bands = bands.where(F.col("_rows") >= LEAST_ROWS)
+    return materialize(bands.select("_band_lang", F.col("_cuts")[0].alias("_low"), F.col("_cuts")[1].alias("_high")), "learnt-bands")
+
+
 def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", lower: float = LOWER, upper: float = UPPER,
-          limit: int = BLOCK_ENTRIES) -> DataFrame:
-    """All columns but the text, plus the base counts, _perplexity, _base_failed and _kept."""
-    docs = prepared(docs, BASE + ", _log_probability double, _log double, _lang string, _middle double, _spread double")
+          limit: int = BLOCK_ENTRIES, labels: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
+    """All columns but the text, plus the base counts, _perplexity, _base_failed and _kept. ``labels``: doc_id, quality."""
+    docs = prepared(docs, BASE + ", _log_probability double, _log double, _lang string, _middle double, _spread double, _away double, "
+                    "_base_failed boolean, _band_lang string, _low double, _high double")
     counts = count_grams(docs, text_col, lang_col)
     names = [*docs.columns, *(c.split()[0] for c in BASE.split(", "))]
     schema = extended(docs.schema, BASE + ", _log_probability double")
@@ -306,9 +324,16 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", lower
     )
     bands = materialize(away, "bands")
     spread = F.greatest(F.col("_spread"), F.lit(LEAST_SPREAD)) * F.sqrt(1 + WIDEN / F.greatest("_words", F.lit(1)))
-    inside = F.col("_log").between(F.col("_middle") - lower * spread, F.col("_middle") + upper * spread)
     failed = (F.col("_words") < 10) | (100 * F.col("_repeat_words") > 20 * F.col("_words"))
-    return measured.join(bands, same, "left").select(
-        *[c for c in names if c != text_col], F.exp("_log").alias("_perplexity"), failed.alias("_base_failed"),
-        (~failed & F.coalesce(inside, F.lit(False))).alias("_kept"),
+    judged = measured.join(bands, same, "left").withColumn("_away", (F.col("_log") - F.col("_middle")) / spread)
+    judged = judged.withColumn("_base_failed", failed)
+    low, high = F.lit(-lower), F.lit(upper)
+    if labels is not None:
+        learnt = learnt_bands(judged, labels, id_col, lang_col)
+        judged = judged.join(learnt, F.col(lang_col).eqNullSafe(F.col("_band_lang")), "left")
+        low, high = F.coalesce("_low", low), F.coalesce("_high", high)
+    inside = F.col("_away").between(low, high)
+    return judged.select(
+        *[c for c in names if c != text_col], F.exp("_log").alias("_perplexity"), "_base_failed",
+        (~F.col("_base_failed") & F.coalesce(inside, F.lit(False))).alias("_kept"),
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,8 +114,14 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op6_quality")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
-    """Quality counts and the perplexity bands of every document."""
-    judged = quality.judge(table(spark, folder, "documents").select("doc_id", "text", "lang"))
+    """Quality counts of every document, and the perplexity bands learnt from the labels that are not held out."""
+    try:
+        labels = table(spark, folder, "labels").select("doc_id", "quality")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        labels = None
+    judged = quality.judge(table(spark, folder, "documents").select("doc_id", "text", "lang"), labels=labels)
     names = {"_words": "n_words", "_word_chars": "word_chars", "_symbols": "n_symbols", "_dup_lines": "n_dup_lines",
              "_repeat_words": "n_repeat_words", "_base_failed": "base_failed", "_kept": "kept", "_perplexity": "perplexity"}
     return judged.select("doc_id", *(F.col(a).alias(b) for a, b in names.items()))

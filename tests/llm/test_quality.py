@@ -110,3 +110,18 @@ def test_hash_array_finds_only_what_it_holds():
 def test_empty_table(spark, tmp_path):
     write_tables(spark, tmp_path, documents=doc_rows(spark, []))
     assert QUERIES["op6_quality"](spark, str(tmp_path)).count() == 0
+
+
+def test_learnt_lower_band_rejects_regular_writing(spark, tmp_path):
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice(["ti", "on", "er", "an", "the", "st"]) for _ in range(rng.randint(1, 4)))
+    rows = [(k, " ".join(word() for _ in range(120))) for k in range(400)]
+    regular = ["*" * rng.randint(15, 30) for _ in range(5)]
+    rows.append((900, " ".join([*(word() for _ in range(120)), *regular])))
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(400)], "doc_id long, quality int, toxic int")
+    write_tables(spark, tmp_path, documents=doc_rows(spark, rows), labels=labels)
+    got = {r["doc_id"]: r for r in QUERIES["op6_quality"](spark, str(tmp_path)).collect()}
+    usual = sorted(r["perplexity"] for k, r in got.items() if k != 900)
+    assert got[900]["perplexity"] < usual[0] and not got[900]["base_failed"]
+    assert {r["doc_id"]: r["_kept"] for r in Q.judge(doc_rows(spark, rows)).collect()}[900]  # by the fixed band
+    assert not got.pop(900)["kept"] and sum(r["kept"] for r in got.values()) >= 385
