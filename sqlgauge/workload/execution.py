@@ -143,13 +143,19 @@ def x2(spark, sf):
     return parts[0].union(parts[1]).select("dataset", "success", F.col("rows").alias("n_rows"), "error")
 
 
-def _by_status(spark, sf) -> dict:
-    """Two datasets with the same table names: the orders of either status."""
+def _statuses(spark, sf) -> str:
+    """The letters that orders have as a status."""
+    rows = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderstatus").distinct().collect()  # one letter each
+    return "".join(sorted(r[0] for r in rows if r[0] is not None))
+
+
+def _by_status(spark, sf, statuses: str = "FO") -> dict:
+    """Datasets with the same table names: the orders of each status."""
     root = scratch_path(spark, "datasets")
-    for status in "FO":
+    for status in statuses:
         own = spark.read.parquet(f"{sf}/orders.parquet").where(F.col("o_orderstatus") == status)
         own.write.parquet(f"{root}/{status}/orders.parquet")
-    return {f"status_{s}": (f"{root}/{s}", ["orders"]) for s in "FO"}
+    return {f"status_{s}": (f"{root}/{s}", ["orders"]) for s in statuses}
 
 
 @query(
@@ -159,7 +165,20 @@ def _by_status(spark, sf) -> dict:
 )
 def x2_two(spark, sf):
     """The same texts on two datasets have two outcomes each."""
-    known = _by_status(spark, sf)
+    return _two_texts(spark, _by_status(spark, sf))
+
+
+@query(
+    "x2_all_statuses",
+    """SELECT 'status_' || o_orderstatus AS dataset, count(*) AS n_rows, count(DISTINCT o_custkey) AS n_gold,
+      count(*) = count(DISTINCT o_custkey) AS match FROM orders GROUP BY o_orderstatus""",
+)
+def x2_all(spark, sf):
+    """As x2_two_datasets, over every order: each status is a dataset."""
+    return _two_texts(spark, _by_status(spark, sf, _statuses(spark, sf)))
+
+
+def _two_texts(spark, known: dict):
     texts = [(name, "SELECT o_custkey FROM orders", "SELECT DISTINCT o_custkey FROM ORDERS ;") for name in known]
     rows = spark.createDataFrame(texts, "dataset string, pred_sql string, gold_sql_exec string")
     return match_outcomes(run_pairs(rows, datasets=known)).select(
@@ -173,6 +192,7 @@ _RUN_ENTRIES = """SELECT concat('status_', o_orderstatus) AS dataset, o_orderkey
   concat('[{"text": "how many orders have prio0", "question-split": "test", "variables": {"prio0": "', o_orderpriority, '"}}]')
     AS sentences, '[]' AS variables, CAST(NULL AS STRING) AS difficulty
   FROM @orders WHERE o_orderstatus IN ('F', 'O')"""
+_ALL_ENTRIES = _RUN_ENTRIES.replace(" WHERE o_orderstatus IN ('F', 'O')", "")
 
 
 @query(
@@ -185,10 +205,26 @@ _RUN_ENTRIES = """SELECT concat('status_', o_orderstatus) AS dataset, o_orderkey
 )
 def x0(spark, sf):
     """A whole run over two datasets: prepare, predict, clean, run, compare, record, summarize."""
-    known = _by_status(spark, sf)
+    return _whole_run(spark, sf, _by_status(spark, sf), _RUN_ENTRIES)
+
+
+@query(
+    "x0_all_statuses",
+    """SELECT dataset, count(*) AS n_questions, round(avg(CASE WHEN id % 4 <> 2 THEN 1.0 ELSE 0.0 END), 6) AS success_rate,
+      round(avg(CASE WHEN id % 4 IN (0, 3) THEN 1.0 ELSE 0.0 END), 6) AS accuracy,
+      count(*) FILTER (WHERE id % 4 = 0) AS n_repaired FROM (
+        SELECT 'status_' || o_orderstatus AS dataset, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1 AS id
+        FROM orders) q GROUP BY dataset""",
+)
+def x0_all(spark, sf):
+    """As x0_whole_run, over every order: each status is a dataset."""
+    return _whole_run(spark, sf, _by_status(spark, sf, _statuses(spark, sf)), _ALL_ENTRIES)
+
+
+def _whole_run(spark, sf, known: dict, recipe: str):
     parts = [introspect(dataset_session(spark, known, name), name, ["orders"]) for name in sorted(known)]
     catalog = spark.createDataFrame([tuple(r) for p in parts for r in p.collect()], CATALOG)  # a few columns per dataset
-    prepared = materialize(prepare_run(typed_entries(run(spark, sf, _RUN_ENTRIES)), catalog), "prepared")
+    prepared = materialize(prepare_run(typed_entries(run(spark, sf, recipe)), catalog), "prepared")
     wanted = F.concat(F.lit("SELECT COUNT(*) AS n FROM "), F.lit("{} WHERE o_orderpriority = '"), F.col("variables")["prio0"], F.lit("'"))
     kind = F.col("id") % 4
     text = (

@@ -186,3 +186,15 @@ def test_query_text_refuses_escapes(spark):
     with pytest.raises(ParseException):
         query_text(spark, "SELECT 1) x, (SELECT 2")
     assert query_text(spark, "SELECT 1 ; ;\n") == "SELECT 1"
+
+
+def test_every_order_takes_part_in_the_whole_run(spark, tmp_path):
+    from __spark_entry__ import queries
+
+    rows = [(k, k % 7, "FOP"[k % 3], "1-URGENT") for k in range(30)]
+    orders = spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    ran = {r["dataset"]: r["n_rows"] for r in queries()["x2_all_statuses"](spark, str(tmp_path)).collect()}
+    assert ran == {"status_F": 10, "status_O": 10, "status_P": 10}
+    ran = {r["dataset"]: r["n_questions"] for r in queries()["x0_all_statuses"](spark, str(tmp_path)).collect()}
+    assert ran == {"status_F": 10, "status_O": 10, "status_P": 10}
