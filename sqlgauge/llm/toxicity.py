@@ -1,8 +1,9 @@
 """Toxicity by a weighted finite-state grammar of clauses.
 
-Five small transducers read a clause word by word: insults and threats carry weights, a target raises what follows, a
-negation and reported speech lower it. Their composition is one automaton; a clause's score is the weight along its
-path. Insults are learnt: words and word beginnings whose rate in toxic texts is far above that in clean ones. The
+Three small transducers read a clause word by word: a target raises what follows, a negation and reported speech lower
+it. Their composition is one automaton. Insults and threats are no part of it: they are lexicon entries whose weights are
+looked up word by word and multiplied by the automaton's factor at that place, also in a clause that holds nothing else.
+A clause's score is the sum of these. Insults are learnt: words and word beginnings whose rate in toxic texts is far above that in clean ones. The
 other word lists are fixed and short. A document's features are the scores of its clauses, and a logistic curve over
 them gives the score.
 
