@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    bpe, decontamination, license_scan, line_dedup, ngram_join, quality, secret_scan, suffix_dedup, token_files, toxicity,
+    bpe, byte_pieces, decontamination, license_scan, line_dedup, ngram_join, quality, secret_scan, suffix_dedup,
+    token_files, toxicity,
 )
 from .common import table
 
@@ -211,5 +212,17 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op11_byte_pieces")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of every document by a sentencepiece model made from ranks, and the bytes read back from them."""
+    coded = byte_pieces.encode(table(spark, folder, "documents").select("doc_id", "text"), decoded=True)
+    return coded.select(
+        "doc_id",
+        F.size("_ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("_ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("_decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def load() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
     return QUERIES, ORACLES
