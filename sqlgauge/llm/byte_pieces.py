@@ -67,8 +67,13 @@ def spell(data: bytes) -> str:
     return data.decode("latin-1").translate(letters())
 
 
+@lru_cache(1)
+def _back() -> dict[int, int]:
+    return {ord(c): b for b, c in enumerate(letters())}
+
+
 def unspell(text: str) -> bytes:
-    return text.translate({ord(c): b for b, c in enumerate(letters())}).encode("latin-1")
+    return text.translate(_back()).encode("latin-1")
 
 
 def _number(value: int) -> bytes:

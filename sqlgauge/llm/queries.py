@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    bpe, byte_pieces, decontamination, license_scan, line_dedup, ngram_join, quality, secret_scan, suffix_dedup,
-    token_files, toxicity,
+    bpe, byte_pieces, decontamination, license_scan, line_dedup, merkle, ngram_join, quality, secret_scan,
+    suffix_dedup, token_files, toxicity,
 )
 from .common import table
 
@@ -224,5 +224,77 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def _leaf_sql(changed: str = "n_chars") -> str:
+    values = (f"CAST({changed if c == 'n_chars' else c} AS VARCHAR)" for c in _FIELDS)
+    return "sha256(" + " || ".join(f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in values) + ")"
+
+
+def _merkle_sql() -> str:
+    level = """SELECT tree, level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (any_value(width) + 1) // 2
+  FROM {0} WHERE width > 1 GROUP BY tree, level, pos // 2"""
+    # zlib's crc32 bit by bit: the remainder of each byte by shifts, over the decimal digits of the id
+    crc = """SELECT id, 1 AS k, CAST(4294967295 AS BIGINT) AS c FROM (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS id FROM documents WHERE doc_id IS NOT NULL)
+  UNION ALL SELECT id, k + 1, list_reduce([xor(c, ascii(id[k]))] || [CAST(0 AS BIGINT) FOR i IN range(8)],
+    lambda a, b: xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END)) FROM crc WHERE k <= length(id)"""
+    return f"""
+WITH RECURSIVE crc AS ({crc}),
+checked AS (SELECT id, xor(c, 4294967295) % 7 = 0 AS hit FROM crc WHERE k = length(id) + 1),
+hashed AS (
+  SELECT doc_id, lang, {_leaf_sql()} AS leaf, CASE WHEN c.hit THEN {_leaf_sql("n_chars + 1")} ELSE {_leaf_sql()} END AS shown
+  FROM documents d LEFT JOIN checked c ON c.id = CAST(d.doc_id AS VARCHAR)),
+leaves AS (
+  SELECT *, dense_rank() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS tree, count(*) OVER (PARTITION BY lang) AS size,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM hashed),
+nodes(tree, level, pos, h, width) AS (
+  SELECT tree, 0, place, leaf, size FROM leaves UNION ALL {level.format("nodes")}),
+roots AS (SELECT tree, h FROM nodes WHERE width = 1),
+tops(tree, level, pos, h, width) AS (
+  SELECT CAST(-1 AS BIGINT), 0, tree, h, (SELECT count(*) FROM roots) FROM roots UNION ALL {level.format("tops")}),
+siblings AS (
+  SELECT l.tree, l.place, n.level AS step, n.h, n.pos & 1 = 1 AS behind FROM leaves l JOIN nodes n
+    ON n.tree = l.tree AND n.width > 1 AND n.pos = xor(l.place >> n.level, 1)
+  UNION ALL
+  SELECT l.tree, l.place, 100 + t.level, t.h, t.pos & 1 = 1 FROM leaves l JOIN tops t
+    ON t.width > 1 AND t.pos = xor(l.tree >> t.level, 1)),
+proofs AS (SELECT tree, place, string_agg(h, '' ORDER BY step) AS proof FROM siblings GROUP BY tree, place),
+steps AS (
+  SELECT tree, level AS step, level = (SELECT max(m.level) FROM nodes m WHERE m.tree = n.tree) AS last FROM (SELECT DISTINCT tree, level FROM nodes) n
+  UNION ALL
+  SELECT tree, 100 + level, level = (SELECT max(level) FROM tops) FROM (SELECT DISTINCT tree FROM roots) r, (SELECT DISTINCT level FROM tops) t),
+folds(tree, place, step, h) AS (
+  SELECT tree, place, 0, shown FROM leaves
+  UNION ALL
+  SELECT f.tree, f.place, CASE WHEN s.last AND f.step < 100 THEN 100 ELSE f.step + 1 END,
+         CASE WHEN s.last THEN f.h WHEN b.h IS NULL THEN sha256(f.h) WHEN b.behind THEN sha256(f.h || b.h) ELSE sha256(b.h || f.h) END
+  FROM folds f JOIN steps s ON s.tree = f.tree AND s.step = f.step
+    LEFT JOIN siblings b ON b.tree = f.tree AND b.place = f.place AND b.step = f.step
+  WHERE NOT (s.last AND f.step >= 100)),
+ends AS (SELECT f.tree, f.place, f.h FROM folds f JOIN steps s ON s.tree = f.tree AND s.step = f.step WHERE s.last AND f.step >= 100)
+SELECT l.doc_id, l.leaf, r.h AS subroot, t.h AS root, sha256(coalesce(p.proof, '')) AS proof_sha256, e.h AS folded_root, e.h = t.h AS verified
+FROM leaves l JOIN roots r ON r.tree = l.tree JOIN tops t ON t.width = 1
+  LEFT JOIN proofs p ON p.tree = l.tree AND p.place = l.place JOIN ends e ON e.tree = l.tree AND e.place = l.place
+"""
+
+
+@query("op12_merkle", _merkle_sql())
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """Proof of every document against the root of all, and what a changed one folds to."""
+    docs = table(spark, folder, "documents").select(*_FIELDS)
+    changed = [F.try_add(F.col(c), F.lit(1)) if c == "n_chars" else F.col(c) for c in _FIELDS]
+    tampered = (F.crc32(F.col("doc_id").cast("string")) % 7 == 0) & F.col("n_chars").isNotNull()
+    leaf = merkle.row_digest(*map(F.col, _FIELDS))
+    rows = docs.select("doc_id", "lang", leaf.alias("_leaf"), F.when(tampered, merkle.row_digest(*changed)).alias("_changed"))
+    rows = rows.withColumn("_shown", F.coalesce("_changed", "_leaf")).drop("_changed")
+    proved = merkle.prove(merkle.build(rows, carry=("_shown",)))
+    return merkle.fold(proved, "_shown").select(
+        "doc_id", F.col("_leaf").alias("leaf"), F.col("_subroot").alias("subroot"), F.col("_root").alias("root"),
+        F.sha2(F.concat_ws("", "_proof"), 256).alias("proof_sha256"), F.col("_folded").alias("folded_root"),
+        (F.col("_folded") == F.col("_root")).alias("verified"),
+    )
+
+
 def load() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
     return QUERIES, ORACLES
