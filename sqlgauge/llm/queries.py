@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    bpe, byte_pieces, decontamination, license_scan, line_dedup, merkle, ngram_join, quality, secret_scan,
+    bpe, byte_pieces, decontamination, lexical_search, license_scan, line_dedup, merkle, ngram_join, quality, secret_scan,
     suffix_dedup, token_files, toxicity,
 )
 from .common import table
@@ -296,5 +296,43 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    "op13_lexical_search",
+    """
+WITH pieces AS (
+  SELECT doc_id, text, row_number() OVER () AS row FROM documents),
+terms AS (
+  SELECT row, doc_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+  FROM pieces),
+counts AS (SELECT row, any_value(doc_id) AS doc_id, term, count(*) AS tf FROM terms GROUP BY row, term),
+lengths AS (SELECT row, count(*) AS n FROM terms GROUP BY row),
+total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM lengths),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM counts, total GROUP BY term, docs),
+items AS (SELECT item_id, row_number() OVER () AS item, text FROM benchmark),
+asked AS (
+  SELECT item, any_value(item_id) AS item_id, term, count(*) AS q FROM (
+    SELECT item, item_id, unnest(regexp_extract_all(
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+    FROM items) GROUP BY item, term),
+impacts AS (
+  SELECT c.row, c.doc_id, c.term, (1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // words)) AS impact
+  FROM counts c JOIN lengths USING (row), total),
+scored AS (
+  SELECT item, any_value(item_id) AS item_id, row, any_value(doc_id) AS doc_id, CAST(sum(q * w * impact) AS BIGINT) AS score
+  FROM asked JOIN weights USING (term) JOIN impacts USING (term) GROUP BY item, row)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0)
+WHERE rank <= 10
+""",
+)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten documents that match each benchmark item best."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return lexical_search.search(docs, table(spark, folder, "benchmark").select("item_id", "text")).select("item_id", "rank", "doc_id", "score")
+
+
 def load() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
     return QUERIES, ORACLES

@@ -14,14 +14,15 @@ CORPUS, CHECKS = E.load_corpus()
 
 
 def test_names():
-    assert {int(m[1]) for n in CORPUS if (m := re.match(r"op(\d+)_", n))} == set(range(1, 11)) and "pipeline" in CORPUS
+    assert {int(m[1]) for n in CORPUS if (m := re.match(r"op(\d+)_", n))} == set(range(1, 14)) and "pipeline" in CORPUS
     assert set(CORPUS) <= set(E.queries()) and set(CHECKS) <= set(E.oracle_sql()) and set(CHECKS) <= set(CORPUS)
 
 
 @pytest.mark.parametrize("name", sorted(CHECKS))
 def test_against_sql(spark, name):
     db = duckdb.connect()
-    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{FOLDER}/documents.parquet'")
+    for view in ("documents", "benchmark"):
+        db.execute(f"CREATE VIEW {view} AS SELECT * FROM '{FOLDER}/{view}.parquet'")
     df = E.queries()[name](spark, str(FOLDER))
     cursor = db.execute(CHECKS[name])
     names = [d[0] for d in cursor.description]
@@ -29,7 +30,7 @@ def test_against_sql(spark, name):
     assert sorted(map(tuple, df.select(*names).collect())) == sorted(cursor.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(n for n in CORPUS if n.startswith("op")))
+@pytest.mark.parametrize("name", sorted(n for n in CORPUS if n.startswith("op") and n != "op13_lexical_search"))
 def test_one_row_for_each_document(spark, name):
     got = E.queries()[name](spark, str(FOLDER))
     assert got.select("doc_id").distinct().count() == spark.read.parquet(f"{FOLDER}/documents.parquet").count() == got.count()
