@@ -16,6 +16,7 @@ Null and empty texts hold only the end id. Null ids come first; rows with equal
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.scratch import scratch_path
-from .bpe import CONTRACTIONS
+from .bpe import CONTRACTIONS, byte_letters
 from .common import NOT_LATIN, latin_pattern, prepared, slices
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -36,11 +37,10 @@ END = 2
 BLOCK = 512
 FITS = 0.9
 SEGMENT = 1 << 18
-MEMO = 1_000_000
+MEMO = 300_000
 HEAD = np.dtype([("offset", "<u4"), ("least", "<u4"), ("width", "u1"), ("exceptions", "<u2")])
 
 _WORDS = latin_pattern(CONTRACTIONS, "", "", False)
-_MEMOS: dict[str, dict[str, bytes]] = {}
 
 
 @lru_cache(2)
@@ -53,10 +53,18 @@ def _tokenizer(path: str):
     return made, specials
 
 
-def encode_texts(texts: list[str | None], path: str = VOCABULARY) -> list[np.ndarray]:
-    """Ids of each text as the tokenizer gives them; words of Latin texts are encoded once and remembered."""
+@lru_cache(1)
+def _letters() -> dict[int, str]:
+    return {b: c for c, b in byte_letters().items()}
+
+
+def encode_texts(texts: list[str | None], memo: dict[str, bytes], path: str = VOCABULARY) -> list[np.ndarray]:
+    """Ids of each text as the tokenizer gives them; ``memo`` is the task's own.
+
+    Latin texts are cut here, and each word not in the memo goes to the tokenizer's model in byte letters; its
+    normalisation leaves such words as they are once they are in lower case.
+    """
     made, specials = _tokenizer(path)
-    memo = _MEMOS.setdefault(path, {})
     out: list[np.ndarray | None] = [None] * len(texts)
     split: dict[int, list[str]] = {}
     for k, text in enumerate(texts):
@@ -67,17 +75,12 @@ def encode_texts(texts: list[str | None], path: str = VOCABULARY) -> list[np.nda
         else:
             split[k] = _WORDS.findall(text.lower())
     fresh = set(chain.from_iterable(split.values())).difference(memo)
-    if fresh:
-        if len(memo) + len(fresh) > MEMO:
-            memo.clear()
-            fresh = set(chain.from_iterable(split.values()))
-        words = sorted(fresh)
-        for low in range(0, len(words), 4096):  # a special token between words marks where each one ends
-            part = words[low : low + 4096]
-            ids = np.array(made.encode(specials[0].join(part), add_special_tokens=False).ids, "<u4")
-            mark = made.token_to_id(specials[0])
-            for word, own in zip(part, np.split(ids, np.flatnonzero(ids == mark))):
-                memo[word] = (own[1:] if len(own) and own[0] == mark else own).tobytes()
+    if len(memo) + len(fresh) > MEMO:
+        memo.clear()
+        fresh = set(chain.from_iterable(split.values()))
+    tokens, letters = made.model.tokenize, _letters()
+    for word in fresh:
+        memo[word] = array("I", [t.id for t in tokens(word.encode().decode("latin-1").translate(letters))]).tobytes()
     get = memo.__getitem__
     for k, found in split.items():
         out[k] = np.frombuffer(b"".join(map(get, found)), "<u4")
@@ -164,6 +167,7 @@ def _write_step(path: str, end: int | None):
         shard, first = TaskContext.get().partitionId(), 0
         ids: list = []
         held: list[np.ndarray] = []
+        memo: dict[str, bytes] = {}
         total = 0
 
         def close() -> pa.RecordBatch:
@@ -174,7 +178,7 @@ def _write_step(path: str, end: int | None):
             return pa.RecordBatch.from_pydict(row, SEGMENTS_ARROW)
 
         for batch in slices(batches, "text", 1 << 20):
-            for doc, found in zip(batch.column(0).to_pylist(), encode_texts(batch.column(1).to_pylist(), path)):
+            for doc, found in zip(batch.column(0).to_pylist(), encode_texts(batch.column(1).to_pylist(), memo, path)):
                 found = found if end is None else np.append(found, np.uint32(end))
                 if held and total + len(found) > SEGMENT:
                     yield close()

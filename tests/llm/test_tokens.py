@@ -81,3 +81,21 @@ def test_empty_table(spark, tmp_path):
     docs = doc_rows(spark, [(1, "a")]).withColumn("shard", F.lit(1))
     token_files.write_token_files(docs, str(tmp_path / "t"), end=None)
     assert token_files.read_token_files(spark, str(tmp_path / "t")).first()["start"] == 0
+
+
+def test_workers_keep_nothing_when_a_task_ends():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"text": ["the cat", None, "naïve 中文"]})
+    rows = list(bpe._encode_step(bpe.VOCABULARY, "text", True)(iter([batch])))
+    encode = Tokenizer.from_file(bpe.VOCABULARY).encode
+    assert rows[0].column(1).to_pylist() == [encode(t or "").ids for t in batch.column(0).to_pylist()]
+    assert all(held.cache_info().currsize == 0 for held in (bpe._encoder, bpe._splitter, bpe._token_bytes))
+
+
+def test_memo_of_token_files_is_bounded(monkeypatch):
+    monkeypatch.setattr(token_files, "MEMO", 3)
+    made, memo = Tokenizer.from_file(token_files.VOCABULARY), {}
+    for text in ("one two three", "four five", "one six", "naïve ŒUVRE 12"):
+        assert token_files.encode_texts([text], memo)[0].tolist() == made.encode(text, add_special_tokens=False).ids
+        assert len(memo) <= 4
