@@ -194,6 +194,12 @@ def _token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(parts), np.uint8), np.cumsum(sizes) - sizes, sizes
 
 
+def forget() -> None:
+    """Let go of what a worker holds of a vocabulary; workers outlive their tasks."""
+    for held in (_encoder, _splitter, _token_bytes):
+        held.cache_clear()
+
+
 def decode_ids(ids: np.ndarray, bounds: np.ndarray, path: str = VOCABULARY) -> list[str]:
     """Texts of the id ranges between ``bounds``; bytes that are no UTF-8 become the replacement character."""
     data, start, size = _token_bytes(path)
@@ -210,14 +216,18 @@ def decode_ids(ids: np.ndarray, bounds: np.ndarray, path: str = VOCABULARY) -> l
 def _encode_step(path: str, text_col: str, decoded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, bytes] = {}
-        for batch in slices(batches, text_col, BATCH_BYTES):
-            codes = _codes(batch.column(batch.schema.get_field_index(text_col)).to_pylist(), path, memo)
-            sizes = np.array([len(c) // 4 for c in codes], np.int64)
-            ids = np.frombuffer(b"".join(codes), "<u4").view(np.int32)
-            extra = {"_ids": lists(pa.array(ids, pa.int32()), sizes)}
-            if decoded:
-                extra["_decoded"] = pa.array(decode_ids(ids, np.cumsum([0, *sizes]), path), pa.string())
-            yield with_columns(batch, extra)
+        try:
+            for batch in slices(batches, text_col, BATCH_BYTES):
+                codes = _codes(batch.column(batch.schema.get_field_index(text_col)).to_pylist(), path, memo)
+                sizes = np.array([len(c) // 4 for c in codes], np.int64)
+                ids = np.frombuffer(b"".join(codes), "<u4").view(np.int32)
+                extra = {"_ids": lists(pa.array(ids, pa.int32()), sizes)}
+                if decoded:
+                    extra["_decoded"] = pa.array(decode_ids(ids, np.cumsum([0, *sizes]), path), pa.string())
+                yield with_columns(batch, extra)
+        finally:
+            memo.clear()
+            forget()
 
     return run
 
@@ -233,11 +243,14 @@ def decode(encoded: DataFrame, ids_col: str = "_ids", vocabulary: str = VOCABULA
     """All columns plus _decoded, the text of each row's ids; null ids give an empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column(batch.schema.get_field_index(ids_col))
-            sizes = np.asarray(pa.compute.list_value_length(column).fill_null(0))
-            ids = np.asarray(column.flatten()).astype(np.int64)
-            yield with_columns(batch, {"_decoded": pa.array(decode_ids(ids, np.cumsum([0, *sizes]), vocabulary), pa.string())})
+        try:
+            for batch in batches:
+                column = batch.column(batch.schema.get_field_index(ids_col))
+                sizes = np.asarray(pa.compute.list_value_length(column).fill_null(0))
+                ids = np.asarray(column.flatten()).astype(np.int64)
+                yield with_columns(batch, {"_decoded": pa.array(decode_ids(ids, np.cumsum([0, *sizes]), vocabulary), pa.string())})
+        finally:
+            forget()
 
     encoded = prepared(encoded, "_decoded string")
     return encoded.mapInArrow(run, extended(encoded.schema, "_decoded string"))

@@ -18,6 +18,11 @@ from ..session import ship_package
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
+#: Bytes of an Arrow batch between Spark and Python where the session does not say: they count twice on each side.
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
+
+
 def words(text: str | None) -> list[bytes]:
     """The words of a text with A-Z lower-cased; none for null."""
     return WORD.findall(text.encode().lower()) if text else []
@@ -28,9 +33,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def prepared(docs: DataFrame, added: str = "") -> DataFrame:
-    """``docs`` for an operator with Python steps: the package is shipped, and columns with the names of those that
-    are added (the DDL text ``added``) give way."""
-    ship_package(docs.sparkSession)
+    """``docs`` for an operator with Python steps: the package is shipped, Arrow batches are bounded in bytes, and
+    columns with the names of those that are added (the DDL text ``added``) give way."""
+    spark = docs.sparkSession
+    ship_package(spark)
+    if spark.conf.get(BATCH_SETTING, None) is None:  # by rows alone a batch of long texts has no bound
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
     return docs.drop(*T.StructType.fromDDL(added).names) if added else docs
 
 

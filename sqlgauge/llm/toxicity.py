@@ -186,7 +186,7 @@ def _count_step(text_col: str):
                         tokens[toxic][entry] += n
                         seen.add(entry)
                 docs[toxic].update(seen)
-            if len(docs[0]) + len(docs[1]) > 200_000:
+            if len(docs[0]) + len(docs[1]) > 60_000:  # so many entries take some 30 MB
                 yield rows()
                 for c in (*tokens, *docs):
                     c.clear()
