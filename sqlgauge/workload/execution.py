@@ -122,6 +122,32 @@ def x1(spark, sf):
     return _outcomes(spark, sf, SHAPES)
 
 
+# One text per order, about the orders of its priority and status; the six lowest bits of its key decide the spelling.
+_SPELT = """SELECT o_orderpriority AS priority, o_orderstatus AS status, concat(
+    CASE WHEN bits & 1 = 0 THEN 'SELECT' ELSE '  select' END, ' o_orderkey ', CASE WHEN bits & 2 = 0 THEN 'FROM' ELSE 'from  ' END,
+    CASE WHEN bits & 4 = 0 THEN ' orders' ELSE ' ORDERS' END, CASE WHEN bits & 8 = 0 THEN '' ELSE ' AS o' END, ' WHERE ',
+    CASE WHEN bits & 16 = 0 THEN concat(p, ' AND ', s) ELSE concat('(', s, ') AND (', p, ')') END,
+    CASE WHEN bits & 32 = 0 THEN '' ELSE ' ;' END) AS sql
+  FROM (SELECT o_orderpriority, o_orderstatus, o_orderkey & 63 AS bits, concat('o_orderpriority = "', o_orderpriority, '"') AS p,
+    concat('O_ORDERSTATUS = "', o_orderstatus, '"') AS s FROM @orders) x"""
+
+
+@query(
+    "x1_shared_plans",
+    """SELECT o_orderpriority AS priority, o_orderstatus AS status, count(DISTINCT o_orderkey & 63) AS n_texts, CAST(1 AS BIGINT) AS n_runs,
+      count(*) AS least_rows, count(*) AS most_rows, TRUE AS success FROM orders GROUP BY ALL""",
+)
+def x1_shared(spark, sf):
+    """Texts of one plan are run once, and each has the whole outcome."""
+    spelt = materialize(run(spark, sf, _SPELT), "spelt")
+    _bind(spark, sf, "orders")
+    rows = spelt.distinct().join(execute_texts(spark, spelt.select("sql")), "sql")
+    return rows.groupBy("priority", "status").agg(
+        F.count(F.lit(1)).alias("n_texts"), F.count_distinct("run").alias("n_runs"), F.min("outcome.rows").alias("least_rows"),
+        F.max("outcome.rows").alias("most_rows"), F.every("outcome.success").alias("success"),
+    )
+
+
 @query(
     "w13_failures",
     " UNION ALL ".join(

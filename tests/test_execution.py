@@ -104,6 +104,66 @@ def test_texts_run_once_and_join_back(spark):
     assert len(rows) == 2 and rows["SELECT id FROM four"].rows == 4 and not rows["SELECT x FROM four"].success
 
 
+def _jobs_of(spark, texts, **more):
+    """Outcomes by text, and how many runs of a plan (job groups) they took."""
+    groups = []
+    context, original = spark.sparkContext, type(spark.sparkContext).setJobGroup
+
+    def seen(self, group, *rest, **named):
+        groups.append(group)
+        return original(self, group, *rest, **named)
+
+    type(context).setJobGroup = seen
+    try:
+        rows = execute_texts(spark, texts, **more).collect()
+    finally:
+        type(context).setJobGroup = original
+    return {r.sql: r for r in rows}, len(groups)
+
+
+def test_a_thousand_spellings_of_ten_plans_make_ten_runs(spark):
+    spark.range(40).createOrReplaceTempView("forty")
+    texts = [f"{'select' if k % 2 else 'SELECT'} {' ' * (k // 10)}id FROM {'forty' if k % 3 else 'FORTY AS f'} WHERE id < {k % 10}" for k in range(1000)]
+    rows, runs = _jobs_of(spark, texts)
+    assert len(rows) == 1000 and runs == 10 == len({r.run for r in rows.values()})
+    assert all(r.outcome.success and r.outcome.rows == k % 10 and r.outcome.time_s > 0 for k, r in ((texts.index(t), r) for t, r in rows.items()))
+    alone = {t: execute_sql(spark, t) for t in texts[:10]}
+    assert all(rows[t].outcome.fingerprint == alone[t]["fingerprint"] for t in alone)
+
+
+def test_plans_that_differ_do_not_share(spark):
+    spark.range(6).createOrReplaceTempView("six")
+    texts = ["SELECT id AS a FROM six", "SELECT id AS b FROM six", "SELECT CAST(id AS INT) AS a FROM six", "SELECT id AS a FROM six WHERE id > 2",
+             "SELECT id AS a FROM six WHERE rand() < 2", "SELECT  id AS a FROM six WHERE rand() < 2"]
+    rows, runs = _jobs_of(spark, texts)
+    assert runs == 6 and len({str(r.outcome.fingerprint) for r in rows.values()}) == 3  # int and bigint are one family
+    bad = ["SELECT id / (id - id) AS x FROM six", "SELECT  id / (id - id) AS x FROM six", "SELECT nope FROM six", "SELECT  nope FROM six"]
+    rows, runs = _jobs_of(spark, bad)
+    assert runs == 1 and not any(r.outcome.success for r in rows.values()) and all(r.outcome.error for r in rows.values())
+    rows, runs = _jobs_of(spark, texts[:2] + [" " + t for t in texts[:2]], plans=0)  # nothing kept: each text runs
+    assert runs == 4 and len({str(r.outcome.fingerprint) for r in rows.values()}) == 2
+
+
+def test_one_plan_on_two_datasets_runs_on_each(spark, tmp_path):
+    for name, n in (("a", 3), ("b", 5)):
+        spark.range(n).write.parquet(str(tmp_path / name / "t.parquet"))
+    known = {name: (str(tmp_path / name), ["t"]) for name in "ab"}
+    texts = df(spark, [(d, s) for d in "ab" for s in ("SELECT * FROM t", "SELECT id FROM T", "select id from t")], "dataset string, sql string")
+    rows = execute_texts(spark, texts, datasets=known).collect()
+    assert {(r.dataset, r.outcome.rows, r.run) for r in rows} == {("a", 3, n) for n in {r.run for r in rows if r.dataset == "a"}} | {
+        ("b", 5, n) for n in {r.run for r in rows if r.dataset == "b"}}
+    assert len({r.run for r in rows}) == 2
+
+
+def test_texts_that_share_a_slow_run_hold_no_slot(spark):
+    slow = "SELECT count(*) AS n FROM range(0, 100000000000, 1, 2) WHERE sha2(CAST(id AS STRING), 256) LIKE 'zz%'"
+    texts = [slow, *(slow.replace("SELECT", "SELECT" + " " * k) for k in range(1, 6)), *(f"SELECT {k} AS x" for k in range(9))]
+    started = time.perf_counter()
+    rows = {r.sql: r.outcome for r in execute_texts(spark, texts, parallel=2, timeout_s=4).collect()}
+    assert time.perf_counter() - started < 30  # six waits one after the other would take 24 seconds of a slot
+    assert sum((o.error or "").startswith(TIMED_OUT) for o in rows.values()) == 6 and sum(o.success for o in rows.values()) == 9
+
+
 def test_pairs_match_only_when_both_ran(spark):
     spark.range(4).createOrReplaceTempView("four")
     good = "SELECT id FROM four"
