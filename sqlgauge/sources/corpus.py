@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.scratch import materialize
@@ -24,50 +24,111 @@ def _stem(file_name: Column) -> Column:
     return F.regexp_replace(file_name, r"\.[^.]*$", "")
 
 
-def _first_character(spark: SparkSession, file: str) -> str:
-    """The first character that is not blank, read without the rest of the file; empty if there is none."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(file))
-    stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).open(path)
-    try:
-        while (byte := stream.read()) >= 0:
-            if byte not in b" \t\r\n\xef\xbb\xbf":
-                return chr(byte)
-        return ""
-    finally:
-        stream.close()
+def _pieces(spark: SparkSession, path: str) -> DataFrame:
+    """The files cut behind each ``}`` by Spark's own splittable reader: ``_file, _name, _range`` (start of the byte range
+    that a task reads), ``_at`` (order within it) and ``_piece``, without the bracket."""
+    return spark.read.option("lineSep", "}").text(path).select(
+        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_name").alias("_name"),
+        F.col("_metadata.file_block_start").alias("_range"), F.monotonically_increasing_id().alias("_at"), F.col("value").alias("_piece"),
+    )
 
 
-def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of JSON files whose root is a list: ``dataset, entry_pos`` and the raw fields.
+def _sum_in_range(value: str | Column, last: int) -> Column:
+    """Running sum within a byte range, up to this piece (0) or the one before (-1)."""
+    pieces = Window.partitionBy("_file", "_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, last)
+    return F.coalesce(F.sum(value).over(pieces), F.lit(0))
+
+
+def _scanned(pieces: DataFrame) -> DataFrame:
+    """Add what a piece does: ``_quotes`` it holds and its change of depth, ``_outside`` if it begins outside a string and
+    ``_inside`` if within one. No escape can be open at its start, as that follows a bracket."""
+    parts = F.split(F.regexp_replace("_piece", r"(?s)\\.", ""), '"', -1)
+
+    def depth(odd: int) -> Column:
+        bare = F.array_join(F.filter(parts, lambda _, i: i % 2 == odd), "")
+        size = F.length(bare)
+        opened, closed = (size - F.length(F.translate(bare, signs, "")) for signs in ("{[", "}]"))
+        return opened - closed - F.when((F.size(parts) - 1) % 2 == odd, 1).otherwise(0)  # the bracket behind the piece
+
+    scanned = pieces.withColumn("_quotes", F.size(parts) - 1).withColumn("_outside", depth(0)).withColumn("_inside", depth(1))
+    return scanned.withColumn("_odd", _sum_in_range("_quotes", -1) % 2)
+
+
+def _change(entered: Column) -> Column:
+    """The change of depth of a piece in a range that was entered within a string (1) or not (0)."""
+    return F.when((F.col("_odd") + entered) % 2 == 0, F.col("_outside")).otherwise(F.col("_inside"))
+
+
+def _ends(rows: DataFrame) -> DataFrame:
+    """Add ``_end``: an element of the root list ends with this piece. Needs the entry state of the range."""
+    depth = F.col("_depth_in") + _sum_in_range(_change(F.col("_state_in")), 0)
+    closed = (F.col("_state_in") + F.col("_odd") + F.col("_quotes")) % 2 == 0
+    return rows.withColumn("_end", (closed & (depth == 1)).cast("int"))
+
 
-    A file is streamed element by element; of each file the first character is checked before anything else.
+def _ranges(pieces: DataFrame) -> DataFrame:
+    """One row per range with its entry state: ``_state_in`` (1 within a string), ``_depth_in``, ``_first`` (elements that
+    ended before it) and ``_all`` (elements of its file).
+
+    Every range states its effect for both entry states; running sums over the ranges of a file give the true ones.
     """
-    files = spark.read.format("binaryFile").load(path).select("path")  # lists the files; contents are not read
-    for (file,) in files.toLocalIterator():
-        if _first_character(spark, file) not in ("[", ""):
-            raise ValueError(f"corpus root must be a list: {file}")
-
-    # A list file is one task. Writing its entries once lets every later step read them in parallel, and
-    # pins the row numbers that positions are derived from.
-    entries = materialize(
-        spark.read.schema(RAW_ENTRY)
-        .option("multiLine", True)
-        .option("mode", "FAILFAST")
-        .json(path)
-        .select(
-            _stem(F.col("_metadata.file_name")).alias("dataset"),
-            F.col("_metadata.file_path").alias("_file"),
-            F.monotonically_increasing_id().alias("_at"),
-            "*",
-        ),
-        "corpus",
+    seen = materialize(_scanned(pieces).drop("_piece"), "corpus-brackets")
+    effect = seen.groupBy("_file", "_range").agg(
+        F.sum("_quotes").alias("_quotes"), F.sum(_change(F.lit(0))).alias("_d0"), F.sum(_change(F.lit(1))).alias("_d1")
     )
-    first = materialize(entries.groupBy("_file").agg(F.min("_at").alias("_first")), "corpus-files")
-    return (
-        entries.join(first, "_file")
-        .withColumn("entry_pos", F.col("_at") - F.col("_first"))
-        .drop("_file", "_at", "_first")
+    of_file = Window.partitionBy("_file").orderBy("_range")
+    before = of_file.rowsBetween(Window.unboundedPreceding, -1)
+    entered = effect.withColumn("_state_in", F.coalesce(F.sum("_quotes").over(before), F.lit(0)) % 2)
+    change = F.when(F.col("_state_in") == 0, F.col("_d0")).otherwise(F.col("_d1"))
+    entered = entered.withColumn("_depth_in", F.coalesce(F.sum(change).over(before), F.lit(0)))
+    entered = materialize(entered.select("_file", "_range", "_state_in", "_depth_in"), "corpus-entered")
+    ended = _ends(seen.join(entered, ["_file", "_range"])).groupBy("_file", "_range", "_state_in", "_depth_in").agg(F.sum("_end").alias("_ended"))
+    return materialize(
+        ended.withColumn("_first", F.coalesce(F.sum("_ended").over(before), F.lit(0)))
+        .withColumn("_all", F.sum("_ended").over(Window.partitionBy("_file"))).drop("_ended"),
+        "corpus-ranges",
+    )
+
+
+def read_corpus(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of JSON files whose root is a list of objects: ``dataset, entry_pos`` and the raw fields.
+
+    One file is read by many tasks, a byte range each (``spark.sql.files.maxPartitionBytes``). The brackets and quotes of
+    the ranges tell where elements begin and end, whatever a range starts in; then each element is parsed by itself.
+    Blank files and empty lists have no entries. A root that is no list, an element that is no object, a list that does
+    not end and anything that is no JSON are errors, raised here.
+    """
+    pieces = _pieces(spark, path)
+    placed = _ends(_scanned(pieces).join(_ranges(pieces), ["_file", "_range"]))
+    number = F.col("_first") + _sum_in_range("_end", -1)
+    placed = placed.withColumn("_number", number)
+    # what stands behind the last element is one short piece if the file is whole, so of more only the first is kept
+    rest = F.col("_number") == F.col("_all")
+    text = F.when(rest, F.substring("_piece", 1, 1024)).otherwise(F.col("_piece"))
+    held = placed.select("_file", "_name", "_number", rest.alias("_rest"), F.struct("_range", "_at", text.alias("_text")).alias("_part"))
+    whole = held.where("NOT _rest").groupBy("_file", "_name", "_number", "_rest").agg(F.array_sort(F.collect_list("_part")).alias("_parts"))
+    whole = whole.withColumn("_count", F.size("_parts").cast("long"))
+    behind = held.where("_rest").groupBy("_file", "_name", "_number", "_rest").agg(F.array(F.min("_part")).alias("_parts"), F.count(F.lit(1)).alias("_count"))
+    element = F.array_join(F.transform("_parts", lambda p: p["_text"]), "}")
+    first = F.col("_number") == 0
+    start = F.when(first, r"^\x{feff}?\s*\[\s*").otherwise(r"^\s*,\s*")
+    end = F.when(first, r"^\x{feff}?\s*(?:\[\s*\]\s*)?$").otherwise(r"^\s*\]\s*$")
+    sound = F.when(F.col("_rest"), (F.col("_count") == 1) & F.rlike(element, end)).otherwise(F.rlike(element, F.concat(start, F.lit(r"\{"))))
+    no_list = first & ~element.rlike(r"^\x{feff}?\s*(?:\[|$)")
+    problem = F.when(no_list, "corpus root must be a list").when(~sound, "corpus list is not well formed")
+    entry = F.when(sound & ~F.col("_rest"), F.concat(F.regexp_replace(element, start, F.lit("")), F.lit("}")))
+    parsed = F.from_json(entry, f"{RAW_ENTRY}, _broken string", {"columnNameOfCorruptRecord": "_broken"})
+    entries = whole.unionByName(behind).select(
+        "_file", "_rest", problem.alias("_problem"), _stem(F.col("_name")).alias("dataset"), F.col("_number").alias("entry_pos"),
+        parsed.alias("_entry"),
     )
+    broken = F.when(F.col("_entry._broken").isNotNull(), "corpus list is not well formed")
+    entries = materialize(entries.withColumn("_problem", F.coalesce("_problem", broken)), "corpus")
+    files = entries.groupBy("_file").agg(F.min("_problem").alias("problem"), F.max("_rest").alias("ended"))
+    bad = files.where("problem IS NOT NULL OR NOT ended").orderBy("_file").first()
+    if bad is not None:
+        raise ValueError(f"{bad['problem'] or 'corpus list does not end'}: {bad['_file']}")
+    return entries.where("NOT _rest").select("dataset", "entry_pos", "_entry.*").drop("_broken")
 
 
 def read_corpus_lines(spark: SparkSession, path: str) -> DataFrame:

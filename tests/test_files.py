@@ -1,6 +1,7 @@
 """File sources and sinks on hand-made files, and a whole run from corpus to report."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from sqlgauge.operators.plots import metrics_by_dataset, rate_by_complexity, sch
 from sqlgauge.operators.runlog import canonical_runlog, question_rows
 from sqlgauge.plans.benchmark import evaluate_run, prepare_run, report
 from sqlgauge.sinks.writers import runlog_name, write_csv, write_runlog
+from sqlgauge.sources import corpus as corpora
 from sqlgauge.sources.corpus import read_corpus, read_manifest, typed_entries
 from sqlgauge.sources.ddl import parse_columns, parse_foreign_keys, read_ddl
 from sqlgauge.sources.introspect import databases, introspect
@@ -46,6 +48,53 @@ def test_corpus_root_must_be_a_list(spark, tmp_path):
         read_corpus(spark, str(tmp_path))
 
 
+def _tricky(seed, n):
+    rng = random.Random(seed)
+
+    def text():
+        return "".join(rng.choice('ab{}[]",:\\\n é中') for _ in range(rng.randint(0, 12)))
+
+    return [
+        {"query-split": text(), "sql": [text() for _ in range(rng.randint(0, 3))], "difficulty": rng.choice([None, 1, "x"]),
+         "sentences": [{"text": text(), "variables": {text(): text()}} for _ in range(rng.randint(0, 3))]}
+        for _ in range(n)
+    ]
+
+
+@pytest.mark.parametrize("indent", [None, 1])
+@pytest.mark.parametrize("size", ["1m", "300"])
+def test_one_file_is_read_by_many_tasks(spark, tmp_path, indent, size):
+    """Brackets and quotes inside strings, ranges that begin anywhere: as the reader of whole files gives them."""
+    data = _tricky(indent or 0, 60)
+    (tmp_path / "long.json").write_text(json.dumps(data, indent=indent, ensure_ascii=indent is None), encoding="utf-8")
+    (tmp_path / "none.json").write_text(" [\n] ")
+    (tmp_path / "blank.json").write_text(" \n")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for k, v in zip(kept, (size, "0")):
+        spark.conf.set(k, v)
+    try:
+        tasks = corpora._pieces(spark, str(tmp_path)).rdd.getNumPartitions()
+        got = typed_entries(read_corpus(spark, str(tmp_path))).orderBy("entry_pos").collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    whole = spark.read.schema(corpora.RAW_ENTRY).option("multiLine", True).json(str(tmp_path / "long.json"))
+    whole = typed_entries(whole.select(F.lit("long").alias("dataset"), F.monotonically_increasing_id().alias("entry_pos"), "*"))
+    assert [tuple(r) for r in got] == [tuple(r) for r in whole.orderBy("entry_pos").collect()] and len(got) == 60
+    assert tasks > 20 or size == "1m"
+
+
+BROKEN = ['[{"sql": 1}', '[{"sql": 1}]]', '[{"sql": 1} {"sql": 2}]', '[{"sql": 1}, 5]', '[{"sql": 1}, [{}]]', '["a"]', '[{"sql": "1}]', '[{"sql": }]']
+
+
+@pytest.mark.parametrize("text", BROKEN)
+def test_broken_lists_are_errors(spark, tmp_path, text):
+    (tmp_path / "good.json").write_text(json.dumps(ENTRIES))
+    (tmp_path / "bad.json").write_text(text)
+    with pytest.raises(ValueError, match="bad.json"):
+        read_corpus(spark, str(tmp_path))
+
+
 def test_questions_of_a_corpus(spark, tmp_path):
     rows = Q.prepare_questions(corpus(spark, tmp_path, shop=ENTRIES)).orderBy("id").collect()
     assert [(r.id, r.question_text_filled, r.gold_sql_exec, r.difficulty, r.question_split) for r in rows] == [
