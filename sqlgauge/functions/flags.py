@@ -29,6 +29,23 @@ def tolerant_boolean(value: Column, typed: bool = False) -> Column:
     return F.coalesce(F.try_element_at(words, text), F.try_element_at(words, F.lower(strip(text))))
 
 
+def variant_set(value: Column) -> Column:
+    """The record holds something other than null."""
+    return value.isNotNull() & ~F.coalesce(F.is_variant_null(value), F.lit(True))
+
+
+def variant_boolean(value: Column) -> Column:
+    """Boolean from a value that kept its JSON type: a boolean is itself, a number is true unless zero, a text is read as
+    by ``tolerant_boolean``, anything else is null."""
+    kind = F.schema_of_variant(value)
+    number = F.try_variant_get(value, "$", "double")
+    return (
+        F.when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean"))
+        .when(kind.rlike("^(?:BIGINT|DECIMAL|DOUBLE|FLOAT)"), number != 0)
+        .when(kind == "STRING", tolerant_boolean(F.try_variant_get(value, "$", "string")))
+    )
+
+
 _NUMBER = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$|(?i)^[+-]?inf(?:inity)?$"
 
 

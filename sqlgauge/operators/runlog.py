@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import NumericType, VariantType
 
-from ..functions.flags import tolerant_boolean
+from ..functions.flags import tolerant_boolean, variant_boolean, variant_set
 from ..functions.sqltext import complexity_bucket, schema_tables
 from ..sources.runlog import ENGINES
 
@@ -15,10 +15,12 @@ def _field(df: DataFrame, name: str) -> Column | None:
     return F.col(f"`{name}`") if name in df.columns else None
 
 
-def _flag(df: DataFrame, value: Column) -> Column:
-    """The flag of a column that holds texts, booleans or numbers."""
+def _flag(df: DataFrame, value: Column) -> tuple[Column, Column]:
+    """Whether a flag is set, and what it says: texts, booleans, numbers or variants of these."""
     kind = df.select(value).schema.fields[0].dataType
-    return tolerant_boolean(value, isinstance(kind, NumericType))
+    if isinstance(kind, VariantType):
+        return variant_set(value), variant_boolean(value)
+    return value.isNotNull(), tolerant_boolean(value, isinstance(kind, NumericType))
 
 
 def _first(df: DataFrame, names: list[str], nested: tuple[str, str], kind: str) -> Column:
@@ -27,7 +29,8 @@ def _first(df: DataFrame, names: list[str], nested: tuple[str, str], kind: str)
     if not found:
         return F.lit(None).cast(kind)
     if kind == "boolean":
-        read = [F.when(c.isNotNull(), F.struct(_flag(df, c).alias("flag"))) for c in found]  # the first one set decides
+        flags = [_flag(df, c) for c in found]
+        read = [F.when(known, F.struct(flag.alias("flag"))) for known, flag in flags]  # the first one set decides
         return F.coalesce(*read)["flag"]
     return F.coalesce(*[c.cast(kind) for c in found])
 
@@ -51,11 +54,11 @@ def canonical_runlog(records: DataFrame) -> DataFrame:
             )
         match = _field(records, f"{engine}_pred_vs_gold_match")
         facts[f"{engine}_ex"] = (
-            _flag(records, match) if match is not None else F.lit(None).cast("boolean")
+            _flag(records, match)[1] if match is not None else F.lit(None).cast("boolean")
         )
     cross = _field(records, "mysql_vs_mariadb_match")
     facts["mysql_vs_mariadb_match"] = (
-        _flag(records, cross) if cross is not None else F.lit(None).cast("boolean")
+        _flag(records, cross)[1] if cross is not None else F.lit(None).cast("boolean")
     )
     drop = set(facts) | set(ENGINES) | {f"{e}_gold" for e in ENGINES}
     drop |= {f"{e}_pred_vs_gold_match" for e in ENGINES}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.flags import tolerant_boolean
 
 ENGINES = ("mysql", "mariadb")
-_NESTED = "struct<success:string,execution_time_s:double>"
+_NESTED = "struct<success:variant,execution_time_s:double>"
 
 FLAG_COLUMNS = [
     f"{engine}_{flag}" for engine in ENGINES for flag in ("pred_success", "gold_success", "ex", "ex_given_success")
@@ -16,7 +16,7 @@ FLAG_COLUMNS = [
 
 
 def runlog_schema() -> str:
-    """Every field of the three record spellings; flags are read as text and interpreted later."""
+    """Every field of the three record spellings; flags keep their JSON type per value (variant) and are read later."""
     fields = [
         "id long", "dataset string", "llm string", "rdbms string", "rdbms_mode string",
         "question_text string", "question_text_filled string", "question_variables map<string,string>",
@@ -26,15 +26,15 @@ def runlog_schema() -> str:
         "prompt_tokens int", "completion_tokens int",
         "pred_sql_raw string", "pred_sql string",
         "pred_repairs array<struct<`from`:string,`to`:string,ratio:double>>", "gen_time_s double",
-        "mysql_vs_mariadb_match string",
+        "mysql_vs_mariadb_match variant",
     ]
     for engine in ENGINES:
-        fields += [f"{engine} {_NESTED}", f"{engine}_gold {_NESTED}", f"{engine}_pred_vs_gold_match string"]
+        fields += [f"{engine} {_NESTED}", f"{engine}_gold {_NESTED}", f"{engine}_pred_vs_gold_match variant"]
         for side in ("pred", "gold"):
             p = f"{engine}_{side}"
             fields += [
-                f"`{p}.success` string", f"`{p}.execution_time_s` double", f"`{p}.error` string",
-                f"{p}_success string", f"{p}_time_s double", f"{p}_error_msg string", f"{p}_rows long",
+                f"`{p}.success` variant", f"`{p}.execution_time_s` double", f"`{p}.error` string",
+                f"{p}_success variant", f"{p}_time_s double", f"{p}_error_msg string", f"{p}_rows long",
             ]
     return ", ".join(fields)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.metrics import summarize
 from ..operators.questions import flatten_questions
+from ..operators.runlog import canonical_runlog
 from ..plans.scratch import scratch_path
 from ..sinks.writers import runlog_name, write_csv, write_runlog
 from ..sources.corpus import read_corpus, read_corpus_lines, typed_entries
@@ -67,11 +68,33 @@ def _written(spark, sf, partitioned: bool) -> tuple[DataFrame, str]:
 
 @query("s2_runlog_source", f"SELECT id, {', '.join(_FACTS)} FROM ({FLAT}) f")
 def s2(spark, sf):
-    from ..operators.runlog import canonical_runlog
-
     return canonical_runlog(read_runlog(spark, _written(spark, sf, False)[1])).select("id", *_FACTS)
 
 
+# What a record holds for a flag, as JSON, and what it means.
+_MIXED = {0: ("'true'", "TRUE"), 1: ("CAST(CAST(floor(value) AS BIGINT) AS STRING)", "floor(value) <> 0"), 2: ("'\"2\"'", "NULL"), 3: ("'\" Yes\"'", "TRUE"),
+          4: ("'0.0'", "FALSE"), 5: ("'null'", "NULL"), 6: ("'[1]'", "NULL"), 7: ("'\"0\"'", "FALSE"), 8: ("'2.5'", "TRUE")}
+
+
+def _mixed(shift: int, part: int) -> str:
+    return f"CASE (event_id + {shift}) % 9 " + " ".join(f"WHEN {k} THEN {v[part]}" for k, v in _MIXED.items()) + " END"
+
+
+@query(
+    "s2_mixed_flags",
+    f"""SELECT event_id AS id, {_mixed(0, 1)} AS mysql_pred_success, {_mixed(1, 1)} AS mariadb_pred_success, {_mixed(2, 1)} AS mysql_ex,
+      {_mixed(3, 1)} AS mysql_vs_mariadb_match FROM @events""",
+)
+def s2_mixed(spark, sf):
+    """Numbers, texts and booleans in one field of one file stay apart."""
+    path = scratch_path(spark, "mixed-flags")
+    lines = run(spark, sf, f"""SELECT concat('{{"id": ', event_id, ', "mysql_pred_success": ', {_mixed(0, 0)}, ', "mariadb": {{"success": ',
+      {_mixed(1, 0)}, ', "execution_time_s": 0.5}}, "mysql_pred_vs_gold_match": ', {_mixed(2, 0)}, ', "mysql_vs_mariadb_match": ', {_mixed(3, 0)}, '}}') AS line
+      FROM @events""", busy="events")
+    lines.write.text(path)
+    return canonical_runlog(read_runlog(spark, path)).select("id", "mysql_pred_success", "mariadb_pred_success", "mysql_ex", "mysql_vs_mariadb_match")
+
+
 @query(
     "k1_runlog_sink",
     """SELECT CAST(event_id AS BIGINT) AS id, 37 AS n_keys, TRUE AS has_null_keys FROM @events""",

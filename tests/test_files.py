@@ -259,3 +259,17 @@ def test_whole_run(spark, tmp_path):
     assert got[1]["mysql_pred.success"] is False and got[3].pred_sql == "SELECT 1;" and got[3]["mysql_gold.success"] is False
     top = report(records).first()
     assert (top.dataset, top.n_questions, top.mysql_execution_accuracy_ex) == ("shop", 4, 0.5)
+
+
+def test_flags_keep_their_json_type(spark, tmp_path):
+    """A number counts, a text of the same number does not; null leaves the decision to the next spelling."""
+    cases = [("2", True), ('"2"', None), ("0", False), ("0.0", False), ("-2.5", True), ("true", True), ('" No "', False), ('"0"', False),
+             ("null", None), ("{}", None), ("[true]", None), ("123456789012345678901234567890", True), ('""', None)]
+    lines = [f'{{"id": {k}, "mysql_pred_success": {v}, "mysql_gold": {{"success": {v}}}, "mariadb_pred.success": {v}, "mysql_vs_mariadb_match": {v}}}' for k, (v, _) in enumerate(cases)]
+    lines += ['{"id": 90, "mysql": {"success": null}, "mysql_pred.success": 0, "mysql_pred_success": true}', '{"id": 91, "mysql": {"success": "maybe"}, "mysql_pred_success": true}']
+    (tmp_path / "log.jsonl").write_text("\n".join(lines))
+    rows = {r.id: r for r in canonical_runlog(read_runlog(spark, str(tmp_path))).collect()}
+    for k, (text, want) in enumerate(cases):
+        r = rows[k]
+        assert (r.mysql_pred_success, r.mysql_gold_success, r.mariadb_pred_success, r.mysql_vs_mariadb_match) == (want,) * 4, text
+    assert rows[90].mysql_pred_success is False and rows[91].mysql_pred_success is None
