@@ -10,11 +10,21 @@ from pyspark.sql import functions as F
 from ..plans.scratch import materialize
 
 
+RUN_KEYS = ("llm", "dataset", "rdbms")
+
+
 def write_runlog(records: DataFrame, path: str, partitioned: bool = False) -> None:
-    """One JSON object per record with nulls written; optionally in llm/dataset/rdbms folders."""
-    writer = records.write.mode("append").option("ignoreNullFields", "false")
+    """One JSON object per record with nulls written.
+
+    Without ``partitioned`` records are added to what is there. With it they go to llm/dataset/rdbms folders, one per run,
+    and a rerun is idempotent: it replaces the folders of the runs it has records of and leaves all others alone. Spark
+    swaps the folders when the job commits, so a run that fails or loses executors leaves the earlier records in place.
+    """
+    writer = records.write.option("ignoreNullFields", "false")
     if partitioned:
-        writer = writer.partitionBy("llm", "dataset", "rdbms")
+        writer = writer.partitionBy(*RUN_KEYS).mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    else:
+        writer = writer.mode("append")
     writer.json(path)
 
 

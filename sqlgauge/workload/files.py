@@ -135,6 +135,24 @@ def k3(spark, sf):
     return found.groupBy(name.alias("name")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "k3_rerun",
+    f"""SELECT llm || '_benchmark_' || dataset || '_mysql' AS name, count(*) AS n, count(DISTINCT id) AS n_ids,
+      count(*) FILTER (WHERE llm = 'alpha') AS n_new FROM ({FLAT}) f GROUP BY llm, dataset""",
+)
+def k3_rerun(spark, sf):
+    """The runs of one model are written anew, twice; theirs are replaced and those of the other stay."""
+    log, path = _written(spark, sf, True)
+    again = log.where("llm = 'alpha'").withColumn("pred_sql", F.lit("SELECT again"))
+    for _ in range(2):
+        write_runlog(again, path, partitioned=True)
+    found = spark.read.schema("id long, pred_sql string, llm string, dataset string, rdbms string").json(path)
+    name = runlog_name(F.col("llm"), F.col("dataset"), F.col("rdbms"))
+    return found.groupBy(name.alias("name")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("n_ids"), F.count_if(F.col("pred_sql") == "SELECT again").alias("n_new")
+    )
+
+
 @query("s3_metrics_csv", f"SELECT dataset, id, {', '.join(f'coalesce({c}, FALSE) AS {c}' for c in _FLAG_COLUMNS)} FROM ({FLAT}) f")
 def s3_csv(spark, sf):
     path = scratch_path(spark, "metrics")

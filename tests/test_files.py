@@ -273,3 +273,23 @@ def test_flags_keep_their_json_type(spark, tmp_path):
         r = rows[k]
         assert (r.mysql_pred_success, r.mysql_gold_success, r.mariadb_pred_success, r.mysql_vs_mariadb_match) == (want,) * 4, text
     assert rows[90].mysql_pred_success is False and rows[91].mysql_pred_success is None
+
+
+def test_a_rerun_replaces_its_own_runs_only(spark, tmp_path):
+    path = str(tmp_path / "runs")
+    schema = "id int, llm string, dataset string, rdbms string"
+    first = [(k, llm, "shop", "mysql") for llm in "ab" for k in range(5)]
+    write_runlog(spark.createDataFrame(first, schema), path, partitioned=True)
+    for _ in range(2):  # shorter than before, and one run that is new
+        write_runlog(spark.createDataFrame([(7, "a", "shop", "mysql"), (8, "c", "shop", "mysql")], schema), path, partitioned=True)
+    found = sorted((r.llm, r.id) for r in spark.read.schema(schema).json(path).collect())
+    assert found == [("a", 7), *(("b", k) for k in range(5)), ("c", 8)]
+
+    def failing(batches):
+        yield from batches
+        raise ValueError("lost")
+
+    with pytest.raises(Exception, match="lost"):
+        broken = spark.createDataFrame([(9, "b", "shop", "mysql")], schema)
+        write_runlog(broken.mapInPandas(failing, schema), path, partitioned=True)
+    assert sorted((r.llm, r.id) for r in spark.read.schema(schema).json(path).collect()) == found
