@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,7 +23,7 @@ def _family(dtype: T.DataType) -> str:
     return dtype.simpleString()
 
 
-#: Doubles are compared by this many significant digits, as a sum depends on the order of its rows.
+#: Doubles are compared to this many significant digits, as a sum depends on the order of its rows.
 DIGITS = 12
 
 
@@ -55,21 +55,27 @@ def _normal(value: Column, kind: T.DataType, loose_numbers: bool, digits: int |
     return value
 
 
-def _comparable(df: DataFrame, loose_numbers: bool, digits: int | None) -> DataFrame:
+def _comparable(df: DataFrame, loose_numbers: bool, digits: int | None, plain: bool = False) -> DataFrame:
     """Columns in name order as ``c0, c1, ...``; numbers of one family share a spelling, NaN counts as null.
 
-    Columns are addressed by position, so repeated names do no harm.
+    With ``plain`` a column of doubles holds the doubles themselves. Columns are addressed by position, so repeated names
+    do no harm.
     """
     placed = df.toDF(*[f"p{i}" for i in range(len(df.columns))])
     order = sorted(range(len(df.columns)), key=lambda i: df.columns[i])
+    kinds = [placed.schema.fields[i].dataType for i in order]
     return placed.select(
         *[
-            _normal(F.col(f"p{i}"), placed.schema.fields[i].dataType, loose_numbers, digits).alias(f"c{at}")
-            for at, i in enumerate(order)
+            _normal(F.col(f"p{i}"), kind, loose_numbers, None if plain and _is_float(kind, loose_numbers) else digits).alias(f"c{at}")
+            for at, (i, kind) in enumerate(zip(order, kinds))
         ]
     )
 
 
+def _is_float(kind: T.DataType, loose_numbers: bool) -> bool:
+    return _family(kind) == "float" or (loose_numbers and _family(kind) in ("integer", "decimal"))
+
+
 def _comparable_schemas(left: DataFrame, right: DataFrame, strict_types: bool) -> bool:
     names = [sorted(left.columns), sorted(right.columns)]
     if names[0] != names[1] or len(set(names[0])) != len(names[0]):
@@ -85,26 +91,54 @@ def compare_results(
 ) -> DataFrame:
     """One row ``match``: same columns (order free), same bag of rows, null equals null.
 
-    Doubles are equal when they agree in ``digits`` significant digits; None compares them bit by bit.
-
-    One shuffle: rows are tagged +1 and -1 and summed per distinct row, so copies collapse before they move.
+    Doubles are equal when they differ by less than ``10 ** (1 - digits)`` of the larger one; None compares bit by bit.
     With ``strict_types`` an integer column never equals a float column.
+
+    Rows are tagged +1 and -1 and summed per distinct row, so copies collapse before they move and equal rows cancel. What
+    is left of doubles is summed again by its first ``digits`` digits, and the little that still is left (sums on either side
+    of a rounding border) is sorted on both sides within rows of equal other values and compared one by one. Such a group
+    is sorted by one task; with several columns of doubles the first ones decide the order.
     """
     spark = left.sparkSession
     if not _comparable_schemas(left, right, strict_types):
         return spark.range(1).select(F.lit(False).alias("match"))
     if not left.columns:
         return spark.range(1).select(F.lit(True).alias("match"))
-    a = _comparable(left, not strict_types, digits)
-    b = _comparable(right, not strict_types, digits)
-    tag = "__side"
-    tagged = a.withColumn(tag, F.lit(1)).unionByName(b.withColumn(tag, F.lit(-1)))
-    uneven = (
-        tagged.groupBy(*a.columns).agg(F.sum(tag).alias(tag)).where(F.col(tag) != 0)
-    )
+    a = _comparable(left, not strict_types, digits, plain=True)
+    b = _comparable(right, not strict_types, digits, plain=True)
+    tagged = a.withColumn(_TAG, F.lit(1)).unionByName(b.withColumn(_TAG, F.lit(-1)))
+    uneven = tagged.groupBy(*a.columns).agg(F.sum(_TAG).alias(_TAG)).where(F.col(_TAG) != 0)
+    order = sorted(range(len(left.columns)), key=lambda i: left.columns[i])
+    doubles = [f"c{at}" for at, i in enumerate(order) if _is_float(left.schema.fields[i].dataType, not strict_types)]
+    if doubles and digits is not None:
+        uneven = _misaligned(uneven, [c for c in a.columns if c not in doubles], doubles, digits)
     return uneven.agg((F.count(F.lit(1)) == 0).alias("match"))
 
 
+_TAG = "__side"
+
+
+def _misaligned(uneven: DataFrame, exact: list[str], doubles: list[str], digits: int) -> DataFrame:
+    """The rows that have no partner on the other side whose doubles are close; ``_TAG`` counts copies, by side."""
+    cells = [F.format_string(f"%.{digits - 1}e", c).alias(f"_{c}") for c in doubles]
+    cells = [F.when(F.col(c).isNotNull(), cell).alias(f"_{c}") for c, cell in zip(doubles, cells)]
+    left = uneven.groupBy(*exact, *cells).agg(F.sum(_TAG).alias(_TAG), *(F.max(c).alias(c) for c in doubles)).where(F.col(_TAG) != 0)
+    keys = exact + [f"_null_{c}" for c in doubles]
+    left = left.withColumns({f"_null_{c}": F.col(c).isNull() for c in doubles}).withColumn("_first", F.col(_TAG) > 0)
+    left = left.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.abs(_TAG))))
+    place = F.row_number().over(Window.partitionBy(*keys, "_first").orderBy(*doubles))
+    pairs = left.withColumn("_place", place).groupBy(*keys, "_place").agg(
+        F.count(F.lit(1)).alias("_n"), *(f(c).alias(f"{name}{c}") for c in doubles for name, f in (("_low", F.min), ("_high", F.max)))
+    )
+
+    def apart(c: str) -> Column:
+        low, high = F.col(f"_low{c}"), F.col(f"_high{c}")
+        size = F.greatest(F.abs(low), F.abs(high))
+        return F.coalesce((low != high) & ((size == float("inf")) | (high - low >= size * 10.0 ** (1 - digits))), F.lit(False))
+
+    return pairs.where(reduce(lambda x, y: x | y, map(apart, doubles), F.col("_n") != 2))
+
+
 def fingerprint(df: DataFrame, strict_types: bool = True, digits: int | None = DIGITS) -> DataFrame:
     """One row ``rows, fingerprint``: typed column list, row count and two sums of independent row hashes.
 

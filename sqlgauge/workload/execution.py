@@ -350,6 +350,25 @@ def x3(spark, sf):
     return all_matches({n: (run_query(spark, p), run_query(spark, g)) for n, (p, g) in PAIRS.items()})
 
 
+# Sums per supplier against the same a little off: by less than the tolerance in every row, by more, and in one row only.
+_OFF = {"near": "1 + 2e-13", "far": "1 + 1e-9", "one_far": "CASE WHEN l_suppkey = 7 THEN 1 + 1e-9 ELSE 1 - 2e-13 END"}
+_SUMS = "SELECT l_suppkey, SUM(l_extendedprice * l_tax) * ({}) AS v FROM lineitem GROUP BY l_suppkey"
+
+
+@query(
+    "x3_close_sums",
+    " UNION ALL ".join(
+        f"""SELECT '{name}' AS pair, NOT EXISTS (SELECT * FROM ({_SUMS.format('1')}) a JOIN ({_SUMS.format(off)}) b USING (l_suppkey)
+        WHERE abs(a.v - b.v) >= 1e-11 * greatest(abs(a.v), abs(b.v))) AS match"""
+        for name, off in _OFF.items()
+    ),
+)
+def x3_close(spark, sf):
+    """Doubles that are close match, also on either side of a rounding border; one that is not close does not."""
+    _bind(spark, sf, "lineitem")
+    return all_matches({n: (run_query(spark, _SUMS.format("1")), run_query(spark, _SUMS.format(off))) for n, off in _OFF.items()})
+
+
 _FAILED_PAIRS = {"bad_pred": (FAILING["unknown_column"], PAIRS["same"][1]), "bad_gold": (PAIRS["same"][0], FAILING["not_sql"])}
 
 

@@ -54,6 +54,33 @@ def test_result_equality(spark, name, a, sa, b, sb, want):
     assert (fingerprint(left).first().fingerprint == fingerprint(right).first().fingerprint) is want
 
 
+_LOW, _HIGH = 1.0000000000049998, 1.0000000000050002  # the border of twelve digits lies between
+CLOSE = [
+    ("either side of a border", [(_LOW,)], [(_HIGH,)], "x double", True),
+    ("of a power of ten", [(0.9999999999999999,)], [(1.0,)], "x double", True),
+    ("copies on a border", [(_LOW,), (_LOW,), (2.0,)], [(_HIGH,), (2.0,), (_HIGH,)], "x double", True),
+    ("fewer copies", [(_LOW,), (_LOW,)], [(_HIGH,), (2.0,)], "x double", False),
+    ("other groups", [(1, _LOW), (2, 5.0)], [(2, _HIGH), (1, 5.0)], "k int, x double", False),
+    ("equal groups", [(1, _LOW), (2, _HIGH), (None, _LOW)], [(None, _HIGH), (1, _HIGH), (2, _LOW)], "k int, x double", True),
+    ("two columns", [(_LOW, -_LOW), (3.0, 4.0)], [(3.0, 4.0), (_HIGH, -_HIGH)], "x double, y double", True),
+    ("one of two columns", [(_LOW, 1.0)], [(_HIGH, 1.1)], "x double, y double", False),
+    ("null or border", [(_LOW, None)], [(_HIGH, 0.0)], "x double, y double", False),
+    ("infinity", [(float("inf"),)], [(1.7e308,)], "x double", False),
+    ("infinities", [(float("inf"), _LOW)], [(float("inf"), _HIGH)], "x double, y double", True),
+    ("just too far", [(1.0,)], [(1.00000000002,)], "x double", False),
+    ("zero and little", [(0.0,)], [(1e-300,)], "x double", False),
+    ("signs", [(-_LOW,)], [(_LOW,)], "x double", False),
+]
+
+
+@pytest.mark.parametrize("name, a, b, schema, want", CLOSE, ids=[c[0] for c in CLOSE])
+def test_close_doubles(spark, name, a, b, schema, want):
+    for left, right in ((a, b), (b, a)):
+        assert compare_results(df(spark, left, schema), df(spark, right, schema)).first().match is want
+    if want:
+        assert compare_results(df(spark, a, schema), df(spark, b, schema), digits=None).first().match is (sorted(map(str, a)) == sorted(map(str, b)))
+
+
 def test_loose_types_and_duplicate_names(spark):
     a, b = df(spark, [(1,)], "x int"), df(spark, [(1.0,)], "x double")
     assert compare_results(a, b, strict_types=False).first().match is True
