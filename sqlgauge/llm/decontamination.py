@@ -9,6 +9,7 @@ backward at once, occurrences are located by walking to a sampled position, and
 The benchmark is the stated query set. It is streamed to the driver in blocks of at most ``BLOCK_WORDS`` words;
 each block is broadcast and searched in its own narrow step over all rows, so no size of benchmark is cut.
 
+Benchmark rows without an id are searched like others: their phrases are hits and spans, only a name for _items is lacking.
 Null and empty texts have no words and no hits; repeated rows and ids are judged row by row; further columns of the
 input pass through unchanged.
 """
@@ -131,11 +132,13 @@ class Phrases:
         self.vocabulary: dict[bytes, int] = {}
         self.found: dict[tuple[int, ...], set[str]] = {}
 
-    def add(self, item: str, text: str | None) -> None:
+    def add(self, item: str | None, text: str | None) -> None:
         code = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
         self.total += len(code)
         for start in range(max(1, len(code) - self.size + 1) if code else 0):
-            self.found.setdefault(tuple(code[start : start + self.size]), set()).add(item)
+            named = self.found.setdefault(tuple(code[start : start + self.size]), set())
+            if item is not None:
+                named.add(item)
 
     def close(self) -> Phrases:
         self.sizes = np.array([len(p) for p in self.found], np.int64)
@@ -156,8 +159,6 @@ def phrase_blocks(benchmark: DataFrame, id_col: str, text_col: str, size: int, l
     block = Phrases(size)
     rows = benchmark.select(F.col(id_col).cast("string"), F.col(text_col).cast("string"))
     for item, text in rows.toLocalIterator():
-        if item is None:
-            continue
         block.add(item, text)
         if block.total >= limit:
             yield block.close()
@@ -223,8 +224,9 @@ def search_shard(texts: list[str | None], block: Phrases):
     pair = np.unique(document * len(block.sizes) + phrase)
     document, phrase = pair // len(block.sizes), pair % len(block.sizes)
     held = block.held_sizes[phrase]
-    pair = np.unique(np.repeat(document, held) * len(block.items) + block.held[ranges(block.held_start[phrase], held)])
-    return sizes, spans, (pair // len(block.items), pair % len(block.items))
+    width = max(1, len(block.items))  # none of the found may have a name
+    pair = np.unique(np.repeat(document, held) * width + block.held[ranges(block.held_start[phrase], held)])
+    return sizes, spans, (pair // width, pair % width)
 
 
 SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))

@@ -53,6 +53,16 @@ def test_blocks_of_the_query_set_give_the_same_result(spark):
     assert [(s["start"], s["end"]) for s in sorted(whole)[0]["_spans"]] == [(1, 11)]
 
 
+@pytest.mark.parametrize("items", [[(None, "p q r s t u v w x y z")], [(4, "l m n"), (None, "p q r s t u v w x y z"), (None, None), (5, "p q r s t u v w x y")]])
+def test_items_without_an_id_are_hits_without_a_name(spark, items):
+    docs = spark.createDataFrame([(1, "a p q r s t u v w x y z b"), (2, "p q r"), (3, "k l m n")], "doc_id long, text string")
+    asked = spark.createDataFrame(items, "item_id long, text string")
+    for words in (D.BLOCK_WORDS, 1):
+        rows = {r["doc_id"]: r for r in D.find_contamination(docs, asked, block_words=words).collect()}
+        assert [(s["start"], s["end"]) for s in rows[1]["_spans"]] == [(1, 12)] and rows[1]["_items"] == [str(i) for i, _ in items[3:]]
+        assert rows[2]["_spans"] == [] and rows[3]["_items"] == [str(i) for i, _ in items[:1] if i is not None]
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None), (2, "")]])
 def test_empty_tables(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_words", F.lit("clash"))
