@@ -1,14 +1,17 @@
 """Toxicity by a weighted finite-state grammar of clauses.
 
-Three small transducers read a clause word by word: a target raises what follows, a negation and reported speech lower
-it. Their composition is one automaton. Insults and threats are no part of it: they are lexicon entries whose weights are
-looked up word by word and multiplied by the automaton's factor at that place, also in a clause that holds nothing else.
-A clause's score is the sum of these. Insults are learnt: words and word beginnings whose rate in toxic texts is far above that in clean ones. The
-other word lists are fixed and short. A document's features are the scores of its clauses, and a logistic curve over
-them gives the score.
+Five small transducers read a clause word by word, one behind the other: reported speech and negation lower the weight of
+the insults and threats behind them, a target turns the insults and threats behind it into directed ones, and the insult
+and the threat transducer weigh what arrives: a match that is not directed stays open for a few words, and a target
+there directs it after all ("kill you"). Their composition is one automaton over word classes, and a clause's score is
+the sum along its path: an entry's weight times the weight of the pattern it stands in. Insults are learnt: words and
+word beginnings whose rate in toxic texts is far above that in clean ones. The other word lists are fixed and short. A
+clause is read once, from its true start to its true end, however long it is. A document's features are the scores of
+its clauses, and a logistic curve over them gives the score.
 
 Learning uses labelled rows whose crc32(doc_id as text) mod 5 is not 0, at most ``MAX_TRAINING`` of them (chosen by a
-hash of the id); the lexicon holds at most ``MAX_ENTRIES`` entries, so the broadcast model is bounded. Every document
+hash of the id). An entry of the lexicon stands in ``MIN_SHARE`` of the toxic ones at least, so there are at most
+1 / ``MIN_SHARE`` times as many entries as such a text has on average, and the model needs no other bound. Every document
 is scored by its whole text only. Without labels of both kinds the score is the share of toxic labels (0 with none).
 
 Null and empty texts are scored like any text (no clause). Rows are judged one by one.
@@ -19,9 +22,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,6 @@ from pyspark.sql import functions as F
 from .common import extended, prepared, slices, with_columns
 
 MAX_TRAINING = 20_000
-MAX_ENTRIES = 1_000
 MIN_SHARE = 0.02
 MIN_WEIGHT = 2.0
 STEMS = range(4, 9)
@@ -41,58 +42,108 @@ TARGETS = "you your yours he she they them him her du dich ihr euch sie tu toi v
 NEGATIONS = "not no never isn't aren't don't nicht kein keine nie pas jamais aucun nunca jamás ningún".split()
 REPORTS = "said says say reported quoted wrote claimed sagte schrieb zitiert dit écrit cité dijo escribió citado".split()
 
-_CLAUSE = re.compile(r"[.!?;:\n]+")
+BORDERS = ".!?;:\n"
+_CLAUSE = re.compile(f"[{BORDERS}]")
 _WORD = re.compile(r"[\w']+")
 
 
+#: What an insult or threat counts for in each context; a bare one counts 1.
+FACTORS = {"target": 1.25, "negated": 0.5, "reported": 0.7}
+#: What a match counts for in addition when a target follows it.
+FOLLOWED = {"insult": 0.25, "threat": 0.5}
+#: For how many words behind them targets, negations and open matches reach.
+REACH = {"target": 4, "negation": 3, "insult": 4, "threat": 4}
+KINDS = ("insult", "threat", "target", "negation", "report", "other")
+HITS = ("insult", "threat")
+
+
 class Transducer:
-    """States 0..n-1; a word class leads from state to state and emits a mark on the words after it."""
+    """States 0..n-1. ``arcs`` maps a state and a symbol to the next state, the symbol passed on, and a weight.
 
-    def __init__(self, steps: dict[tuple[int, str], int], states: int, mark: dict[int, str]) -> None:
-        self.steps, self.states, self.mark = steps, states, mark
+    Without an arc of its own a symbol passes unchanged with weight 1, and the state falls by one (``fades``) or stays.
+    """
 
-    def next(self, state: int, kind: str) -> int:
-        return self.steps.get((state, kind), self.steps.get((state, "*"), state))
+    def __init__(self, arcs: dict[tuple[int, str], tuple[int, str, float]], fades: bool = True) -> None:
+        self.arcs, self.fades = arcs, fades
 
+    def step(self, state: int, symbol: str) -> tuple[int, str, float]:
+        return self.arcs.get((state, symbol), (max(0, state - 1) if self.fades else state, symbol, 1.0))
 
-def _near(kind: str, reach: int, name: str) -> Transducer:
-    """Marks the ``reach`` words behind a word of this class."""
-    steps = {(s, "*"): max(0, s - 1) for s in range(reach + 1)} | {(s, kind): reach for s in range(reach + 1)}
-    return Transducer(steps, reach + 1, {s: name for s in range(1, reach + 1)})
 
+def reported_speech() -> Transducer:
+    """Lowers every match behind a reporting word, up to the clause's end."""
+    return Transducer({(0, "report"): (1, "report", 1.0), **{(1, h): (1, h, FACTORS["reported"]) for h in HITS}}, fades=False)
 
-def _rest(kind: str, name: str) -> Transducer:
-    """Marks all words behind a word of this class, up to the clause's end."""
-    return Transducer({(0, kind): 1}, 2, {1: name})
 
+def negation() -> Transducer:
+    """Lowers the matches close behind a negation."""
+    reach = REACH["negation"]
+    opened = {(s, "negation"): (reach, "negation", 1.0) for s in range(reach + 1)}
+    return Transducer({**opened, **{(s, h): (s - 1, h, FACTORS["negated"]) for s in range(1, reach + 1) for h in HITS}})
 
-#: What an insult or threat counts for under each mark.
-FACTORS = {"target": 1.25, "negated": 0.5, "reported": 0.7}
-KINDS = ("insult", "threat", "target", "negation", "report", "other")
+
+def target() -> Transducer:
+    """Passes the matches close behind a target on as directed ones."""
+    reach = REACH["target"]
+    opened = {(s, "target"): (reach, "target", 1.0) for s in range(reach + 1)}
+    return Transducer({**opened, **{(s, h): (s - 1, "directed " + h, 1.0) for s in range(1, reach + 1) for h in HITS}})
+
+
+def match(kind: str) -> Transducer:
+    """Weighs directed matches of this kind at once; others stay open until a target directs them or a further match comes."""
+    reach = REACH[kind]
+    arcs = {}
+    for state in range(reach + 1):
+        arcs[state, kind] = (reach, kind, 1.0)
+        arcs[state, "directed " + kind] = (0, "directed " + kind, FACTORS["target"])
+        for other in (h for h in HITS if h != kind):
+            arcs[state, other] = (0, other, 1.0)
+            arcs[state, "directed " + other] = (0, "directed " + other, 1.0)
+        if state:
+            arcs[state, "target"] = (0, "directs", FOLLOWED[kind])
+    return Transducer(arcs)
 
 
 class Grammar:
-    """The composition: one transition table and one factor for each product state."""
+    """The composition of transducers: the symbols one passes on are the next one's, and the weights multiply.
+
+    ``arcs[kind][state]`` is (next state, what happens, weight) for the states that can be reached.
+    """
+
+    OPENS, COUNTS, CLOSES, PASSES = range(4)
 
     def __init__(self, parts: list[Transducer]) -> None:
-        states = list(product(*(range(p.states) for p in parts)))
-        number = {s: k for k, s in enumerate(states)}
-        self.next = {
-            kind: [number[tuple(p.next(s, kind) for p, s in zip(parts, state))] for state in states] for kind in KINDS
-        }
-        self.factor = [math.prod(FACTORS[p.mark[s]] for p, s in zip(parts, state) if s in p.mark) for state in states]
-
-    def score(self, clause: list[tuple[str, float]]) -> float:
-        state, total = 0, 0.0
+        does = {h: self.OPENS for h in HITS} | {"directed " + h: self.COUNTS for h in HITS} | {"directs": self.CLOSES}
+        number = {(0,) * len(parts): 0}
+        self.arcs: dict[str, list[tuple[int, int, float]]] = {kind: [] for kind in KINDS}
+        for state in (reached := list(number)):  # grows while it is read
+            for kind in KINDS:
+                symbol, weight, following = kind, 1.0, []
+                for part, own in zip(parts, state):
+                    after, symbol, factor = part.step(own, symbol)
+                    weight *= factor
+                    following.append(after)
+                if (following := tuple(following)) not in number:
+                    number[following] = len(number)
+                    reached.append(following)
+                self.arcs[kind].append((number[following], does.get(symbol, self.PASSES), weight))
+
+    def score(self, clause: Iterable[tuple[str, float]]) -> float:
+        state, total, held = 0, 0.0, 0.0
         for kind, weight in clause:
-            if weight:
-                total += weight * self.factor[state]
-            state = self.next[kind][state]
+            state, action, factor = self.arcs[kind][state]
+            if action == self.PASSES:
+                continue
+            if action == self.CLOSES:
+                total += held * factor
+            else:
+                held = weight * factor
+                total += held
         return total
 
 
 def grammar() -> Grammar:
-    return Grammar([_near("target", 4, "target"), _near("negation", 3, "negated"), _rest("report", "reported")])
+    return Grammar([reported_speech(), negation(), target(), match("insult"), match("threat")])
 
 
 @dataclass
@@ -129,29 +180,28 @@ class Model:
         return self.fixed.get(word, "other"), 0.0
 
     def clauses(self, text: str) -> list[float]:
-        """Scores of the clauses that hold an insult or a threat."""
+        """Scores of the clauses that hold an insult or a threat; each such clause is read once, word by word."""
         low = text.lower()
         if not len(self.finder):
             return []
-        spots = [end - n + 1 for end, n in self.finder.iter(low)]
-        found, done = [], -1
-        for spot in sorted(spots):
+        found, done = [], 0
+        for spot in sorted(end - n + 1 for end, n in self.finder.iter(low)):
             if spot < done or (spot and (low[spot - 1].isalnum() or low[spot - 1] == "_")):
                 continue
-            start = max((low.rfind(c, max(0, spot - 2000), spot) for c in ".!?;:\n"), default=-1) + 1
+            start = max(low.rfind(c, done, spot) for c in BORDERS) + 1 or done
             stop = _CLAUSE.search(low, spot)
             done = stop.start() if stop else len(low)
-            clause = [self.weigh(w) for w in _WORD.findall(low, max(start, spot - 2000), min(done, spot + 20_000))]
-            done = min(done, spot + 20_000)
-            score = self.grammar.score(clause)
-            if score:
+            if score := self.grammar.score(self.weigh(w.group()) for w in _WORD.finditer(low, start, done)):
                 found.append(score)
         return found
 
     def features(self, text: str | None) -> list[float]:
-        scores = self.clauses(text) if text else []
-        total = sum(scores)
-        return [1.0, math.log1p(total), math.log1p(len(scores)), max(scores, default=0.0) / 5, math.log1p(total) * math.log1p(len(text or "") / 1000)]
+        return self.measures(self.clauses(text) if text else [], len(text or ""))
+
+    def measures(self, scores: list[float], length: int) -> list[float]:
+        """What the curve reads of a text of this length whose clauses have these scores."""
+        total = math.log1p(sum(scores))
+        return [1.0, total, math.log1p(len(scores)), max(scores, default=0.0) / 5, total * math.log1p(length / 1000)]
 
     def probability(self, features: list[float]) -> float:
         z = sum(a * b for a, b in zip(self.curve, features))
@@ -227,7 +277,7 @@ def fit(
     least = max(5, math.ceil(MIN_SHARE * sizes["d1"]))
     top = (
         counted.where((F.col("entry") != "") & (F.col("d1") >= least)).withColumn("weight", weight)
-        .where(F.col("weight") >= MIN_WEIGHT).orderBy(F.desc(F.col("weight") * F.sqrt("d1")), "entry").limit(MAX_ENTRIES)
+        .where(F.col("weight") >= MIN_WEIGHT).orderBy(F.desc(F.col("weight") * F.sqrt("d1")), "entry")
     )
     rows = top.collect()
     longest: dict[tuple, str] = {}  # of beginnings that stand for the same words, the longest
@@ -280,9 +330,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         for batch in slices(batches, text_col, 2 << 20):
             values, clauses = [], []
             for text in batch.column(batch.schema.get_field_index(text_col)).to_pylist():
-                features = own.features(text)
-                values.append(own.probability(features))
-                clauses.append(own.clauses(text) if text and features[1] else [])
+                clauses.append(own.clauses(text) if text else [])
+                values.append(own.probability(own.measures(clauses[-1], len(text or ""))))
             yield with_columns(
                 batch, {"_toxicity": pa.array(values, pa.float64()), "_clauses": pa.array(clauses, pa.list_(pa.float64()))}
             )

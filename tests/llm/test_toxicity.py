@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 
 import pytest
@@ -59,6 +60,61 @@ def test_grammar_scores_clauses_not_words():
     assert model.clauses("kill") == [3.0] and model.clauses("amufti muftis") == [] and model.clauses("") == []
 
 
+def by_hand(model, text):
+    """Clause scores by looking around each hit instead of by an automaton."""
+    found = []
+    for clause in re.split("[.!?;:\n]", text.lower()):
+        words = [model.weigh(w) for w in re.findall(r"[\w']+", clause)]
+        kinds = [k for k, _ in words]
+        total = 0.0
+        for at, (kind, weight) in enumerate(words):
+            if not weight:
+                continue
+            if "report" in kinds[:at]:
+                weight *= T.FACTORS["reported"]
+            if "negation" in kinds[max(0, at - T.REACH["negation"]) : at]:
+                weight *= T.FACTORS["negated"]
+            if "target" in kinds[max(0, at - T.REACH["target"]) : at]:
+                total += weight * T.FACTORS["target"]
+                continue
+            total += weight
+            for after in kinds[at + 1 : at + 1 + T.REACH[kind]]:
+                if after in T.HITS:
+                    break
+                if after == "target":
+                    total += weight * T.FOLLOWED[kind]
+                    break
+        if total:
+            found.append(total)
+    return found
+
+
+def test_clauses_equal_brute_force():
+    model = T.Model(words={"mufti": 4.0, "blatschig": 2.5}, stems={"zorg": 3.0}).compile()
+    rng = random.Random(4)
+    words = ["mufti", "blatschig", "zorgelich", "kill", "you", "not", "said", "tion", "ander", "amufti", "they", "burn", "loren"]
+    for _ in range(3000):
+        text = "".join(rng.choice(words) + rng.choice([" ", " ", " ", ", ", ". ", "!?", "\n", ": "]) for _ in range(rng.randrange(40)))
+        assert model.clauses(text) == pytest.approx(by_hand(model, text), rel=1e-12), text
+
+
+def test_insults_and_threats_are_patterns_of_the_composition():
+    model = T.Model(words={"mufti": 4.0}).compile()
+    assert model.clauses("i will kill you") == [3.0 * (1 + T.FOLLOWED["threat"])]
+    assert model.clauses("a mufti are you") == [4.0 * (1 + T.FOLLOWED["insult"])]
+    assert model.clauses("a mufti are you all, you") == [4.0 * (1 + T.FOLLOWED["insult"])]  # directed once
+    assert model.clauses("you mufti you") == [4.0 * T.FACTORS["target"]]
+    assert model.clauses("a mufti tion tion tion tion you") == [4.0]
+    assert len(T.grammar().arcs["other"]) > 30
+
+
+def test_long_clauses_are_read_whole():
+    model = T.Model(words={"mufti": 4.0}).compile()
+    assert model.clauses("he said" + " tion" * 700 + " mufti") == pytest.approx([4.0 * T.FACTORS["reported"]])
+    assert model.clauses("mufti " * 9000) == [36_000.0]
+    assert model.clauses("tion " * 100_000 + "mufti. " + "mufti, " * 20_000) == [4.0, 80_000.0]
+
+
 def test_labels_of_one_kind_or_none(spark, tables):
     docs = doc_rows(spark, tables[0][:20]).withColumn("toxic", F.lit("clash"))
     for labels, value in (([], 0.0), ([(1, 1, 0), (2, 1, None)], 0.0), ([(1, 1, 1), (2, 1, 1), (3, 1, 1)], 1.0)):
