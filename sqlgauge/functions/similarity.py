@@ -7,6 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -71,5 +72,12 @@ def two_best_matches(tokens: pd.Series, names: pd.Series) -> pd.Series:
 
 # Declared non-deterministic so that the optimizer keeps one call per row instead of copying it into every
 # expression that uses its result.
+similarity_ratio = similarity_ratio.asNondeterministic()
 best_ratio_per_group = best_ratio_per_group.asNondeterministic()
 two_best_matches = two_best_matches.asNondeterministic()
+
+
+def ratio_bound(a: Column, b: Column) -> Column:
+    """No ratio of ``a`` and ``b`` is higher: matching blocks hold only letters that both sides have."""
+    common = F.least(*(F.length(x) - F.length(F.call_function("translate", x, y, F.lit(""))) for x, y in ((a, b), (b, a))))
+    return 2.0 * common / F.greatest(F.length(a) + F.length(b), F.lit(1))

@@ -109,7 +109,7 @@ def match_tables(
     )
     rows = rows.withColumn(
         "_near",
-        two_best_matches(F.col("_open"), F.col(tables)),
+        two_best_matches(F.col("_open"), F.when(F.size("_open") > 0, F.col(tables))),  # names travel only where asked for
     )
 
     def near(token: Column) -> Column:

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.idents import STOPWORDS, identifier_tokens, question_tokens
-from ..functions.similarity import similarity_ratio
 from ..functions.sqltext import schema_preview
 from ..operators import catalog as C
 from ..operators import linking as L
 from ..operators import prompts as P
+from ..operators.similarity import add_ratio
 from ..plans.scratch import materialize
 from ..sources.corpus import manifest_rows
 from ..sources.ddl import choose_dialect, parse_columns, parse_foreign_keys, spark_type
@@ -166,7 +166,7 @@ _NAME_RATIOS = ", ".join(
 )
 def l6(spark, sf):
     parts = run(spark, sf, "SELECT p_partkey, p_name, lower(p_type) AS kind FROM @part")
-    return parts.select("p_partkey", F.round(similarity_ratio("p_name", "kind"), 6).alias("ratio"))
+    return add_ratio(parts, "p_name", "kind").select("p_partkey", F.round("ratio", 6).alias("ratio"))
 
 
 def _scores(fuzzy: bool) -> str:
