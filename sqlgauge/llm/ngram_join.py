@@ -3,13 +3,15 @@
 A document is the set of its 5-word shingles (of all its words if it has fewer). Documents with equal sets are one node
 that remembers its copies. Bands and rows follow from the wanted recall at the threshold (``bands_for``); nodes that
 share a band hash are tied to the smallest node of that hash, and the ties' connected components are the candidate
-groups. Each group's sets meet once: small groups share buckets, a large group is cut into blocks by hash and each pair
-of blocks is one task, so no task holds more than two blocks and no pair is a row. A task counts the shared shingles of
-all its pairs, and gives back each node's links and a spanning tree of the linked nodes. Classes are the components of
-those trees.
-
-Documents without words have no links and are their own class. Rows with equal ids are taken as one document. Null
-ids take part, with a hash of the text in place of an id; a class's id is its smallest id that is not null.
+groups. Small groups share buckets and are checked whole. A large group is cut into blocks along the parts that
+formed it, and only blocks that share a band hash meet: a long chain of groups takes work in proportion to its length,
+and every pair that shares a band is checked. Each pair of blocks is one task, so no task holds more than two blocks and
+no pair is a row. A task counts the shared shingles of all its pairs, and gives back each node's links and a spanning
+tree of the linked nodes. Classes are the components of those trees.
+
+Documents without words have no links and are their own class. Rows with equal ids are taken as one document; if their
+texts differ and both have near copies, the set whose bytes come first is compared. Null ids take part, with a hash of
+the text in place of an id; a class's id is its smallest id that is not null.
 """
 
 from __future__ import annotations
@@ -33,6 +35,9 @@ RECALL = 0.9999
 ROWS = 6
 BLOCK_NODES = 500
 BLOCK_SHINGLES = 1 << 20
+#: A product takes a cell of a tile in about this share of the time that a list takes for one of its pairs.
+PRODUCT_GAIN = 32
+TILE_CELLS = 1 << 22
 
 _INSIDE = np.zeros(256, bool)
 _INSIDE[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
@@ -122,7 +127,8 @@ def _sketch_step(size: int, bands: int, rows: int):
     return run
 
 
-SETS = "id long, comp long, blocks int, copies long, shingles binary"
+CARRIED = ["id", "comp", "block", "meets", "alone", "copies"]
+SETS = "id long, comp long, block int, meets array<int>, alone boolean, copies long, shingles binary"
 
 
 def _sets_step(size: int):
@@ -131,28 +137,52 @@ def _sets_step(size: int):
             sets, sizes = shingle_sets(batch.column(batch.schema.get_field_index("text")).to_pylist(), size)
             ends = np.cumsum(sizes).tolist()
             blobs = [sets[e - n : e].tobytes() for e, n in zip(ends, sizes.tolist())]
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in ("id", "comp", "blocks", "copies")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(blobs, pa.binary())], names=["id", "comp", "blocks", "copies", "shingles"])
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in CARRIED]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(blobs, pa.binary())], names=[*CARRIED, "shingles"])
 
     return run
 
 
+def _shared_common(row: np.ndarray, column: np.ndarray, n: int, kind: type) -> np.ndarray:
+    """How many columns each two of ``n`` rows share, by products of tiles of columns; ``column`` ascends."""
+    shared = np.zeros((n, n), kind)
+    width = max(1, TILE_CELLS // n)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        here = slice(*np.searchsorted(column, [low, low + width]))
+        tile = np.zeros((n, int(column[here][-1]) + 1 - low), kind)
+        tile[row[here], column[here] - low] = 1
+        shared += tile @ tile.T
+    return shared
+
+
 def linked(ids: np.ndarray, side: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], threshold: float, own: bool):
-    """Links (partners with their copies) and tree root of each node; ``own``: pairs inside the one block, too."""
+    """Links (partners with their copies) and tree root of each node; ``own``: pairs inside the one block, too.
+
+    Shingles that many of the sets hold are counted by matrix products, the others along the lists of their holders."""
     n = len(ids)
     sizes = np.array([len(s) for s in sets], np.int64)
     joined = np.concatenate(sets)
     owner = np.repeat(np.arange(n), sizes)
     order = np.argsort(joined, kind="stable")
     value, holder = joined[order], owner[order]
-    first = np.searchsorted(value, joined, side="left")
-    many = np.searchsorted(value, joined, side="right") - first
+    fresh = np.ones(len(value), bool)
+    fresh[1:] = value[1:] != value[:-1]
+    number = np.cumsum(fresh) - 1
+    held = np.bincount(number, minlength=1)
+    common = held * held * PRODUCT_GAIN > n * n
+    dense = common[number]
+    kind = np.float32 if sizes.max() < 1 << 24 else np.float64  # counts stay exact
+    shared = _shared_common(holder[dense], (np.cumsum(common) - 1)[number[dense]], n, kind)
+    mine = np.empty(len(joined), np.int64)
+    mine[order] = number
+    first = (np.cumsum(held) - held)[mine]
+    many = np.where(common, 0, held)[mine]
     links, root, at = np.zeros(n, np.int64), np.arange(n), 0
     for k in range(n):
-        mine = slice(at, at + sizes[k])
+        part = slice(at, at + sizes[k])
         at += sizes[k]
-        shared = np.bincount(holder[ranges(first[mine], many[mine])], minlength=n)
-        near = shared >= threshold * (sizes + sizes[k] - shared) - 1e-9
+        both = shared[k] + np.bincount(holder[ranges(first[part], many[part])], minlength=n)
+        near = (both > 0) & (both >= threshold * (sizes + sizes[k] - both) - 1e-9)
         near[k] = False
         if not own:
             near &= side != side[k]
@@ -175,7 +205,7 @@ def _verify(threshold: float):
         side, copies = np.asarray(group.column("block")), np.asarray(group.column("copies"))
         blobs = group.column("shingles").to_pylist()
         out = [[], [], []]
-        order = np.lexsort((ids, comp))
+        order = np.array(sorted(range(len(ids)), key=lambda k: (comp[k], ids[k], blobs[k])))
         keep = np.ones(len(order), bool)  # repeated rows of one document count once
         keep[1:] = (ids[order][1:] != ids[order][:-1]) | (comp[order][1:] != comp[order][:-1])
         order = order[keep]
@@ -196,6 +226,30 @@ def row_id(id_col: str = "doc_id", text_col: str = "text") -> Column:
     return F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.lit(0), F.col(text_col)))
 
 
+def _meeting_blocks(nodes: DataFrame, member: DataFrame) -> DataFrame:
+    """Members of large groups with their block, and the blocks it ``meets``: those it shares a band hash with.
+
+    ``member`` holds id, comp, path, copies, blocks, nodes. A node goes with the largest part of its group on its path
+    that a block can hold; a first part that is larger is dealt to as many blocks as it takes."""
+    parts = member.select("comp", F.posexplode("path").alias("round", "part"))
+    crowds = parts.groupBy("comp", "round", "part").agg(F.count(F.lit(1)).alias("crowd"))
+    fits = F.col("crowd") * F.col("blocks") <= F.col("nodes")
+    steps = member.select("id", "comp", "copies", "blocks", "nodes", F.posexplode("path").alias("round", "part"))
+    steps = steps.join(crowds, ["comp", "round", "part"]).where(fits | (F.col("round") == 0))
+    homes = steps.groupBy("id", "comp", "copies", "blocks", "nodes").agg(
+        F.max_by("part", "round").alias("home"), F.max_by("crowd", "round").alias("crowd"), F.max("round").alias("round")
+    )
+    dealt = F.pmod(F.xxhash64("id"), F.ceil(F.col("crowd") * F.col("blocks") / F.col("nodes")))
+    block = F.pmod(F.pmod(F.xxhash64("home", "round"), F.col("blocks")) + dealt, F.col("blocks")).cast("int")
+    placed = materialize(homes.select("id", "comp", "copies", block.alias("block")), "placed")
+    # the blocks of one band: as many as there are blocks, however many nodes share it
+    keyed = nodes.select("id", F.explode("bands").alias("band")).join(placed, "id").groupBy("comp", "band")
+    bands = keyed.agg(F.sort_array(F.collect_set("block")).alias("all")).select("comp", "all").distinct()
+    pairs = bands.select("comp", "all", F.explode("all").alias("block")).select("comp", "block", F.explode("all").alias("other"))
+    meets = pairs.distinct().groupBy("comp", "block").agg(F.collect_set("other").alias("meets"))
+    return placed.join(meets, ["comp", "block"]).select("id", "comp", "block", "meets", F.lit(False).alias("alone"), "copies")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, threshold: float = THRESHOLD,
     recall: float = RECALL, rows: int = ROWS,
@@ -218,30 +272,33 @@ def near_duplicates(
     keyed = nodes.select("id", F.explode("bands").alias("band"))
     shared = keyed.groupBy("band").agg(F.min("id").alias("centre"), F.max("id").alias("most")).where("centre < most")
     ties = keyed.join(shared.select("band", "centre"), "band").select(F.col("id").alias("b"), F.col("centre").alias("a"))
-    groups = components(ties)
-    member = groups.join(nodes.select("id", "copies", "n"), "id")
+    groups = components(ties, path=True)
+    member = groups.join(nodes.select("id", "copies", "n"), "id")  # path: see _meeting_blocks
     sums = member.groupBy(F.col("label").alias("comp")).agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("shingles"))
     sums = sums.select(
-        "comp", "shingles",
+        "comp", "nodes", "shingles",
         F.greatest(F.ceil(F.col("nodes") / BLOCK_NODES), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"),
     )
     sums = materialize(sums, "groups")
-    total = sums.where("blocks = 1").agg(F.sum("shingles")).first()[0] or 0
-    buckets = max(64, total // (BLOCK_SHINGLES // 2))
-    member = member.select("id", F.col("label").alias("comp"), "copies").join(sums.select("comp", "blocks"), "comp")
+    total, large = sums.agg(F.sum(F.when(F.col("blocks") == 1, F.col("shingles"))), F.max("blocks")).first()
+    buckets = max(64, (total or 0) // (BLOCK_SHINGLES // 2))
+    member = member.select("id", F.col("label").alias("comp"), "path", "copies").join(sums.select("comp", "blocks", "nodes"), "comp")
+    whole = F.array(F.lit(0)).cast("array<int>")
+    held = member.where("blocks = 1").select(
+        "id", "comp", F.lit(0).alias("block"), whole.alias("meets"), F.lit(True).alias("alone"), "copies"
+    )
+    if (large or 0) > 1:
+        held = held.union(_meeting_blocks(nodes, materialize(member.where("blocks > 1"), "large-groups")))
     texts = (
         # merged at every size: the members grow with the input, so they are never broadcast
-        source.join(materialize(member, "members").withColumnRenamed("id", "row").hint("merge"), "row")
-        .select(F.col("row").alias("id"), "text", "comp", "blocks", "copies")
+        source.join(materialize(held, "members").withColumnRenamed("id", "row").hint("merge"), "row")
+        .select(F.col("row").alias("id"), "text", *CARRIED[1:])
     )
-    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    sets = texts.mapInArrow(_sets_step(size), SETS).withColumn("block", block)
-    paired = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    alone = F.col("blocks") == 1
-    grouped = paired.select(
+    sets = texts.mapInArrow(_sets_step(size), SETS)
+    grouped = sets.withColumn("other", F.explode("meets")).select(
         "id", "comp", "block", "copies", "shingles",
         F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
-        F.when(alone, F.pmod(F.xxhash64("comp"), F.lit(buckets))).otherwise(F.col("comp")).alias("bucket"), alone.alias("alone"),
+        F.when(F.col("alone"), F.pmod(F.xxhash64("comp"), F.lit(buckets))).otherwise(F.col("comp")).alias("bucket"), "alone",
     )
     found = materialize(
         grouped.groupBy("alone", "bucket", "low", "high").applyInArrow(_verify(threshold), "id long, links long, root long"),

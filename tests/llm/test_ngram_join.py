@@ -77,6 +77,41 @@ def test_large_groups_in_blocks(spark, tmp_path, monkeypatch):
     assert sorted(map(tuple, got.collect()), key=str) == expected(rows)
 
 
+def test_a_chain_of_groups_takes_work_in_proportion(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK_NODES", 5)
+    work = []
+    for length in (60, 180):
+        words = [f"w{k}" for k in range(60)]
+        rows = []
+        for k in range(length):  # each is near the next ones only
+            rows.append((k, " ".join(words)))
+            words = [*words[3:], *(f"c{k}x{j}" for j in range(3))]
+        docs, seen = doc_rows(spark, rows), []
+        plain = N.materialize
+        monkeypatch.setattr(N, "materialize", lambda df, label: seen.append((label, made := plain(df, label))) or made)
+        got = N.near_duplicates(docs).drop("_row", "_first")
+        assert sorted(map(tuple, got.collect()), key=str) == expected(rows)
+        monkeypatch.setattr(N, "materialize", plain)
+        assert any(label == "large-groups" for label, _ in seen)
+        work.append(dict(seen)["members"].selectExpr("sum(size(meets))").first()[0])
+    assert work[1] < 4.5 * work[0]  # 9 times if all blocks met
+
+
+def test_shared_shingles_by_products_and_by_lists(monkeypatch):
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, k, 40).astype(np.uint64)) for k in (50, 60, 5000, 90) * 12] + [np.zeros(0, np.uint64)]
+    ids, side, copies = np.arange(len(sets)), np.arange(len(sets)) % 2, np.ones(len(sets), np.int64)
+    brute = [
+        sum(len(np.intersect1d(a, b)) >= 0.3 * len(np.union1d(a, b)) and len(np.intersect1d(a, b)) > 0 for j, b in enumerate(sets) if j != i)
+        for i, a in enumerate(sets)
+    ]
+    for gain, cells in ((0, 1 << 22), (32, 1 << 22), (10**9, 100)):
+        monkeypatch.setattr(N, "PRODUCT_GAIN", gain)
+        monkeypatch.setattr(N, "TILE_CELLS", cells)
+        assert N.linked(ids, side, copies, sets, 0.3, True)[0].tolist() == brute
+    assert sum(brute)
+
+
 def test_empty_and_wordless_tables(spark):
     assert N.near_duplicates(doc_rows(spark, [])).count() == 0
     got = N.near_duplicates(doc_rows(spark, [(1, None), (2, ""), (3, "a b"), (None, " ")])).drop("_row", "_first")
@@ -95,6 +130,16 @@ def test_shingle_hashes_follow_the_words():
     assert list(sets[:2]) == list(sets[2:4])
 
 
+def test_components_of_ascending_chains_take_few_rounds(spark, monkeypatch):
+    from sqlgauge.llm import components as C
+
+    seen, plain = [], C.materialize
+    monkeypatch.setattr(C, "materialize", lambda df, label: seen.append(label) or plain(df, label))
+    got = C.components(spark.createDataFrame([(k, k + 1) for k in range(300)], "a long, b long"), path=True).collect()
+    assert {(r["id"], r["label"]) for r in got} == {(k, 0) for k in range(301)}
+    assert seen.count("moved") < 16 and {len(r["path"]) for r in got} == {seen.count("moved")}
+
+
 def test_components_of_chains_and_stars(spark):
     rng = np.random.default_rng(5)
     order = rng.permutation(400).tolist()
