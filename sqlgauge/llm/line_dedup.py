@@ -12,11 +12,14 @@ A null host is a host of its own. Null texts stay null and count as pages. Rows
 
 Where near copies are known (``groups``), copies do not make a text boilerplate: pages of a group that has ``min_pages``
 rows on the host, and pages that would lose all their lines, lose only lines that are above the ratio with each group
-(and each other text) counted as one page.
+(and each other text) counted as one page. Groups may be found by a function of those pages alone that hold a line above
+the ratio, as no other page loses anything; a page without such a line then counts once per distinct text.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,10 +80,12 @@ def boilerplate_lines(
 
 def drop_boilerplate(
     docs: DataFrame, host: Column | None = None, id_col: str = "doc_id", text_col: str = "text",
-    max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, row: Column | None = None, groups: DataFrame | None = None,
+    max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, row: Column | None = None,
+    groups: DataFrame | Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """All columns with the lines dropped from the text, plus _lines (not blank, before) and _dropped. ``groups`` holds
-    near copies: the ``row`` of each member (_member, once) and what names its group (_page)."""
+    near copies: the ``row`` of each member (_member, once) and what names its group (_page); or it is a function that
+    gives this for the rows of ``docs`` it gets."""
     host = F.col("source") if host is None else host
     row = F.col(id_col) if groups is None else row
     docs = docs.drop("_row_host", "_key", "_key_host", "_drop", "_some", "_copied", "_lines", "_dropped")
@@ -92,6 +97,9 @@ def drop_boilerplate(
     sets = [F.collect_set("_line").alias("_drop")]
     if groups is not None:
         found = materialize(found.select("_row", "_host", "_line"), "boilerplate-of-rows")
+        if callable(groups):
+            holders = found.select(F.col("_row").alias("_holder")).distinct()
+            groups = groups(materialize(docs.join(holders, row.eqNullSafe(F.col("_holder")), "left_semi"), "holders"))
         placed = place_pages(docs, host, F.col(text_col), row, groups)
         sure = sure_lines(found, placed, max_ratio, min_pages)
         large = placed.groupBy("_host", "_page").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_pages)
