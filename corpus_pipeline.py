@@ -6,13 +6,14 @@ written as Parquet and read again as the next one's docs. All but the last retur
 
 1. toxicity: documents whose score is 0.5 or more go.
 2. line dedup: lines above the boilerplate ratio of their source are cut; a document of nothing else goes. Copies do
-   not make a text boilerplate (see ``line_dedup``), so a group of near duplicates is left whole to the third stage.
+   not make a text boilerplate (see ``line_dedup``), so a group of near duplicates is left whole to the third stage;
+   they are looked for among the documents that hold a line above the ratio.
 3. n-gram join: of each class of near duplicates the document with the smallest id stays.
 4. decontamination: benchmark passages are cut out; a document without any word left goes.
 5. BPE: what is left, as token ids and as the text read back from them.
 
-Nulls and repeats are each operator's. In the third stage rows of one id are one document, and documents without an id
-are told apart by their texts. Further columns of the documents stay, but names that begin with an underscore are the
+Nulls and repeats are each operator's. In the second and third stage rows of one id are one document, and documents without
+an id are told apart by their texts; of different texts under one id the third stage keeps the one whose hash is least. Further columns of the documents stay, but names that begin with an underscore are the
 operators' own: such columns are left out.
 """
 
@@ -44,11 +45,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).where("_toxicity < 0.5").select(*docs.columns)
 
 
+def _copies(docs: DataFrame) -> DataFrame:
+    """Columns _member, _page: the rows that have near copies, and the document that stands for theirs."""
+    classes = ngram_join.near_duplicates(docs).where("n_links > 0")
+    return materialize(classes.groupBy(F.col("_row").alias("_member")).agg(F.min("_first").alias("_page")), "copies")
+
+
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = _plain(docs)
-    classes = ngram_join.near_duplicates(docs).where("n_links > 0")
-    groups = materialize(classes.groupBy(F.col("_row").alias("_member")).agg(F.min("_first").alias("_page")), "copies")
-    cut = line_dedup.drop_boilerplate(docs, row=ngram_join.row_id(), groups=groups)
+    cut = line_dedup.drop_boilerplate(docs, row=ngram_join.row_id(), groups=_copies)
     cut = cut.where((F.col("_dropped") == 0) | (F.col("_dropped") < F.col("_lines")))
     return cut.select(*_counted(docs, F.col("_dropped") > 0))
 
@@ -58,7 +63,8 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     classes = ngram_join.near_duplicates(docs).where(F.col("_row") == F.col("_first"))
     first = materialize(classes.select("_first").distinct(), "first-documents")
     left = docs.withColumn("_row", ngram_join.row_id()).join(first, F.col("_row") == F.col("_first"), "left_semi")
-    return left.dropDuplicates(["_row"]).select(*docs.columns)  # rows of one id are one document
+    rows = F.min_by(F.struct(*(F.col(c) for c in docs.columns)), F.xxhash64("text"))  # rows of one id are one document
+    return left.groupBy("_row").agg(rows.alias("_kept")).select(*(F.col("_kept")[c].alias(c) for c in docs.columns))
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
