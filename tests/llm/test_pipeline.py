@@ -97,6 +97,15 @@ def test_every_stage_is_registered_in_order(name):
     assert [n for n, _ in P.STAGES].index(name) == ["toxicity", "line_dedup", "ngram_join", "decontamination", "bpe"].index(name)
 
 
+def test_of_texts_under_one_id_the_same_stays(spark, tmp_path):
+    rows = [(5, "x y z"), (5, "other words"), (5, None), (6, "alone")]
+    kept = [
+        sorted((r["doc_id"], r["text"]) for r in P.keep_one_of_each(spark, doc_rows(spark, order), str(tmp_path)).collect())
+        for order in (rows, rows[::-1], [rows[1], rows[3], rows[0], rows[2]])
+    ]
+    assert kept[0] == kept[1] == kept[2] and [i for i, _ in kept[0]] == [5, 6]
+
+
 def test_of_a_group_of_copies_one_survives(spark, tmp_path):
     rng = random.Random(22)
     page = lambda k: [" ".join(f"p{k}w{rng.randint(0, 400)}" for _ in range(12)) for _ in range(10)]
