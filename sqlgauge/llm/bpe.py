@@ -25,7 +25,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from .common import NOT_LATIN, extended, latin_pattern, lists, prepared, slices, with_columns
+from .common import NOT_LATIN, extended, latin_pattern, lists, prepared, slices, tidy, with_columns
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 BATCH_BYTES = 1 << 20
@@ -236,7 +236,7 @@ def encode(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCABULARY
     """All columns plus _ids (array of int), and _decoded (the text read back from the ids) if asked for."""
     fields = "_ids array<int>" + (", _decoded string" if decoded else "")
     docs = prepared(docs, fields)
-    return docs.mapInArrow(_encode_step(vocabulary, text_col, decoded), extended(docs.schema, fields))
+    return docs.mapInArrow(tidy(_encode_step(vocabulary, text_col, decoded)), extended(docs.schema, fields))
 
 
 def decode(encoded: DataFrame, ids_col: str = "_ids", vocabulary: str = VOCABULARY) -> DataFrame:
@@ -253,4 +253,4 @@ def decode(encoded: DataFrame, ids_col: str = "_ids", vocabulary: str = VOCABULA
             forget()
 
     encoded = prepared(encoded, "_decoded string")
-    return encoded.mapInArrow(run, extended(encoded.schema, "_decoded string"))
+    return encoded.mapInArrow(tidy(run), extended(encoded.schema, "_decoded string"))

@@ -25,7 +25,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, extended, lists, merged, prepared, ranges, slices, with_columns, words
+from .common import WORD, extended, lists, merged, prepared, ranges, slices, tidy, with_columns, words
 
 PHRASE_WORDS = 10
 SHARD_BYTES = 8 << 20
@@ -258,7 +258,7 @@ def find_contamination(
         blocks = [docs.sparkSession.sparkContext.broadcast(Phrases(size).close())]
     result = docs
     for held in blocks:
-        result = result.mapInArrow(_searcher(held, text_col, schema.names), out)
+        result = result.mapInArrow(tidy(_searcher(held, text_col, schema.names)), out)
     return result
 
 
@@ -326,4 +326,4 @@ def _cutter(text_col: str, names: list[str]):
 
 def remove_spans(found: DataFrame, columns: list[str], text_col: str = "text") -> DataFrame:
     """Cut the hit words, with what stands between them, out of the texts; a line break takes their place."""
-    return found.mapInArrow(_cutter(text_col, columns), found.select(*columns).schema)
+    return found.mapInArrow(tidy(_cutter(text_col, columns)), found.select(*columns).schema)

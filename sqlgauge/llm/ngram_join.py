@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scratch import materialize
-from .common import prepared, ranges, slices
+from .common import prepared, ranges, slices, tidy
 from .components import components
 
 WORDS = 5
@@ -262,7 +262,7 @@ def near_duplicates(
         row_id(id_col, text_col).alias("row"),
     )
     bands = bands_for(threshold, recall, rows)
-    sketch = materialize(source.mapInArrow(_sketch_step(size, bands, rows), SKETCH), "sketch")
+    sketch = materialize(source.mapInArrow(tidy(_sketch_step(size, bands, rows)), SKETCH), "sketch")
     # a node for each distinct set
     nodes = materialize(
         sketch.where("n > 0").groupBy("class", "bands")
@@ -294,7 +294,7 @@ def near_duplicates(
         source.join(materialize(held, "members").withColumnRenamed("id", "row").hint("merge"), "row")
         .select(F.col("row").alias("id"), "text", *CARRIED[1:])
     )
-    sets = texts.mapInArrow(_sets_step(size), SETS)
+    sets = texts.mapInArrow(tidy(_sets_step(size)), SETS)
     grouped = sets.withColumn("other", F.explode("meets")).select(
         "id", "comp", "block", "copies", "shingles",
         F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),

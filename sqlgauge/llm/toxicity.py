@@ -29,8 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import extended, prepared, slices, with_columns
+from .common import extended, prepared, slices, tidy, with_columns
 
 MAX_TRAINING = 20_000
 MIN_SHARE = 0.02
@@ -252,7 +253,8 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").alias("_label_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     rows = known.orderBy(F.xxhash64("_label_id"), "_label_id").limit(most).collect()
-    chosen = spark.createDataFrame(rows, known.schema)
+    columns = [pa.array([r[k] for r in rows], to_arrow_type(f.dataType)) for k, f in enumerate(known.schema.fields)]
+    chosen = spark.createDataFrame(pa.Table.from_arrays(columns, known.columns), known.schema)  # a list would start Python workers
     joined = prepared(docs).select(id_col, text_col).join(F.broadcast(chosen), F.col(id_col) == F.col("_label_id"))  # at most MAX_TRAINING rows
     return joined.select(F.col(text_col).alias("text"), (F.col("toxic") > 0).cast("int").alias("toxic")).dropDuplicates()
 
@@ -264,7 +266,7 @@ def fit(
     from ..plans.scratch import materialize
 
     sample = materialize(_sample(docs, labels, id_col, text_col, most), "toxic-sample")
-    counted = sample.mapInArrow(_count_step("text"), "entry string, t0 long, t1 long, d0 long, d1 long")
+    counted = sample.mapInArrow(tidy(_count_step("text")), "entry string, t0 long, t1 long, d0 long, d1 long")
     counted = counted.groupBy("entry").agg(*(F.sum(c).alias(c) for c in ("t0", "t1", "d0", "d1")))
     counted = materialize(counted, "toxic-counts")
     sizes = counted.where("entry = ''").first()
@@ -297,7 +299,7 @@ def fit(
             values = [own.features(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(values, pa.list_(pa.float64())), batch.column(1)], names=["x", "toxic"])
 
-    rows = sample.mapInArrow(measure, "x array<double>, toxic int").collect()  # at most MAX_TRAINING short rows
+    rows = sample.mapInArrow(tidy(measure), "x array<double>, toxic int").collect()  # at most MAX_TRAINING short rows
     x = np.array([r["x"] for r in rows])
     y = np.array([r["toxic"] for r in rows], float)
     order = np.lexsort((*x.T, y))
@@ -336,4 +338,4 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 batch, {"_toxicity": pa.array(values, pa.float64()), "_clauses": pa.array(clauses, pa.list_(pa.float64()))}
             )
 
-    return docs.mapInArrow(run, extended(docs.schema, "_toxicity double, _clauses array<double>"))
+    return docs.mapInArrow(tidy(run), extended(docs.schema, "_toxicity double, _clauses array<double>"))
