@@ -293,3 +293,17 @@ def test_a_rerun_replaces_its_own_runs_only(spark, tmp_path):
         broken = spark.createDataFrame([(9, "b", "shop", "mysql")], schema)
         write_runlog(broken.mapInPandas(failing, schema), path, partitioned=True)
     assert sorted((r.llm, r.id) for r in spark.read.schema(schema).json(path).collect()) == found
+
+
+def test_run_logs_are_compressed_in_bounded_files(spark, tmp_path, monkeypatch):
+    from sqlgauge.sinks import writers
+
+    monkeypatch.setattr(writers, "FILE_RECORDS", 400)
+    records = spark.range(1000).coalesce(1).selectExpr("id", "'m' AS llm", "'d' AS dataset", "'mysql' AS rdbms", "repeat('SELECT ', 50) AS pred_sql")
+    for partitioned in (False, True):
+        path = tmp_path / f"log-{partitioned}"
+        write_runlog(records, str(path), partitioned)
+        files = list(path.rglob("part-*"))
+        assert len(files) == 3 and sum(f.stat().st_size for f in files) < 20_000  # 400,000 as plain text
+        rows = spark.read.schema("id long, pred_sql string").json(str(path)).collect()
+        assert sorted(r.id for r in rows) == list(range(1000)) and {r.pred_sql for r in rows} == {"SELECT " * 50}
