@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .textops import lines, strip
+from .textops import let, lines, strip
 
 # The end of the first FROM clause, and the two spellings of a schema line.
 _SOURCES = (
@@ -20,25 +20,35 @@ def from_source_count(sql: Column) -> Column:
     """Sources of the first FROM clause: comma items or joins plus one, whichever is larger."""
     upper = F.upper(sql)
     clause = F.regexp_replace(F.regexp_extract(upper, _SOURCES, 1), r"\([^()]*\)", " ")
-    commas = F.when(strip(clause) != "", F.regexp_count(clause, F.lit(",")) + 1).otherwise(0)
-    joins = F.regexp_count(clause, F.lit(r"(?U)\bJOIN\b"))
-    return F.greatest(commas, F.when(joins > 0, joins + 1).otherwise(0))
+
+    def counted(clause: Column) -> Column:
+        commas = F.when(strip(clause) != "", F.regexp_count(clause, F.lit(",")) + 1).otherwise(0)
+        joins = F.regexp_count(clause, F.lit(r"(?U)\bJOIN\b"))
+        return F.greatest(commas, let(joins, lambda n: F.when(n > 0, n + 1).otherwise(0)))
+
+    return let(clause, counted)
 
 
 def sql_difficulty(sql: Column) -> Column:
     """Difficulty 1 to 4 from set operations, nested SELECTs, grouping and source count."""
     upper = F.upper(sql)
-    nested = F.regexp_count(upper, F.lit(r"(?U)\bSELECT\b")) - 1
-    sources = from_source_count(sql)
+    counts = F.struct(
+        (F.regexp_count(upper, F.lit(r"(?U)\bSELECT\b")) - 1).alias("nested"), from_source_count(sql).alias("sources")
+    )
     set_op = F.contains(upper, F.lit("UNION")) | F.contains(upper, F.lit("INTERSECT")) | F.contains(
         upper, F.lit("EXCEPT")
     )
-    return (
-        F.when(set_op | (nested >= 2) | (sources >= 4), 4)
-        .when((nested == 1) | F.contains(upper, F.lit("HAVING")) | (sources == 3), 3)
-        .when(F.contains(upper, F.lit("GROUP BY")) | (sources == 2), 2)
-        .otherwise(1)
-    )
+
+    def graded(n: Column) -> Column:
+        nested, sources = n["nested"], n["sources"]
+        return (
+            F.when(set_op | (nested >= 2) | (sources >= 4), 4)
+            .when((nested == 1) | F.contains(upper, F.lit("HAVING")) | (sources == 3), 3)
+            .when(F.contains(upper, F.lit("GROUP BY")) | (sources == 2), 2)
+            .otherwise(1)
+        )
+
+    return let(counts, graded)
 
 
 def occurrences(text: Column, part: str) -> Column:
@@ -73,13 +83,17 @@ def _table_line(line: Column) -> Column:
 def schema_counts(schema: Column) -> Column:
     """``struct<tables, columns>`` of a compact schema with ``t(c, ...)`` or ``t: c, ...`` lines."""
     tables = F.filter(F.transform(lines(schema), _table_line), lambda t: t["name"] != "")
-    columns = F.transform(
-        tables, lambda t: F.size(F.filter(F.split(t["body"], ","), lambda c: strip(c) != ""))
-    )
-    return F.struct(
-        F.size(F.array_distinct(F.transform(tables, lambda t: t["name"]))).alias("tables"),
-        F.aggregate(columns, F.lit(0), lambda a, b: a + b).alias("columns"),
-    )
+
+    def counted(tables: Column) -> Column:
+        columns = F.transform(
+            tables, lambda t: F.size(F.filter(F.split(t["body"], ","), lambda c: strip(c) != ""))
+        )
+        return F.struct(
+            F.size(F.array_distinct(F.transform(tables, lambda t: t["name"]))).alias("tables"),
+            F.aggregate(columns, F.lit(0), lambda a, b: a + b).alias("columns"),
+        )
+
+    return let(tables, counted)
 
 
 def schema_tables(schema: Column) -> Column:

@@ -50,20 +50,20 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def respell_words(text: Column, words: Column, run: str) -> Column:
-    """Replace every run of word characters that equals one of ``words`` in any letter case by that word.
+def respell_words(text: Column, words: Column, pieces: str) -> Column:
+    """Replace every word that equals one of ``words`` in any letter case by that word.
 
-    Of several spellings of one word the last one is taken.
+    The pattern ``pieces`` cuts a text into words and what stands between them, without gaps. Of several spellings of one
+    word the last one is taken.
     """
     words = F.reverse(words)
 
     def known(names: Column) -> Column:
         def spelled(token: Column) -> Column:
-            at = F.array_position(names, F.lower(token)).cast("int")
-            return F.when(at > 0, F.get(words, at - 1)).otherwise(token)
+            return F.coalesce(F.get(words, F.array_position(names, F.lower(token)).cast("int") - 1), token)  # position -1 gives null
 
-        tokens = F.regexp_extract_all(text, F.lit(run), F.lit(0))
-        return weave(F.split(text, run, -1), F.transform(tokens, spelled))
+        # extracted, as a split would compile its pattern again for every row
+        return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(pieces), F.lit(0)), spelled), "")
 
     return let(F.transform(words, lambda w: F.lower(w)), known)
 

@@ -22,6 +22,8 @@ from ..session import ship_package
 # The keywords before a table name, and the form of the name.
 _REFERENCE = r"\b(?:from|join|update|into|delete\s+from)\b\s+`?[A-Za-z_]\w*`?"
 _QUOTED_OR_REFERENCE = f"(?iU){QUOTED}|{_REFERENCE}"
+_WORDS = r"(?U)\w+|\W+"
+_WORDS_OR_QUOTED = QUOTED + "|[A-Za-z0-9_]+|[^A-Za-z0-9_'\"]+|['\"]"
 _LAST_NAME = r"(?U)([A-Za-z_]\w*)(`?)$"
 MATCHES = "array<struct<best:string,ratio:double,second:double>>"
 
@@ -36,7 +38,7 @@ def table_case_naive(sql: Column, tables: Column) -> Column:
     searched = F.aggregate(
         tables, sql, lambda done, t: replace_word_any_case(done, t, ascii_bounds=False)
     )
-    return strip(F.when(_plain(tables), respell_words(sql, tables, r"(?U)\w+")).otherwise(searched))
+    return strip(F.when(_plain(tables), respell_words(sql, tables, _WORDS)).otherwise(searched))
 
 
 def table_case(sql: Column, tables: Column) -> Column:
@@ -49,8 +51,7 @@ def table_case(sql: Column, tables: Column) -> Column:
             lambda done, t: replace_word_any_case(done, t, ascii_bounds=True),
         ),
     )
-    looked_up = map_unquoted(sql, lambda part: respell_words(part, tables, "[A-Za-z0-9_]+"))
-    return F.when(_plain(tables), looked_up).otherwise(searched)
+    return F.when(_plain(tables), respell_words(sql, tables, _WORDS_OR_QUOTED)).otherwise(searched)
 
 
 def _reference_name(match: Column) -> Column:
@@ -173,11 +174,12 @@ def repair_table_names(
         return F.when(_is_reference(match), renamed).otherwise(match)
 
     whole = weave(F.split(F.col(sql), _QUOTED_OR_REFERENCE, -1), F.transform(found, mended))
+    renamed = F.exists("_fixes", lambda x: ~x["from"].eqNullSafe(x["to"]))
     changes = F.filter(F.col("_fixes"), lambda x: F.lower(x["from"]) != F.lower(x["to"]))
     kept = [c for c in rows.columns if c not in (out, log, "_tokens", "_matches", "_fixes")]
     return rows.select(
         *[F.col(f"`{c}`") for c in kept],
-        F.when(usable, whole).otherwise(F.col(sql)).alias(out),
+        F.when(usable & renamed, whole).otherwise(F.col(sql)).alias(out),
         changes.alias(log),
     )
 
@@ -187,7 +189,7 @@ def clean_prediction(
 ) -> DataFrame:
     """Add ``pred_sql`` and ``pred_repairs``: naive case fix, quote-aware case fix, then name repair."""
     names = F.coalesce(F.col(tables), F.array().cast("array<string>"))
-    fixed = rows.withColumn("pred_sql", table_case(table_case_naive(F.col(raw), names), names))
+    fixed = rows.withColumn("pred_sql", let(table_case_naive(F.col(raw), names), lambda sql: table_case(sql, names)))
     return repair_table_names(fixed, "pred_sql", tables) if repair else fixed
 
 

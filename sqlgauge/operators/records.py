@@ -56,9 +56,9 @@ def flatten_outcomes(rows: DataFrame, outcomes: dict[str, str], spelling: str =
 def assemble_records(rows: DataFrame, llm: str, rdbms: str, spelling: str = "dotted") -> DataFrame:
     """Complete run-log records from questions with predictions, ``pred`` and ``gold`` outcomes and ``match``."""
     if "schema_num_tables" not in rows.columns:
-        counts = schema_counts(F.col("schema_compact"))
-        rows = rows.withColumn("schema_num_tables", counts["tables"]).withColumn(
-            "schema_num_columns", counts["columns"]
+        rows = rows.withColumn("_counts", schema_counts(F.col("schema_compact")))
+        rows = rows.withColumn("schema_num_tables", F.col("_counts.tables")).withColumn(
+            "schema_num_columns", F.col("_counts.columns")
         )
     no_outcome = F.lit(None).cast(OUTCOME_STRUCT)
     for name in ("pred", "gold"):

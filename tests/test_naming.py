@@ -100,3 +100,16 @@ def test_clean_prediction_end_to_end(spark):
     row = naming.clean_prediction(df).first()
     assert row.pred_sql == "SELECT ids FROM flight WHERE id IN ( SELECT id FROM flight )"
     assert [r["ratio"] for r in row.pred_repairs] == [0.99, 0.99]
+
+
+def test_an_unchanged_text_is_cut_and_joined_once(spark):
+    """The naive fix is an input of the second one, which reads it once; so is a schema text for both of its counts."""
+    from sqlgauge.functions.sqltext import schema_counts
+    from sqlgauge.operators.naming import clean_prediction
+
+    rows = spark.createDataFrame([("SELECT 'orders x' FROM ORDERS o, `Orders`", ["orders"])], "pred_sql_raw string, tables array<string>")
+    cleaned = clean_prediction(rows, repair=False)
+    assert cleaned.first().pred_sql == "SELECT 'orders x' FROM orders o, `orders`"
+    assert cleaned._jdf.queryExecution().optimizedPlan().toString().count(r"(?U)\w+") == 1
+    counts = spark.range(1).select(schema_counts(F.lit("a(b, c)\nd: e")).alias("c")).first().c
+    assert (counts.tables, counts.columns) == (2, 3)
