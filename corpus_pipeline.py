@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sqlgauge.llm import bpe, decontamination, line_dedup, ngram_join, queries, toxicity
+from sqlgauge.llm import bpe, decontamination, line_dedup, near_copies, ngram_join, queries, toxicity
 from sqlgauge.llm.common import table
 from sqlgauge.plans.scratch import materialize
 from sqlgauge.session import ship_package
@@ -47,8 +47,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _copies(docs: DataFrame) -> DataFrame:
     """Columns _member, _page: the rows that have near copies, and the document that stands for theirs."""
-    classes = ngram_join.near_duplicates(docs).where("n_links > 0")
-    return materialize(classes.groupBy(F.col("_row").alias("_member")).agg(F.min("_first").alias("_page")), "copies")
+    return near_copies.near_copies(docs, ngram_join.row_id())
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
