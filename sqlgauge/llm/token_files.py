@@ -16,10 +16,10 @@ Null and empty texts hold only the end id. Null ids come first; rows with equal
 from __future__ import annotations
 
 import os
+import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ..plans.scratch import scratch_path
 from .bpe import CONTRACTIONS, byte_letters
-from .common import NOT_LATIN, latin_pattern, prepared, slices
+from .common import BLANK, LETTER, NOT_LATIN, NUMBER, prepared, slices
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 END = 2
@@ -40,7 +40,9 @@ SEGMENT = 1 << 18
 MEMO = 300_000
 HEAD = np.dtype([("offset", "<u4"), ("least", "<u4"), ("width", "u1"), ("exceptions", "<u2")])
 
-_WORDS = latin_pattern(CONTRACTIONS, "", "", False)
+#: The most frequent kind first: of the kinds only contractions and other signs can begin alike.
+_WORDS = re.compile(f"[{LETTER}]+|[{NUMBER}]|{CONTRACTIONS}|[^{BLANK}{LETTER}{NUMBER}]+")
+_ASCII_WORDS = re.compile(rf"[a-z]+|[0-9]|{CONTRACTIONS}|[^\t-\r a-z0-9]+")  # the same for lower-case ASCII
 
 
 @lru_cache(2)
@@ -58,6 +60,11 @@ def _letters() -> dict[int, str]:
     return {b: c for c, b in byte_letters().items()}
 
 
+def latin_words(text: str) -> list[str]:
+    """The words of a Latin text, in lower case."""
+    return (_ASCII_WORDS if text.isascii() else _WORDS).findall(text.lower())
+
+
 def encode_texts(texts: list[str | None], memo: dict[str, bytes], path: str = VOCABULARY) -> list[np.ndarray]:
     """Ids of each text as the tokenizer gives them; ``memo`` is the task's own.
 
@@ -73,14 +80,15 @@ def encode_texts(texts: list[str | None], memo: dict[str, bytes], path: str = VO
         elif NOT_LATIN.search(text) or any(s in text for s in specials):
             out[k] = np.array(made.encode(text, add_special_tokens=False).ids, np.uint32)
         else:
-            split[k] = _WORDS.findall(text.lower())
-    fresh = set(chain.from_iterable(split.values())).difference(memo)
+            split[k] = latin_words(text)
+    fresh = set().union(*split.values()).difference(memo)
     if len(memo) + len(fresh) > MEMO:
         memo.clear()
-        fresh = set(chain.from_iterable(split.values()))
+        fresh = set().union(*split.values())
     tokens, letters = made.model.tokenize, _letters()
     for word in fresh:
-        memo[word] = array("I", [t.id for t in tokens(word.encode().decode("latin-1").translate(letters))]).tobytes()
+        plain = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(letters)
+        memo[word] = array("I", [t.id for t in tokens(plain)]).tobytes()
     get = memo.__getitem__
     for k, found in split.items():
         out[k] = np.frombuffer(b"".join(map(get, found)), "<u4")
@@ -102,7 +110,8 @@ def pack(ids: np.ndarray) -> bytes:
     rows = padded.reshape(count, BLOCK)
     least = rows.min(axis=1) if count else np.zeros(0, np.int64)
     rest = rows - least[:, None]
-    width = np.sort(_widths(rest), axis=1)[:, int(FITS * BLOCK) - 1] if count else least
+    at = int(FITS * BLOCK) - 1
+    width = _widths(np.partition(rest, at, axis=1)[:, at]) if count else least
     high = rest >> width[:, None]
     many = (high > 0).sum(axis=1)
     packed_size = width * BLOCK // 8
@@ -117,8 +126,9 @@ def pack(ids: np.ndarray) -> bytes:
     for w in np.unique(width):
         own = np.flatnonzero(width == w)
         if w:
-            bits = (rest[own][:, :, None] >> np.arange(w)) & 1
-            packed = np.packbits(bits.astype(np.uint8).reshape(len(own), -1), axis=1, bitorder="little")
+            low = rest[own].astype("<u4").view(np.uint8).reshape(-1, 4)
+            bits = np.unpackbits(low, axis=1, count=int(w), bitorder="little")
+            packed = np.packbits(bits.reshape(len(own), -1), axis=1, bitorder="little")
             place = head["offset"][own].astype(np.int64)[:, None] + np.arange(packed.shape[1])
             out[place] = packed
     for k in np.flatnonzero(many):

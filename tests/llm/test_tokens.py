@@ -99,3 +99,12 @@ def test_memo_of_token_files_is_bounded(monkeypatch):
     for text in ("one two three", "four five", "one six", "naïve ŒUVRE 12"):
         assert token_files.encode_texts([text], memo)[0].tolist() == made.encode(text, add_special_tokens=False).ids
         assert len(memo) <= 4
+
+
+def test_ascii_words_are_cut_by_their_own_pattern():
+    latin, rng = token_files.latin_words, random.Random(6)
+    made = Tokenizer.from_file(token_files.VOCABULARY)
+    for _ in range(500):
+        text = "".join(rng.choice("abze09 \n\t\x0b\x0c\r\x00\x1c\x1f\x7f'sdrevmlt.,!-_<|") for _ in range(rng.randint(0, 60)))
+        assert latin(text) == latin(text + " é")[: len(latin(text))]
+        assert token_files.encode_texts([text], {})[0].tolist() == made.encode(text, add_special_tokens=False).ids
