@@ -5,10 +5,15 @@ texts are near if their sets' Jaccard similarity reaches the threshold, and a gr
 bands of the same number propose, full sets decide. Links are not counted, so pairs within a group need not be checked
 once they are known to be in one.
 
-Equal sets are one node, named by a 64-bit hash of the set. The nodes of a band hash are a bucket. Each round the nodes of
-a bucket are compared with one of them, its centre, unless they are in the centre's group already; buckets within one
-group are done, so a group of thousands of near copies takes rows in proportion to its nodes. When few pairs of different
-groups are left in the buckets, or a round has not halved them, all that are left are compared.
+Equal sets are one node, named by a 64-bit hash of the set. The nodes of a band hash are a bucket. A shingle that no other
+node of the buckets has is in no common part, so what a node shares with others bounds its similarity to any of them: nodes
+that cannot reach the threshold go before any comparison, and of two nodes the one that shares less decides whether they are
+compared. Texts that have a long passage in common and enough of their own are bucket mates, but no pair.
+
+Each round the nodes of a bucket are compared with one of them, its centre (first the one that shares most), unless they are
+in the centre's group already; buckets within one group are done, so a group of thousands of near copies takes rows in
+proportion to its nodes. The rows of open buckets are written once a round. When few pairs of different groups are left in
+the buckets, or a round has not halved them, all that are left and can be near are compared.
 """
 
 from __future__ import annotations
@@ -26,6 +31,7 @@ from .ngram_join import RECALL, ROWS, THRESHOLD, WORDS, bands_for
 PAIRS_PER_ROW = 4
 _OUTSIDE = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _HALF = (1 << 32) - 1
+NODE = ["node", "n", "k", "label"]
 
 
 def shingle_sets(docs: DataFrame, row: Column, text: Column, size: int = WORDS) -> DataFrame:
@@ -51,9 +57,20 @@ def band_rows(sets: DataFrame, bands: int, rows: int) -> DataFrame:
     return signed.select("node", "n", F.explode(F.array(*hashes)).alias("band"))
 
 
-def _alike(x: Column, y: Column, threshold: float) -> Column:
-    """Whether sets of such sizes can be near."""
-    return F.least(x, y) >= F.lit(threshold) * F.greatest(x, y) - F.lit(1e-9)
+def _alike(held: Column, other: Column, n: Column, other_n: Column, threshold: float) -> Column:
+    """Whether sets of n shingles can be near, of which no more than ``held`` and ``other`` are in other sets."""
+    both = F.least(held, other)
+    return both >= F.lit(threshold) * (n + other_n - both) - F.lit(1e-9)
+
+
+def _held_shingles(nodes: DataFrame, threshold: float) -> DataFrame:
+    """Columns node, k (shingles that are in other sets of ``nodes``, too) of the nodes that so many allow to have near ones."""
+    each = nodes.select("node", F.explode("set").alias("shingle"))
+    own = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("many"), F.min("node").alias("node")).where("many = 1")
+    own = own.groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+    counted = nodes.select("node", F.size("set").cast("long").alias("n")).join(own, "node", "left")
+    counted = counted.select("node", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("k"))
+    return counted.where(_alike(F.col("k"), F.col("k"), F.col("n"), F.col("k"), threshold)).select("node", "k")
 
 
 def _near(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -69,18 +86,21 @@ def _near(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 def _star_pairs(held: DataFrame, number: int, threshold: float) -> DataFrame:
     """Pairs of the nodes of each bucket with its centre, in other groups than the centre's."""
-    order = F.xxhash64(F.lit(number), F.col("node"))
-    centre = held.groupBy(F.col("band").alias("of")).agg(*(F.min_by(c, order).alias(f"b_{c}") for c in ("node", "n", "label")))
-    pairs = held.join(centre, F.col("band") == F.col("of")).where(F.col("label") != F.col("b_label"))
-    pairs = pairs.where(_alike(F.col("n"), F.col("b_n"), threshold))
-    return pairs.select(F.col("node").alias("a"), F.col("b_node").alias("b"), F.col("label").alias("a_label"), "b_label").distinct()
+    # first the node with the least of its own, as the others are most like it
+    order = F.struct(F.lit(0.0) if number else -F.col("k") / F.col("n"), F.xxhash64(F.lit(number), F.col("node")))
+    return _pairs(held, held.groupBy(F.col("band").alias("of")).agg(*(F.min_by(c, order).alias(f"b_{c}") for c in NODE)), threshold)
 
 
 def _all_pairs(held: DataFrame, threshold: float) -> DataFrame:
     """Pairs of nodes that share a bucket but no group."""
-    other = held.select(F.col("band").alias("of"), *(F.col(c).alias(f"b_{c}") for c in ("node", "n", "label")))
-    pairs = held.join(other, (F.col("band") == F.col("of")) & (F.col("node") < F.col("b_node")) & (F.col("label") != F.col("b_label")))
-    pairs = pairs.where(_alike(F.col("n"), F.col("b_n"), threshold))
+    other = held.select(F.col("band").alias("of"), *(F.col(c).alias(f"b_{c}") for c in NODE))
+    return _pairs(held, other, threshold, F.col("node") < F.col("b_node"))
+
+
+def _pairs(held: DataFrame, other: DataFrame, threshold: float, also: Column | None = None) -> DataFrame:
+    met = (F.col("band") == F.col("of")) & (F.col("label") != F.col("b_label"))
+    met &= _alike(F.col("k"), F.col("b_k"), F.col("n"), F.col("b_n"), threshold)
+    pairs = held.join(other, met if also is None else met & also)
     return pairs.select(F.col("node").alias("a"), F.col("b_node").alias("b"), F.col("label").alias("a_label"), "b_label").distinct()
 
 
@@ -92,18 +112,20 @@ def _open(held: DataFrame) -> tuple[DataFrame, int, int]:
     )
     buckets = materialize(buckets.where("groups > 1"), "open-buckets")
     rows, pairs = buckets.agg(F.sum("all"), F.sum((F.col("all").cast("double") * F.col("all") - F.col("within")) / 2)).first()
-    return held.join(buckets.select("of"), F.col("band") == F.col("of"), "left_semi"), rows or 0, pairs or 0
+    still = held.join(buckets.select("of"), F.col("band") == F.col("of"), "left_semi")
+    return materialize(still, "open-rows") if rows else held, rows or 0, pairs or 0
 
 
 def groups_of(sets: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS) -> DataFrame:
-    """Columns node and label for the nodes that are in a bucket with others: equal labels are one group."""
+    """Columns node and label for the nodes that may have near ones: equal labels are one group."""
     nodes = sets.select("node", "set").dropDuplicates(["node"])
     keyed = materialize(band_rows(sets, bands_for(threshold, recall, rows), rows), "bands")
     shared = keyed.groupBy(F.col("band").alias("of")).agg(F.count(F.lit(1)).alias("many")).where("many > 1")
-    keyed = keyed.join(shared, F.col("band") == F.col("of"), "left_semi")
-    held = materialize(keyed.withColumn("label", F.col("node")), "buckets")
-    nodes = materialize(nodes.join(held.select("node").distinct(), "node", "left_semi"), "bucket-sets")
-    labels = materialize(held.select("node", "label").distinct(), "labels")
+    keyed = materialize(keyed.join(shared, F.col("band") == F.col("of"), "left_semi"), "shared-bands")
+    nodes = materialize(nodes.join(keyed.select("node").distinct(), "node", "left_semi"), "bucket-sets")
+    live = materialize(_held_shingles(nodes, threshold), "live-nodes")
+    held = materialize(keyed.join(live, "node").withColumn("label", F.col("node")), "buckets")
+    labels = materialize(live.select("node", F.col("node").alias("label")), "labels")
     number, before = 0, float("inf")
     while True:
         still, size, pairs = _open(held)

@@ -60,6 +60,27 @@ def test_a_large_group_takes_rows_in_proportion(spark, monkeypatch):
     assert sum(tested) < 31 * 400  # of 79,800 pairs
 
 
+def test_texts_with_one_long_passage_are_no_pairs(spark, monkeypatch):
+    plain, tested = C._near, []
+    monkeypatch.setattr(C, "_near", lambda pairs, *a: tested.append(pairs.count()) or plain(pairs, *a))
+    passage = [f"v{k}" for k in range(100)]
+    rows = [(k, " ".join([*passage, *(f"own{k}x{j}" for j in range(14 + k % 16))])) for k in range(200)]
+    rows += [(300 + k, " ".join([*passage, *(f"own{k}x{j}" for j in range(14 + k % 16)), "more"])) for k in range(0, 200, 50)]
+    assert found(spark, rows) == partition(rows) == [[k, 300 + k] for k in range(0, 200, 50)]
+    assert sum(tested) < 3 * len(rows)  # of 20,706 pairs
+
+
+def test_rows_of_open_buckets_are_made_once_a_round(spark, monkeypatch):
+    plain, plans, rounds, opened = C._near, [], [], C._open
+    monkeypatch.setattr(C, "_near", lambda pairs, *a: plans.append(pairs._jdf.queryExecution().toString()) or plain(pairs, *a))
+    monkeypatch.setattr(C, "_open", lambda held: rounds.append(opened(held)) or rounds[-1])
+    base = [f"v{k}" for k in range(200)]
+    rows = [(k, " ".join([*base[: k % 190], f"edit{k}", *base[k % 190 :]])) for k in range(400)]
+    assert found(spark, rows) == [list(range(400))]
+    assert plans and not any("LeftSemi" in p for p in plans)
+    assert sum(size for _, size, _ in rounds) < 2 * 31 * 400
+
+
 def test_rows_without_ids_and_empty_tables(spark):
     same = " ".join(f"w{k}" for k in range(20))
     assert found(spark, [(None, same), (7, same.upper()), (8, "other"), (None, None)]) == [[-1, 7]]
